@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from meritgraph.llm.bpe import op1_byte_bpe
 from meritgraph.llm.fingerprints import op3_fingerprints
 from meritgraph.llm.quality import OP4_SQL, op4_quality_rules
 from meritgraph.llm.urls import OP5_SQL, op5_url_filters
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters}
 SQL = {"op4_quality_rules": OP4_SQL, "op5_url_filters": OP5_SQL}
