@@ -142,7 +142,7 @@ class Reader:
         if new := list(set(found).difference(self.cache)):
             if len(self.cache) > CACHE:
                 self.cache = {START: self.m.start}
-                new = list(set(found))
+                new = list(set(found).difference(self.cache))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
             self.cache |= zip(new, self._words(hashes).tolist(), strict=True)
         return np.fromiter(map(self.cache.__getitem__, found), dtype=np.int64, count=len(found))
