@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from meritgraph.operators.markov import checkpointed
 
 #: Numbers (#12), people (@name), and links.
-NUMBER, PERSON, LINK = r"(?<![\w&])#(\d+)", r"(?<![\w/])@([A-Za-z0-9][A-Za-z0-9-]*)", r"https?://[^\s<>\"')\]]+"
+NUMBER, PERSON, LINK = r"(?:^|[^\w&])#(\d+)", r"(?:^|[^\w/])@([A-Za-z0-9][A-Za-z0-9-]*)", r"https?://[^\s<>\"')\]]+"
 HREF = r"<a\s[^>]*href=\"([^\"]*)\""
 
 
 def without_code(text: Column) -> Column:
     """Text without fenced and inline code, where nothing refers."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(```|$)", " "), r"`[^`\n]*`", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(```|\z)", " "), r"`[^`\n]*`", " ")
 
 
 def references(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, ref, n): distinct references of a text and how often it makes them."""
     plain = rows.select(key, without_code(F.col(text)).alias("_t"))
-    found = F.concat(*(F.transform(F.regexp_extract_all("_t", F.lit(p), F.lit(g)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("ref"))) for k, p, g in (("number", NUMBER, 1), ("person", PERSON, 1), ("link", LINK, 0))))
+    of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref"))
+    found = F.concat(*(F.transform(F.regexp_extract_all("_t", F.lit(p), F.lit(g)), of(k)) for k, p, g in (("number", NUMBER, 1), ("person", PERSON, 1), ("link", LINK, 0))))
     return plain.select(key, F.inline(found)).groupBy(key, "kind", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import prefixes
@@ -15,6 +15,10 @@ from meritgraph.functions.addresses import prefixes
 LITERALS = 1_000
 
 
+def _lookup(known: Column):
+    return lambda p: F.coalesce(F.try_element_at(known, p), F.lit(1.0))
+
+
 def with_products(rows: DataFrame, weights: DataFrame, columns: list[str], address: str = "address") -> DataFrame:
     """``rows`` with the products of the weights' ``columns``; addresses are unique where the weights are many."""
     few = weights.select("prefix", *columns).limit(LITERALS + 1).collect()
@@ -24,7 +28,8 @@ def with_products(rows: DataFrame, weights: DataFrame, columns: list[str], addre
         out = rows
         for c in columns:
             known = F.create_map(*(F.lit(x) for r in few for x in (r.prefix, float(r[c]))))
-            out = out.withColumn(c, F.aggregate(prefixes(F.col(address)), F.lit(1.0), lambda a, p, known=known: a * F.coalesce(F.try_element_at(known, p), F.lit(1.0))))
+            found = F.transform(prefixes(F.col(address)), _lookup(known))
+            out = out.withColumn(c, F.aggregate(found, F.lit(1.0), lambda a, x: a * x))
         return out
     flat = rows.select(F.col(address).alias("_a"), F.explode(prefixes(F.col(address))).alias("prefix")).join(weights, "prefix")
     found = flat.groupBy("_a").agg(*(F.product(c).alias(c) for c in columns))
