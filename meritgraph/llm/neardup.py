@@ -5,8 +5,8 @@ shingles form a class, and only the classes' representatives go on. A representa
 rarest of its retained values: as many that a pair at the threshold must meet in one of them. Lists of up to LIST
 members give all their pairs. Longer ones (large families of near copies, frequent passages) give each member's pair
 with the list's centre; once the links found so far are drawn together, each member that is not in the centre's
-component is compared with all members of other components, so no link is lost and a family is never multiplied with
-itself. A 64-bit signature (one bit of the least hash of each of 64 ranges) and the set sizes drop most chance
+component is compared with all members of other components, in blocks that return only what links components, so no
+link is lost and no family becomes a row for each of its pairs. A 64-bit signature (one bit of the least hash of each of 64 ranges) and the set sizes drop most chance
 meetings inside the lists; the overlap of the pair's union sketch then estimates the similarity, and what may reach the
 threshold is confirmed on the full sets. Components are drawn on confirmed links.
 
@@ -36,6 +36,7 @@ from meritgraph.llm.components import components
 SKETCH = 48
 LIST = 12
 SIGNATURE_BITS = 20
+BLOCK = 1_024
 #: Lists of ids are broadcast up to this many rows (under 16 MB); longer ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -142,9 +143,11 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     held = F.least("n", F.lit(SKETCH)).cast("int")
     needed = F.when(F.col("n") * 100 <= SKETCH * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(least), F.ceil(F.col("n") * percent / 100))).cast("int")
     places = held - needed + 1 - (held - F.size("shared"))
-    own = shared.where(places > 0).select("rep", "n", "sig", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(1)))).alias("x"))
-    own = checkpointed(own.select("rep", "n", "sig", F.col("x.value").alias("value")))
-    lists = own.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "sig")).alias("centre")).where("size > 1")
+    # the centre is the member that has most in common with many: of a family of near copies, the least edited
+    hub = F.size(F.filter("shared", lambda x: x["df"] > LIST))
+    own = shared.where(places > 0).select("rep", "n", "sig", hub.alias("hub"), F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(1)))).alias("x"))
+    own = checkpointed(own.select("rep", "n", "sig", "hub", F.col("x.value").alias("value")))
+    lists = own.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("hub", F.xxhash64("rep").alias("h"), "rep", "n", "sig")).alias("centre")).where("size > 1")
     return checkpointed(own.join(lists, "value"))
 
 
@@ -170,14 +173,61 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
         return drawn
     l, r = apart.alias("l"), inside.alias("r")
     of = lambda s: {"n": F.col(f"{s}.n"), "sig": F.col(f"{s}.sig")}
-    more = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.component") != F.col("r.component")) & _near(of("l"), of("r"), percent))
-    more = more.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    more = _confirmed(docs, classes, checkpointed(more), size, percent)
+    met = (F.col("l.value") == F.col("r.value")) & (F.col("l.component") != F.col("r.component")) & _near(of("l"), of("r"), percent)
+    some = lambda x, y: checkpointed(x.join(y, met, "left_semi").select("value", "rep", "component"))
+    more = _across(docs, some(l, r), some(r, l), size, percent)
     if more.isEmpty():
         return drawn
     return components(found.union(more))
 
 
+def _across(docs: DataFrame, few: DataFrame, many: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (value, rep, component) of ``few`` and of ``many`` of the same list and of
+    different components: for each member of ``few`` one link to each component that it has any with.
+
+    Lists are cut into blocks of at most about BLOCK members on either side; each pair of blocks is one task's work, on
+    full sets, so that no row is made for a pair without a link."""
+    ids = checkpointed(few.select("rep").union(many.select("rep")).distinct().withColumnRenamed("rep", "id"))
+    sets = checkpointed(_sets(docs, ids, size))
+    n = few.groupBy("value").agg(F.count(F.lit(1)).alias("nf")).join(many.groupBy("value").agg(F.count(F.lit(1)).alias("nm")), "value")
+    n = n.select("value", F.ceil(F.col("nf") / BLOCK).cast("int").alias("kf"), F.ceil(F.col("nm") / BLOCK).cast("int").alias("km"))
+
+    def dealt(members: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        blocks = members.join(n, "value").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")).withColumn("theirs", each)
+        i, j = ("mine", "theirs") if side == 0 else ("theirs", "mine")
+        return blocks.select("value", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), F.col("rep").alias("id"), "component")
+
+    rows = dealt(few, "kf", "km", 0).unionByName(dealt(many, "km", "kf", 1)).join(sets, "id")
+
+    def compare(part: pa.Table) -> pa.Table:
+        side, ids, component = (part.column(c).to_numpy() for c in ("side", "id", "component"))
+        column = part.column("set").combine_chunks()
+        column = column if isinstance(column, pa.ListArray) else column.chunk(0)
+        at, values = column.offsets.to_numpy(), column.values.to_numpy()
+        lengths = np.diff(at)
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        flat = values[at[0] : at[-1]]
+        right = side[owner] == 1
+        order = np.argsort(flat[right], kind="stable")
+        known, places = flat[right][order], owner[right][order]  # postings of the many
+        a, b = [], []
+        for k in np.flatnonzero(side == 0):
+            own = values[at[k] : at[k + 1]]
+            lo, hi = np.searchsorted(known, own), np.searchsorted(known, own, side="right")
+            hits = np.concatenate([places[x:y] for x, y in zip(lo, hi, strict=True)]) if len(own) else places[:0]
+            other, inter = np.unique(hits, return_counts=True)
+            ok = (100 * inter >= percent * (len(own) + lengths[other] - inter)) & (component[other] != component[k])
+            _, first = np.unique(component[other[ok]], return_index=True)
+            a += [ids[k]] * len(first)
+            b += ids[other[ok][first]].tolist()
+        low, high = np.minimum(a, b) if a else [], np.maximum(a, b) if a else []
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+    found = rows.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long")
+    return checkpointed(found.distinct())
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the linked documents), kept; a row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
