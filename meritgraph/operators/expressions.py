@@ -67,9 +67,9 @@ def share_out(scored: DataFrame, shares: DataFrame, cumulative: bool = True) ->
     """(contribution, participant, score). shares (contribution, ord, participant, weight).
 
     ``cumulative``: a share is set against the shares up to and including its own, so the first participant has the
-    whole score; otherwise against all shares of the contribution."""
+    whole score (ties in ``ord`` by participant and weight); otherwise against all shares of the contribution."""
     window = Window.partitionBy("contribution")
-    window = window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0) if cumulative else window
+    window = window.orderBy("ord", "participant", "weight").rowsBetween(Window.unboundedPreceding, 0) if cumulative else window
     met = shares.withColumn("of", F.sum("weight").over(window)).join(scored, "contribution")
     return met.select("contribution", "participant", "ord", F.when(F.col("of") == 0, F.lit(float("nan"))).otherwise(F.col("score") * F.col("weight") / F.col("of")).alias("score"))
 

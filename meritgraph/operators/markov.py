@@ -141,7 +141,7 @@ def sum_node(start: Column) -> Column:
     return address("sum", start)
 
 
-def compile_process(g: Graph, node_weights: DataFrame, edge_weights: DataFrame, participants: DataFrame, p: Params = Params(), attributions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def compile_process(g: Graph, node_weights: DataFrame, edge_weights: DataFrame, participants: DataFrame, p: Params = Params(), attributions: DataFrame | None = None, weeks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The time-expanded process: (nodes (address, mint), transitions (src, dst, kind, pr)).
 
     node_weights: nodes with weight; edge_weights: edges with forwards and backwards; participants (address, id). Each
@@ -149,8 +149,9 @@ def compile_process(g: Graph, node_weights: DataFrame, edge_weights: DataFrame,
     edge lies (an edge at a week's very start counts to the week before, but not before the first). Those nodes pay a
     share to the week's sum, hand shares to their neighbours in time, and the rest along their edges; whatever isn't
     handed on returns to the seed, which gives it out by minted weight. attributions (from_id, to_id, start_ms,
-    proportion): shares of the payment that go to another participant of the same week, from a time on."""
-    weeks = checkpointed(week_intervals(g.nodes.select("timestamp_ms").union(g.edges.select("timestamp_ms")), "timestamp_ms"))
+    proportion): shares of the payment that go to another participant of the same week, from a time on. weeks (start_ms):
+    the weeks to span, if not all of the graph's."""
+    weeks = checkpointed(weeks if weeks is not None else week_intervals(g.nodes.select("timestamp_ms").union(g.edges.select("timestamp_ms")), "timestamp_ms"))
     ends = weeks.agg(F.min("start_ms").alias("a"), F.max("start_ms").alias("b")).first()
     if ends.a is None:
         raise ValueError("the graph needs at least one interval")
@@ -231,9 +232,9 @@ def flows(scored: DataFrame, transitions: DataFrame) -> DataFrame:
     return transitions.join(scored.withColumnRenamed("address", "src"), "src").withColumn("flow", F.col("score") * F.col("pr")).drop("score")
 
 
-def rank(g: Graph, node_weights: DataFrame, edge_weights: DataFrame, participants: DataFrame, p: Params = Params(), attributions: DataFrame | None = None, n_steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+def rank(g: Graph, node_weights: DataFrame, edge_weights: DataFrame, participants: DataFrame, p: Params = Params(), attributions: DataFrame | None = None, n_steps: int | None = None, weeks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, transitions) of a graph; to convergence, or after a fixed number of actions."""
-    nodes, moves = compile_process(g, node_weights, edge_weights, participants, p, attributions)
+    nodes, moves = compile_process(g, node_weights, edge_weights, participants, p, attributions, weeks)
     nodes, moves = checkpointed(nodes), checkpointed(moves)
     own = chain(moves)
     pi = uniform(nodes)

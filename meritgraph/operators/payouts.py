@@ -9,7 +9,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritgraph.functions.money import AMOUNT, split_budget
@@ -49,9 +49,14 @@ def balanced(view: DataFrame, until_ms: int, budget: int, weeks: int = 0) -> Dat
     """(id, score): by how much each was paid less than an even rate over the lookback (0: all time) would give."""
     done = lookback(view, weeks, until_ms).groupBy("id").agg(F.sum("score").alias("own"), F.sum(F.col("earned").cast(AMOUNT)).alias("earned"))
     totals = done.agg(F.sum("own").alias("scores"), F.sum("earned").cast(AMOUNT).alias("paid"))
-    rate = F.floor((F.col("paid") + F.lit(Decimal(budget)).cast(AMOUNT)).cast("double") * (1 / F.col("scores")))
-    met = done.join(F.broadcast(totals), F.lit(True)).withColumn("rate", rate.cast("double"))
-    return met.select("id", F.greatest(F.lit(0.0), F.floor(F.col("rate") * F.col("own")).cast("double") - F.col("earned").cast("double")).alias("score"))
+    rate = _floor((F.col("paid") + F.lit(Decimal(budget)).cast(AMOUNT)).cast("double") * (1 / F.col("scores")))
+    met = done.join(F.broadcast(totals), F.lit(True)).withColumn("rate", rate)
+    return met.select("id", F.greatest(F.lit(0.0), _floor(F.col("rate") * F.col("own")) - F.col("earned").cast("double")).alias("score"))
+
+
+def _floor(x: Column) -> Column:
+    """In doubles: from 2^53 on they are whole, and beyond 2^63 too large for a long."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
 
 
 def special(accounts: DataFrame, recipient: str) -> DataFrame:

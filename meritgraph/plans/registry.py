@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = None
+from meritgraph.plans import graph_queries, score_queries
+
+QUERIES = graph_queries.QUERIES | score_queries.QUERIES
+SQL = graph_queries.SQL | score_queries.SQL
+FLAGSHIP = graph_queries.rank_top_participants

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from meritgraph.operators.asof import asof_join
 
 
-def weekly_sums(events: DataFrame, delay: str = "1 day") -> DataFrame:
+def weekly_sums(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
     """(start, event_type, n, value) of events (ts timestamp, event_type, value), a week at a time from Sunday UTC. In
-    append mode a week comes out once the watermark has passed its end: complete weeks only."""
+    append mode a week comes out once the watermark has passed its end: complete weeks only. ``delay`` is None for events that have a watermark already."""
     week = F.window("ts", "7 days", "7 days", "3 days")
-    return events.withWatermark("ts", delay).groupBy(week.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+    events = events.withWatermark("ts", delay) if delay else events
+    return events.groupBy(week.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
 def once(events: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
