@@ -1,11 +1,10 @@
 """Document fingerprints by consistent weighted sampling. DataFrame functions only.
 
-Each distinct word of a text is a term of weight (occurrences x length in code points). For each term, gamma-distributed
-numbers derived from hashes of the term alone give its sample value (Ioffe's scheme); the least value of a slot is the
-slot's signature, and two texts agree in a slot with a probability that is the generalised Jaccard similarity (sum of
-the lesser weights over sum of the greater) of the terms of that slot. Terms are dealt to ``BINS`` slots by hash, once
-in each of ``REPEATS`` rounds, so a term costs ``REPEATS`` evaluations instead of one for each slot; slots that are
-empty in both texts do not count.
+Each distinct word of a text is a term of weight (occurrences x length in code points). For each term and sample,
+gamma-distributed numbers derived from hashes of the two alone give the term's value (Ioffe's scheme); the least value
+over all terms is the sample's signature, and two texts agree in a sample with a probability that is their generalised
+Jaccard similarity (sum of the lesser weights over sum of the greater). SAMPLES minima are taken in one pass over a
+text's terms; the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
 
 Rows are ordered by (doc_id, text), nulls first; repeated rows follow one another and are each other's next. Null
 texts count as empty. Texts without words have fingerprints of zeros; two of those are alike (1.0), one of those and
@@ -19,29 +18,31 @@ from pyspark.sql import functions as F
 
 from meritgraph.llm.common import shuffle_partitions, table, words
 
-REPEATS, BINS = 2, 32
-SLOTS = REPEATS * BINS
+SAMPLES = 32
 LEAST = -(2**63)
 EMPTY = "00000000"
 
 
-def _uniform(term: Column, rep: Column, k: int) -> Column:
-    return (F.shiftrightunsigned(F.xxhash64(term, rep, F.lit(k)), 12).cast("double") + 0.5) / float(2**52)
+def _halves(term: Column, sample: int, k: int) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) from one hash."""
+    h = F.xxhash64(term, F.lit(4 * sample + k))
+    unit = lambda x: (x.cast("double") + 0.5) / float(2**32)
+    return unit(F.shiftrightunsigned(h, 32)), unit(h.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def sample_value(term: Column, weight: Column, rep: Column) -> Column:
-    """Logarithm of the term's sample value a = c / (y e^r): it is equal for equal terms whose weights round alike."""
-    u = [_uniform(term, rep, k) for k in range(5)]
-    r = -F.ln(u[0] * u[1])
-    rounded = F.floor(F.ln(weight) / r + u[4])
-    return F.ln(-F.ln(u[2] * u[3])) - r * (rounded - u[4]) - r
+def sample_value(term: Column, log_weight: Column, sample: int) -> Column:
+    """Logarithm of the term's value a = c / (y e^r): it is equal for equal terms whose weights round alike."""
+    (u0, u1), (u2, u3), (beta, _) = (_halves(term, sample, k) for k in range(3))
+    r = -F.ln(u0 * u1)
+    rounded = F.floor(log_weight / r + beta)
+    return F.ln(-F.ln(u2 * u3)) - r * (rounded - beta) - r
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots among those that either has."""
-    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda x: (x["a"] != EMPTY) | (x["b"] != EMPTY))
-    equal = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(0).alias("same")), lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["same"] + (x["a"] == x["b"]).cast("int")).alias("same")))
-    return F.when(F.size(pairs) == 0, 1.0).otherwise(equal["same"] / equal["n"])
+    """Share of equal samples; texts without words are alike, and unlike all others."""
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != EMPTY)), lambda x: x))
+    empty = lambda x: F.get(x, F.lit(0)) == EMPTY
+    return F.when(empty(a) & empty(b), 1.0).otherwise(equal / SAMPLES)
 
 
 def _sections(docs: DataFrame, n: int) -> tuple[DataFrame, dict[int, int]]:
@@ -84,17 +85,13 @@ def fingerprints(docs: DataFrame, sections: int) -> DataFrame:
     items = F.concat(F.transform(words(F.col("text")), item(0)), F.transform(words(F.col("edited")), item(1)), F.array(own))
     flat = rows.select("section", "rn", F.inline(items))
     terms = flat.groupBy("section", "rn", "which", "t", "len", "info").agg(F.count(F.lit(1)).alias("c"))
-    rounds = F.when(F.col("which") == 2, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(REPEATS))))
-    terms = terms.withColumn("rep", F.explode(rounds))
-    place = F.shiftrightunsigned(F.xxhash64("t", "rep"), 40)
-    slot = F.when(F.col("which") == 2, 2 * SLOTS).otherwise(F.col("which") * SLOTS + F.col("rep") * BINS + F.pmod(place, F.lit(BINS)).cast("int"))
-    value = F.when(F.col("which") < 2, sample_value(F.col("t"), (F.col("c") * F.col("len")).cast("double"), F.col("rep")))
-    least = terms.groupBy("section", "rn", slot.alias("slot"), "info").agg(F.min(value).alias("a"))
-    sign = F.lpad(F.lower(F.hex(F.xxhash64("a").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
-    least = least.select("section", "rn", "slot", "info", F.when(sign == EMPTY, "00000001").otherwise(sign).alias("sign"))
-    signed = least.groupBy("section", "rn").agg(F.map_from_entries(F.collect_list(F.struct("slot", "sign"))).alias("m"), F.max("info").alias("info"))
-    at = lambda first: F.transform(F.sequence(F.lit(first), F.lit(first + SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(EMPTY)))
-    signed = signed.select("section", "rn", "info", at(0).alias("f"), at(SLOTS).alias("e"))
+    logged = terms.select("section", "rn", "which", "info", "t", F.ln((F.col("c") * F.col("len")).cast("double")).alias("w"))
+    own = F.when(F.col("which") < 2, F.col("w"))  # null for the row of the document's columns
+    least = logged.groupBy("section", "rn", "which", "info").agg(*(F.min(sample_value(F.col("t"), own, i)).alias(f"a{i}") for i in range(SAMPLES)))
+    sign = lambda a: F.when(a.isNull(), EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    signs = least.select("section", "rn", "which", "info", F.array(*(sign(F.col(f"a{i}")) for i in range(SAMPLES))).alias("s"))
+    of = lambda which: F.coalesce(F.max(F.when(F.col("which") == which, F.col("s"))), F.array_repeat(F.lit(EMPTY), SAMPLES))
+    signed = signs.groupBy("section", "rn").agg(of(0).alias("f"), of(1).alias("e"), F.max("info").alias("info"))
     follow = Window.partitionBy("section").orderBy("rn")
     signed = signed.withColumn("next_f", F.lead("f").over(follow)).where(F.col("info.ghost") == 0)
     return signed.select(

@@ -49,7 +49,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     length, found = 1, []
     while True:
         enough = F.col("copy") & (F.col("long") if length == 1 and min_lines > 1 else F.lit(True))
-        if 2 * length > min_lines or length == 1:
+        if length >= min_lines or length == 1:
             found.append(level.where(enough).select(*KEY, F.lit(length).alias("length")))
         then = level.select("d", "th", (F.col("at") - length).alias("at"), F.col("r").alias("r2"))
         pairs = level.select(*KEY, F.col("r").alias("r1")).join(then, KEY)

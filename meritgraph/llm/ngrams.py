@@ -91,7 +91,7 @@ def _dealt(p: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatc
     order = np.argsort(p, kind="stable")
     p, keys, counts = p[order], keys[order], counts[order]
     parts, at = np.unique(p, return_index=True)
-    runs = [_run(keys[a:b], counts[a:b]) for a, b in zip(at, [*at[1:], len(p)], strict=True)]
+    runs = [_run(keys[a:b], counts[a:b]) for a, b in zip(at, np.append(at, len(p))[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([r[0] for r in runs], pa.binary()), pa.array([r[1] for r in runs], pa.binary())], names=["p", "keys", "counts"])
 
 
@@ -216,7 +216,7 @@ def _by(p: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The places of each value."""
     order = np.argsort(p, kind="stable")
     values, at = np.unique(p[order], return_index=True)
-    for k, a, b in zip(values.tolist(), at, [*at[1:], len(p)], strict=True):
+    for k, a, b in zip(values.tolist(), at, np.append(at, len(p))[1:], strict=True):
         yield k, order[a:b]
 
 

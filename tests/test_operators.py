@@ -3,7 +3,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import SF
+from oracle import SF
 from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import is_address, prefixes

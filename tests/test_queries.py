@@ -1,8 +1,7 @@
 """Every query of the library against its SQL, and the contract of the entry module."""
 
 import pytest
-from conftest import SF
-from oracle import same
+from oracle import SF, same
 
 import __spark_entry__ as entry
 from meritgraph.plans import registry
