@@ -36,7 +36,8 @@ from meritgraph.llm.components import components
 SKETCH = 48
 LIST = 12
 SIGNATURE_BITS = 20
-BLOCK = 1_024
+#: Bounds of one side of a block: members, and shingles in their sets (8 MB).
+BLOCK, BLOCK_SHINGLES = 1_024, 1 << 20
 #: Lists of ids are broadcast up to this many rows (under 16 MB); longer ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -174,7 +175,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     l, r = apart.alias("l"), inside.alias("r")
     of = lambda s: {"n": F.col(f"{s}.n"), "sig": F.col(f"{s}.sig")}
     met = (F.col("l.value") == F.col("r.value")) & (F.col("l.component") != F.col("r.component")) & _near(of("l"), of("r"), percent)
-    some = lambda x, y: checkpointed(x.join(y, met, "left_semi").select("value", "rep", "component"))
+    some = lambda x, y: checkpointed(x.join(y, met, "left_semi").select("value", "rep", "component", "n"))
     more = _across(docs, some(l, r), some(r, l), size, percent)
     if more.isEmpty():
         return drawn
@@ -182,15 +183,15 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
 
 
 def _across(docs: DataFrame, few: DataFrame, many: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between members (value, rep, component) of ``few`` and of ``many`` of the same list and of
+    """Links (a, b) between members (value, rep, component, n) of ``few`` and of ``many`` of the same list and of
     different components: for each member of ``few`` one link to each component that it has any with.
 
-    Lists are cut into blocks of at most about BLOCK members on either side; each pair of blocks is one task's work, on
-    full sets, so that no row is made for a pair without a link."""
+    Lists are cut into blocks of at most about BLOCK members and BLOCK_SHINGLES shingles on either side; each pair of
+    blocks is one task's work, on full sets, so that no row is made for a pair without a link."""
     ids = checkpointed(few.select("rep").union(many.select("rep")).distinct().withColumnRenamed("rep", "id"))
     sets = checkpointed(_sets(docs, ids, size))
-    n = few.groupBy("value").agg(F.count(F.lit(1)).alias("nf")).join(many.groupBy("value").agg(F.count(F.lit(1)).alias("nm")), "value")
-    n = n.select("value", F.ceil(F.col("nf") / BLOCK).cast("int").alias("kf"), F.ceil(F.col("nm") / BLOCK).cast("int").alias("km"))
+    blocks_of = lambda k: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(k)
+    n = few.groupBy("value").agg(blocks_of("kf")).join(many.groupBy("value").agg(blocks_of("km")), "value")
 
     def dealt(members: DataFrame, own: str, other: str, side: int) -> DataFrame:
         each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
