@@ -217,7 +217,9 @@ def _across(docs: DataFrame, few: DataFrame, many: DataFrame, size: int, percent
             own = values[at[k] : at[k + 1]]
             lo, hi = np.searchsorted(known, own), np.searchsorted(known, own, side="right")
             hits = np.concatenate([places[x:y] for x, y in zip(lo, hi, strict=True)]) if len(own) else places[:0]
-            other, inter = np.unique(hits, return_counts=True)
+            shared = np.bincount(hits, minlength=len(ids))
+            other = np.flatnonzero(shared)
+            inter = shared[other]
             ok = (100 * inter >= percent * (len(own) + lengths[other] - inter)) & (component[other] != component[k])
             _, first = np.unique(component[other[ok]], return_index=True)
             a += [ids[k]] * len(first)
