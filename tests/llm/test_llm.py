@@ -118,6 +118,21 @@ def test_near_duplicates(docs, size):
     assert got == brute_components(rows, size)
 
 
+def test_long_lists_in_small_blocks(docs, monkeypatch):
+    """A family of near copies, of which some are linked only through others, cut into many blocks."""
+    rng, rows = random.Random(9), []
+    base = [f"w{k}" for k in range(80)]
+    for i in range(60):
+        w = base[:]
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            w[rng.randrange(80)] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(rows).repartition(3), 2).collect()}
+    assert got == brute_components(rows, 2)
+
+
 def test_near_duplicates_of_odd_rows(docs):
     got = neardup.near_duplicates(docs(ODD), 2).collect()
     assert len(got) == len(ODD)
