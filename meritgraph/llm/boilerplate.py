@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,13 +111,14 @@ def _place(kind: int, word: str) -> int:
 
 
 def features(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each block the places of its hashed features, their weights, and its lengths."""
+    """For each block the places of its hashed features, their weights (a word's: its share of the block's words), and its
+    lengths. All words of the whole block count."""
     places, weights, rest = [], [], np.zeros((len(found), LENGTHS), dtype=np.float32)
     for i, (path, text, linked) in enumerate(found):
-        words = text[:2_000].lower().split()
-        own = [_place(1, w.strip(".,:;!?()")) for w in words[:12]]
-        places.append(np.array([_place(0, x) for x in path] + own, dtype=np.int64))
-        weights.append(np.array([1.0] * len(path) + [1 / len(own)] * len(own) if own else [1.0] * len(path), dtype=np.float32))
+        words = text.lower().split()
+        own = Counter(_place(1, w.strip(".,:;!?()")) for w in words)
+        places.append(np.array([_place(0, x) for x in path] + list(own), dtype=np.int64))
+        weights.append(np.array([1.0] * len(path) + [c / len(words) for c in own.values()], dtype=np.float32))
         ends = sum(w[-1] in ".!?" for w in words)
         rest[i] = (np.log1p(len(text)) / 5, linked, ends / (len(words) or 1), np.log1p(len(words)) / 4, i / len(found), 1.0)
     return places, weights, rest

@@ -276,6 +276,14 @@ def test_extraction_of_the_tables_pages(spark):
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
 
 
+def test_all_words_of_a_block_count():
+    text = "aa " * 3_000 + "Cookies!"
+    (places,), (weights,), rest = boilerplate.features([(("<p",), text, 0.0)])
+    got = dict(zip(places.tolist(), weights.tolist(), strict=True))
+    assert got[boilerplate._place(1, "cookies")] == pytest.approx(1 / 3_001) and got[boilerplate._place(1, "aa")] == pytest.approx(3_000 / 3_001)
+    assert rest[0, 2] == pytest.approx(1 / 3_001) and rest[0, 3] == pytest.approx(math.log1p(3_001) / 4)
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<script>x</script><!-- open <p>never"), (4, "u", "<p>" * 5000), (5, "u", "<"), (5, "u", "<")]
     got = boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
