@@ -14,15 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritgraph.llm.common import checkpointed, table
-from meritgraph.llm.language import classify, learn
+from meritgraph.llm.language import classify, learn, least_scores
 from meritgraph.llm.lines import deduplicate
 from meritgraph.llm.neardup import BROADCAST_IDS, near_duplicates
 from meritgraph.llm.packing import pack
 from meritgraph.llm.quality import judge
 
-#: Texts whose cosine with their language's prototype is lower are in no language that was learned.
-MIN_LANGUAGE_SCORE = 0.05
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie within the thresholds of their language and source."""
@@ -30,9 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the documents themselves name."""
-    found = classify(docs, learn(docs), docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents in one of the languages that the documents themselves name: their cosine with its prototype is no less
+    than the limit that the scores of that language's documents give."""
+    prototypes = learn(docs)
+    limits = least_scores(docs, prototypes)
+    if not limits:
+        return docs.limit(0)
+    least = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("lang_pred")]
+    return classify(docs, prototypes, docs.columns).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

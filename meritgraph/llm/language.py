@@ -13,6 +13,7 @@ that are cut into blocks; the driver gets languages x DIMENSIONS numbers (more t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,11 @@ SEED = 20_011
 MAX_LANGUAGES = 1_000
 BLOCK_CHARS = 1 << 19
 BLOCK_TRIGRAMS = 1 << 13
+SCORE_BINS = 1_000
+MIN_DOCS = 30
+SPREAD = 6
+#: Cosines of independent vectors have a standard deviation of 1 / sqrt(DIMENSIONS); no limit is within five of them.
+NOISE = 5 / DIMENSIONS**0.5
 
 
 @lru_cache(maxsize=1)
@@ -117,18 +123,58 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {r.lang: np.array([x.x for x in r.v], dtype=np.float64) for r in sorted(rows)}
 
 
+def _matrix(prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    """Prototypes of length one, in columns."""
+    return np.stack([v / max(np.linalg.norm(v), 1.0) for v in prototypes.values()]).astype(np.float32).T
+
+
+def _cosines(block: list[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray) -> np.ndarray:
+    vectors = text_vectors(block)
+    return vectors @ matrix / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+
+def least_scores(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[str, float]:
+    """For each language the least score of a text in it, from the scores of all documents with that label: half the
+    lower quartile, or less where the scores are spread wider (SPREAD interquartile ranges below it), but over NOISE.
+    Scores are counted by bin; languages of under MIN_DOCS documents take the limit of all documents together."""
+    if not prototypes:
+        return {}
+    places, matrix = {l: i for i, l in enumerate(prototypes)}, _matrix(prototypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            texts, langs = (batch.column(i).to_pylist() for i in (0, 1))
+            for first, block in _blocks(texts):
+                for (keys, _), lang, row in zip(block, langs[first : first + len(block)], _cosines(block, matrix), strict=True):
+                    if len(keys) and lang in places:
+                        counts[lang, int(max(0.0, float(row[places[lang]])) * SCORE_BINS)] += 1
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "bin", "n"])
+
+    known = docs.where(F.col("lang").isNotNull()).select("text", "lang")
+    summed = known.mapInArrow(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    quartiles = F.percentile("bin", F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
+    rows = summed.rollup("lang").agg(F.sum("n").alias("n"), quartiles.alias("q")).where(F.col("n") > 0).collect()
+    limits = {}
+    for r in rows:
+        q1, q3 = (x / SCORE_BINS for x in r.q)
+        if r.lang is None or r.n >= MIN_DOCS:
+            limits[r.lang] = max(NOISE, min(q1 / 2, q1 - SPREAD * (q3 - q1)))
+    return {lang: limits.get(lang, limits.get(None, NOISE)) for lang in prototypes}
+
+
 def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and lang_score."""
     names = list(prototypes)
-    matrix = np.stack([v / max(np.linalg.norm(v), 1.0) for v in prototypes.values()]).astype(np.float32).T if names else None
+    matrix = _matrix(prototypes) if names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found, scores = [], []
             for _, block in _blocks(texts):
-                vectors = text_vectors(block)
-                cosines = vectors @ matrix / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) if names else np.zeros((len(block), 1))
+                cosines = _cosines(block, matrix) if names else np.zeros((len(block), 1))
                 for (keys, _), row in zip(block, cosines, strict=True):
                     fits = names and len(keys)
                     found.append(names[int(np.argmax(row))] if fits else "und")

@@ -402,6 +402,23 @@ def test_language_of_odd_rows(docs):
 # pipeline
 
 
+@pytest.mark.parametrize("copies", [0, 2_000])
+def test_language_stage_rejects_junk_and_unlearned_languages(spark, copies):
+    rng, frame = random.Random(3), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    clean = [(str(r.doc_id), r.text, r.lang if r.lang != "de" else None, r.source) for r in quality.judge(frame).where("quality.kept").collect()]
+    unlearned = {r[0] for r in clean if r[2] is None}
+    first = next(r for r in clean if r[2] == "en")
+    clean += [(f"copy{i}", *first[1:]) for i in range(copies)]
+    junk = []
+    for name, letters in (("latin", "abcdefghijklmnopqrstuvwxyz"), ("cyrillic", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("greek", "αβγδεζηθικλμνξοπρστυφχψω")):
+        for i in range(40):
+            text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 10))) for _ in range(rng.randint(25, 200)))
+            junk.append((f"{name}{i}", text, None, None))
+    d = spark.createDataFrame(clean + junk, "doc_id string, text string, lang string, source string").repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, d, SF).collect()}
+    assert len(unlearned) > 3 and kept == {r[0] for r in clean} - unlearned
+
+
 def test_pipeline(spark):
     before = spark.read.parquet(f"{SF}/documents.parquet")
     docs, columns = before, before.columns
