@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,12 @@ def resolve(refs: DataFrame, dictionaries: list[DataFrame], ref: str = "ref") ->
     return out.withColumn("address", F.coalesce(*(f"_a{i}" for i in range(len(dictionaries))))).drop(*names)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 1_000) -> DataFrame:
-    """(node, distance) of all nodes that can be reached from ``roots`` (node) along (src, dst): a frontier a round,
-    against what is known, so cycles end."""
+def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, distance) of all nodes that can be reached from ``roots`` (node) along (src, dst), or of those within
+    ``most`` steps: a frontier a round, against what is known, so cycles end."""
     known = checkpointed(roots.select("node").distinct().withColumn("distance", F.lit(0)))
     frontier = known
-    for k in range(1, most + 1):
+    for k in itertools.count(1) if most is None else range(1, most + 1):
         onward = edges.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
         frontier = checkpointed(onward.join(known, "node", "left_anti").withColumn("distance", F.lit(k)))
         if frontier.isEmpty():

@@ -347,6 +347,17 @@ def references_resolved(spark, sf):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS s, CAST(props->>'k' AS BIGINT) // 7 + 1 AS d FROM events WHERE event_type = 'error' AND value < 5),
 r(node, distance) AS (SELECT 3::BIGINT, 0 UNION SELECT d, distance + 1 FROM r JOIN e ON s = node WHERE distance < 12) SELECT node, min(distance)::INTEGER AS distance FROM r GROUP BY node""")
 def reachable_users(spark, sf):
+    """Over the errors of low value, within 12 steps, as the SQL says; reachable_users_whole has the whole closure."""
     e = tables.table(spark, sf, "events").where("event_type = 'error' AND value < 5")
-    found = e.select(F.col("user_id").alias("src"), (F.floor(F.get_json_object("props", "$.k").cast("long") / 7) + 1).alias("dst")).distinct()
-    return references.reachable(found, spark.createDataFrame([(3,)], "node long"), 12)
+    return references.reachable(_user_edges(e), spark.createDataFrame([(3,)], "node long"), 12)
+
+
+def _user_edges(events):
+    return events.select(F.col("user_id").alias("src"), (F.floor(F.get_json_object("props", "$.k").cast("long") / 7) + 1).alias("dst")).distinct()
+
+
+@query()
+def reachable_users_whole(spark, sf):
+    """Over all events, until no node is new."""
+    e = _user_edges(tables.table(spark, sf, "events")).where("dst IS NOT NULL")
+    return references.reachable(markov.checkpointed(e), spark.createDataFrame([(3,)], "node long"))

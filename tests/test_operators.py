@@ -1,3 +1,5 @@
+import inspect
+import json
 import math
 import random
 from decimal import Decimal
@@ -176,6 +178,29 @@ def test_closure_ends_on_cycles(spark):
     assert got == {1: 0, 2: 1, 3: 2}
 
 
+def test_closure_has_no_bound_on_steps(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(14)], "src long, dst long")
+    roots = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.distance for r in references.reachable(edges, roots).collect()} == {i: i for i in range(15)}
+    assert references.reachable(edges, roots, 3).count() == 4
+    assert inspect.signature(references.reachable).parameters["most"].default is None
+
+
+def test_closure_over_all_events(spark):
+    onward = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "props").collect():
+        k = json.loads(r.props or "{}").get("k")
+        if k is not None:
+            onward.setdefault(r.user_id, set()).add(int(k) // 7 + 1)
+    want, frontier = {3: 0}, [3]
+    while frontier:
+        new = {d for s in frontier for d in onward.get(s, ())} - want.keys()
+        want |= dict.fromkeys(new, want[frontier[0]] + 1)
+        frontier = list(new)
+    got = {r.node: r.distance for r in registry.QUERIES["reachable_users_whole"](spark, SF).collect()}
+    assert got == want and len(got) > 10
+
+
 def test_references_skip_code(spark):
     rows = spark.createDataFrame([(1, "see #12 and `#13`, by @ann-b\n```\n#14\n``` a&#15; https://x.org/y?z")], "k long, t string")
     got = {(r.kind, r.ref) for r in references.references(rows, "k", "t").collect()}
