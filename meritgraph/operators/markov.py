@@ -19,6 +19,7 @@ from meritgraph.operators.graph import Graph, solid
 
 LOOP = 1e-3
 STEPS_A_CHECKPOINT = 5
+THRESHOLD = 1e-7
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ class Stationary:
     actions: int
 
 
-def stationary(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: float, threshold: float = 1e-7, most: int = 255) -> Stationary:
+def stationary(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: float, threshold: float = THRESHOLD, most: int = 255) -> Stationary:
     """Acts until no node's change reaches the threshold; returns the distribution before the last action, and its
     greatest change."""
     own = transitions.repartition("src").persist()
@@ -233,10 +234,15 @@ def flows(scored: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def rank(g: Graph, node_weights: DataFrame, edge_weights: DataFrame, participants: DataFrame, p: Params = Params(), attributions: DataFrame | None = None, n_steps: int | None = None, weeks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores, transitions) of a graph; to convergence, or after a fixed number of actions."""
+    """(scores, transitions) of a graph; to convergence (an error where it isn't reached), or after a fixed number of
+    actions."""
     nodes, moves = compile_process(g, node_weights, edge_weights, participants, p, attributions, weeks)
     nodes, moves = checkpointed(nodes), checkpointed(moves)
     own = chain(moves)
     pi = uniform(nodes)
-    pi = steps(own, pi, pi, 0.0, n_steps) if n_steps is not None else stationary(own, pi, pi, 0.0).pi
-    return scores(nodes, pi), moves
+    if n_steps is not None:
+        return scores(nodes, steps(own, pi, pi, 0.0, n_steps)), moves
+    found = stationary(own, pi, pi, 0.0)
+    if found.delta >= THRESHOLD:
+        raise ValueError(f"the distribution still changes by {found.delta} after {found.actions} actions")
+    return scores(nodes, found.pi), moves

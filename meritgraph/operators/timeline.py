@@ -26,9 +26,10 @@ def decayed_edges(g: Graph, edge_weights: DataFrame, weeks: DataFrame, decay: fl
     return later.select("start_ms", "src", "dst", (F.col("forwards") * f).alias("forwards"), (F.col("backwards") * f).alias("backwards"))
 
 
-def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: DataFrame, decay: float = 0.5, alpha: float = 0.2, n_steps: int = 20) -> DataFrame:
+def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: DataFrame, decay: float = 0.5, alpha: float = 0.2, n_steps: int | None = None, threshold: float = 1e-7, most: int = 255) -> DataFrame:
     """(start_ms, address, p): each week's rank, all weeks at once, seeded by the week's decayed node weights (uniform
-    where a week has none)."""
+    where a week has none); until an action changes no node of any week by ``threshold``, which is an error after
+    ``most`` actions, or after a fixed number of actions. The change is looked at every few actions."""
     each = g.nodes.select("address").join(F.broadcast(weeks.select("start_ms")), F.lit(True))
     seeds = each.join(decayed_nodes(weighted, weeks, decay), ["start_ms", "address"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = seeds.groupBy("start_ms").agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("n"))
@@ -39,12 +40,25 @@ def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: Data
     out = both.groupBy("start_ms", "src").agg(F.sum("w").alias("t"))
     moves = both.groupBy("start_ms", "src", "dst").agg(F.sum("w").alias("w")).join(out, ["start_ms", "src"]).select("start_ms", "src", "dst", (F.col("w") / F.col("t")).alias("pr"))
     moves = moves.repartition("start_ms", "src").persist()
-    pi = seeds
-    for k in range(1, n_steps + 1):
+
+    def action(pi: DataFrame) -> DataFrame:
         flow = moves.join(pi.withColumnRenamed("address", "src"), ["start_ms", "src"]).select("start_ms", F.col("dst").alias("address"), ((1 - alpha) * F.col("p") * F.col("pr")).alias("p"))
-        pi = flow.union(seeds.select("start_ms", "address", alpha * F.col("p"))).groupBy("start_ms", "address").agg(F.sum("p").alias("p"))
+        return flow.union(seeds.select("start_ms", "address", alpha * F.col("p"))).groupBy("start_ms", "address").agg(F.sum("p").alias("p"))
+
+    pi = seeds
+    for k in range(1, (most if n_steps is None else n_steps) + 1):
+        after = action(pi)
         if k % STEPS_A_CHECKPOINT == 0:
-            pi = checkpointed(pi)
+            after = checkpointed(after)
+            if n_steps is None:
+                delta = pi.withColumnRenamed("p", "q").join(after, ["start_ms", "address"], "full_outer").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0] or 0.0
+                if delta < threshold:
+                    return after
+        elif n_steps is None and k % STEPS_A_CHECKPOINT == STEPS_A_CHECKPOINT - 1:
+            after = checkpointed(after)  # read twice, by the next action and by the change
+        pi = after
+    if n_steps is None:
+        raise ValueError(f"the weeks' ranks still change by {threshold} or more after {most} actions")
     return pi
 
 

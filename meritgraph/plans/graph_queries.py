@@ -221,15 +221,18 @@ RANK_SQL = f"""{PROCESS_SQL}, tr AS MATERIALIZED (SELECT src, dst, sum(pr) AS pr
 sc AS (SELECT address, p / (SELECT sum(p) FROM p{STEPS} WHERE starts_with(address, 'sum/')) * (SELECT sum(mint) FROM pn) AS score FROM p{STEPS})"""
 
 
-def _ranked(spark, sf):
+def _ranked(spark, sf, n_steps=STEPS):
     g = event_graph(spark, sf)
-    return markov.rank(g, node_weights(spark, g), edge_weights(spark, g), participants(g), _P, n_steps=STEPS)
+    return markov.rank(g, node_weights(spark, g), edge_weights(spark, g), participants(g), _P, n_steps=n_steps)
 
 
 @query(f"WITH {RANK_SQL} SELECT split_part(src, '/', 3) AS id, round(sum(score * pr), 6) AS score FROM al JOIN sc ON src = address WHERE kind = 'payout' GROUP BY 1 ORDER BY sum(score * pr) DESC, id LIMIT 10")
 def rank_top_participants(spark, sf):
     """The ten participants with the highest scores, after a fixed number of actions."""
-    scored, moves = _ranked(spark, sf)
+    return _top(*_ranked(spark, sf))
+
+
+def _top(scored, moves):
     own = markov.participant_scores(scored, moves).groupBy("id").agg(F.sum("score").alias("s"))
     return own.orderBy(F.desc("s"), "id").limit(10).select("id", F.round("s", 6).alias("score"))
 
@@ -241,7 +244,26 @@ def rank_participant_weeks(spark, sf):
 
 @query(f"WITH {RANK_SQL} SELECT kind, count(*) AS n, round(sum(score * pr), 6) AS flow FROM al JOIN sc ON src = address GROUP BY kind")
 def rank_flows(spark, sf):
-    return markov.flows(*_ranked(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("flow"), 6).alias("flow"))
+    return _flow_sums(*_ranked(spark, sf))
+
+
+def _flow_sums(scored, moves):
+    return markov.flows(scored, moves).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("flow"), 6).alias("flow"))
+
+
+@query()
+def rank_top_participants_converged(spark, sf):
+    return _top(*_ranked(spark, sf, None))
+
+
+@query()
+def rank_participant_weeks_converged(spark, sf):
+    return markov.participant_scores(*_ranked(spark, sf, None)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def rank_flows_converged(spark, sf):
+    return _flow_sums(*_ranked(spark, sf, None))
 
 
 @query()
@@ -285,17 +307,35 @@ tm AS MATERIALIZED (SELECT start_ms, src, dst, sum(w) / sum(sum(w)) OVER (PARTIT
 
 @query(f"WITH {TIMELINE_SQL} SELECT start_ms, address, round(p, 9) AS p FROM q4 WHERE starts_with(address, 'user/')")
 def timeline_rank(spark, sf):
+    return _timeline_ranks(spark, sf, 4)
+
+
+@query()
+def timeline_rank_converged(spark, sf):
+    return _timeline_ranks(spark, sf, None)
+
+
+def _timeline_ranks(spark, sf, n_steps):
     g = event_graph(spark, sf)
-    found = timeline.timeline(g, node_weights(spark, g), edge_weights(spark, g), _weeks(spark, g), n_steps=4)
+    found = timeline.timeline(g, node_weights(spark, g), edge_weights(spark, g), _weeks(spark, g), n_steps=n_steps)
     return found.where(F.startswith("address", F.lit("user/"))).select("start_ms", "address", F.round("p", 9).alias("p"))
 
 
 @query(f"""WITH {TIMELINE_SQL}, m AS ({_MINT}), h AS (SELECT start_ms, sum(p) AS held FROM q4 WHERE starts_with(address, 'user/') GROUP BY 1)
 SELECT start_ms, round(sum(p * CASE WHEN held > 0 THEN mint / held ELSE 0 END), 6) AS score FROM q4 JOIN m USING (start_ms) JOIN h USING (start_ms) WHERE starts_with(address, 'user/') GROUP BY 1""")
 def timeline_scores(spark, sf):
+    return _timeline_sums(spark, sf, 4)
+
+
+@query()
+def timeline_scores_converged(spark, sf):
+    return _timeline_sums(spark, sf, None)
+
+
+def _timeline_sums(spark, sf, n_steps):
     g = event_graph(spark, sf)
     own = node_weights(spark, g)
-    found = timeline.timeline(g, own, edge_weights(spark, g), _weeks(spark, g), n_steps=4)
+    found = timeline.timeline(g, own, edge_weights(spark, g), _weeks(spark, g), n_steps=n_steps)
     scored = timeline.to_scores(found, intervals.weekly_mint(own), "user/")
     return scored.where(F.startswith("address", F.lit("user/"))).groupBy("start_ms").agg(F.round(F.sum("score"), 6).alias("score"))
 

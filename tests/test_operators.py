@@ -4,17 +4,18 @@ import math
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import is_address, prefixes
 from meritgraph.functions.money import plain, split_budget
-from meritgraph.functions.weeks import WEEK, week_start
-from meritgraph.operators import builders, expressions, graph, intervals, ledger, markov, order, payouts, references, weights
+from meritgraph.functions.weeks import WEEK, week_intervals, week_start
+from meritgraph.operators import builders, expressions, graph, intervals, ledger, markov, order, payouts, references, timeline, weights
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.graph import Graph
-from meritgraph.plans import registry
+from meritgraph.plans import domain, graph_queries, registry
 from meritgraph.sources import exports, tables
 from meritgraph.streaming import weekly
 
@@ -80,6 +81,59 @@ def test_stationary_distribution_of_a_matrix(spark):
         markov.chain_from_matrix(spark, [[0.5, 0.6], [1, 0]])
 
 
+def test_converged_timeline_is_each_weeks_own_rank(spark):
+    g = domain.event_graph(spark, SF)
+    nodes, edges = domain.node_weights(spark, g), domain.edge_weights(spark, g)
+    weeks = week_intervals(g.nodes, "timestamp_ms")
+    at = {r.address: i for i, r in enumerate(g.nodes.select("address").collect())}
+    seeds, moves, want = {}, {}, {}
+    for r in timeline.decayed_nodes(nodes, weeks, 0.5).collect():
+        seeds.setdefault(r.start_ms, np.zeros(len(at)))[at[r.address]] = r.weight
+    for r in timeline.decayed_edges(g, edges, weeks, 0.5).collect():
+        m = moves.setdefault(r.start_ms, np.zeros((len(at), len(at))))
+        m[at[r.src], at[r.dst]] += r.forwards
+        m[at[r.dst], at[r.src]] += r.backwards
+    for w in (r.start_ms for r in weeks.collect()):
+        m = moves.get(w, np.zeros((len(at), len(at)))) + markov.LOOP * np.eye(len(at))
+        seed = seeds.get(w, np.zeros(len(at)))
+        seed = seed / seed.sum() if seed.sum() else np.full(len(at), 1 / len(at))
+        want[w] = np.linalg.solve(np.eye(len(at)) - 0.8 * (m / m.sum(1, keepdims=True)).T, 0.2 * seed)
+    got = registry.QUERIES["timeline_rank_converged"](spark, SF).collect()
+    assert len(got) == len(want) * sum(a.startswith("user/") for a in at)
+    assert all(abs(r.p - want[r.start_ms][at[r.address]]) < 1e-6 for r in got)
+    scored = {r.start_ms: r.score for r in registry.QUERIES["timeline_scores_converged"](spark, SF).collect()}
+    assert set(scored) <= set(want)
+    with pytest.raises(ValueError):
+        timeline.timeline(g, nodes, edges, weeks, most=5)
+
+
+def test_converged_ranks_are_stationary(spark):
+    g = domain.event_graph(spark, SF)
+    nodes, moves = markov.compile_process(g, domain.node_weights(spark, g), domain.edge_weights(spark, g), domain.participants(g), graph_queries._P)
+    nodes, moves = nodes.collect(), moves.collect()
+    at = {r.address: i for i, r in enumerate(nodes)}
+    src, dst, pr = np.array([at[r.src] for r in moves]), np.array([at[r.dst] for r in moves]), np.array([r.pr for r in moves])
+    pi = np.full(len(at), 1 / len(at))
+    for _ in range(3_000):
+        pi = np.bincount(dst, weights=pi[src] * pr, minlength=len(at))
+    score = pi / sum(pi[i] for a, i in at.items() if a.startswith("sum/")) * sum(r.mint for r in nodes)
+    weekly, flow = {}, {}
+    for r, x in zip(moves, score[src] * pr, strict=True):
+        flow[r.kind] = flow.get(r.kind, 0) + x
+        if r.kind == "payout":
+            _, start, who, _ = r.src.split("/")
+            weekly[who, int(start)] = x
+    got = {(r.id, r.start_ms): r.score for r in registry.QUERIES["rank_participant_weeks_converged"](spark, SF).collect()}
+    assert got.keys() == weekly.keys() and all(math.isclose(got[k], weekly[k], rel_tol=1e-2, abs_tol=1e-2) for k in got)
+    got = {r.kind: r.flow for r in registry.QUERIES["rank_flows_converged"](spark, SF).collect()}
+    assert got.keys() == flow.keys() and all(math.isclose(got[k], flow[k], rel_tol=1e-3) for k in got)
+    total = {}
+    for (who, _), x in weekly.items():
+        total[who] = total.get(who, 0) + x
+    got = registry.QUERIES["rank_top_participants_converged"](spark, SF).collect()
+    assert [r.score for r in got] == pytest.approx(sorted(total.values(), reverse=True)[:10], rel=1e-3)
+
+
 def test_merge_rejects_conflicts(spark):
     a = Graph(spark.createDataFrame([("a/", "x", None)], NODE), spark.createDataFrame([], EDGE))
     b = Graph(spark.createDataFrame([("a/", "y", None)], NODE), spark.createDataFrame([], EDGE))
