@@ -25,14 +25,19 @@ def check_order(events: DataFrame) -> None:
 
 
 def survivors(events: DataFrame) -> DataFrame:
-    """(id, target): what each merged identity ends as, by following merges (``other`` into ``id``) to the end."""
+    """(id, target): what each merged identity ends as, by following merges (``other`` into ``id``) to the end.
+    Identities that are merged twice, into themselves, or in a circle are errors."""
     names = checkpointed(events.where("type = 'MERGE'").select(F.col("other").alias("id"), F.col("id").alias("target")))
-    while True:
+    twice = names.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == F.col("target")).alias("own")).where("n > 1 OR own").limit(5).collect()
+    if twice:
+        raise ValueError(f"merged twice or into themselves: {sorted(r.id for r in twice)}")
+    for _ in range(names.count().bit_length() + 1):  # jumps double, so the longest way ends by then
         onward = names.select(F.col("id").alias("target"), F.col("target").alias("next"))
         jumped = checkpointed(names.join(onward, "target", "left").select("id", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")))
         if jumped.where("moved").isEmpty():
             return names
         names = jumped.select("id", "target")
+    raise ValueError("merges go round in a circle")
 
 
 def settled(events: DataFrame) -> DataFrame:
@@ -64,12 +69,13 @@ def accounts(events: DataFrame) -> DataFrame:
 
 
 def overdrawn(events: DataFrame) -> DataFrame:
-    """(id, seq) of transfers beyond the balance that the account had then (before merges)."""
+    """(id, seq) of transfers beyond the balance that the account had then (before merges). What an event takes is looked
+    at before what it gives, so a transfer to oneself has to be covered as well."""
     moves = events.where("type IN ('DISTRIBUTE', 'TRANSFER')").select("seq", F.inline(F.array(
         F.struct(F.col("id"), F.when(F.col("type") == "TRANSFER", -F.col("amount")).otherwise(F.col("amount")).cast(AMOUNT).alias("x")),
         F.struct(F.col("other").alias("id"), F.when(F.col("type") == "TRANSFER", F.col("amount")).otherwise(0).cast(AMOUNT).alias("x")),
     ))).where("id IS NOT NULL")
-    held = F.sum("x").over(Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    held = F.sum("x").over(Window.partitionBy("id").orderBy("seq", "x").rowsBetween(Window.unboundedPreceding, 0))
     return moves.withColumn("held", held).where("held < 0 AND x < 0").select("id", "seq")
 
 

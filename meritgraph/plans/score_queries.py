@@ -214,7 +214,7 @@ def ledger_survivors(spark, sf):
 
 @query("""WITH n AS (SELECT count(*) AS n FROM supplier), o AS (SELECT o_orderkey AS k, (o_custkey % n + 1)::VARCHAR AS u, (o_orderkey % n + 1)::VARCHAR AS v, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders, n),
 mv AS (SELECT 60000000 + k AS seq, u AS id, c AS x FROM o UNION ALL SELECT 70000000 + k, u, -1000000000 FROM o WHERE k % 7 = 0 UNION ALL SELECT 70000000 + k, v, 1000000000 FROM o WHERE k % 7 = 0),
-h AS (SELECT *, sum(x) OVER (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS held FROM mv) SELECT id, seq FROM h WHERE held < 0 AND x < 0""")
+h AS (SELECT *, sum(x) OVER (PARTITION BY id ORDER BY seq, x ROWS UNBOUNDED PRECEDING) AS held FROM mv) SELECT id, seq FROM h WHERE held < 0 AND x < 0""")
 def ledger_overdrawn(spark, sf):
     """Transfers ten million times as large as the ledger's own, so that some accounts can't pay."""
     e = _ledger(spark, sf)

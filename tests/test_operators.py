@@ -219,6 +219,28 @@ def test_unknown_keys_are_errors(spark):
         expressions.weigh(operands, configs).collect()
 
 
+LOG = "seq long, type string, id string, other string, amount decimal(38,0)"
+
+
+def test_overdrawn_looks_before_it_gives(spark):
+    rows = [(1, "DISTRIBUTE", "a", None, 5), (2, "TRANSFER", "a", "a", 6), (3, "TRANSFER", "a", "a", 5), (4, "TRANSFER", "a", "b", 4), (5, "TRANSFER", "b", "b", 4), (6, "TRANSFER", "b", "a", 9)]
+    rows = [(*r[:4], Decimal(r[4])) for r in rows]
+    for k in range(5):
+        random.Random(k).shuffle(rows)
+        got = ledger.overdrawn(spark.createDataFrame(rows, LOG).repartition(k + 1)).collect()
+        assert sorted((r.id, r.seq) for r in got) == [("a", 2), ("b", 6)]
+
+
+def test_merges(spark):
+    made = lambda pairs: spark.createDataFrame([(i, "MERGE", a, b, None) for i, (a, b) in enumerate(pairs)], LOG)
+    long = [(f"{i:03}", f"{i + 1:03}") for i in range(37)]
+    assert {r.id: r.target for r in ledger.survivors(made(long)).collect()} == {b: "000" for _, b in long}
+    assert ledger.survivors(made([])).count() == 0
+    for wrong in ([("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "a"), ("x", "y")], [("a", "b"), ("c", "b")], [("a", "a")]):
+        with pytest.raises(ValueError):
+            ledger.survivors(made(wrong))
+
+
 def test_ledger_order(spark):
     rows = spark.createDataFrame([(i, i) for i in range(50)], "seq long, ts_ms long")
     ledger.check_order(rows)
