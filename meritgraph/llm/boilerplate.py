@@ -10,8 +10,9 @@ to the tasks with the function.
 Scripts, styles, titles and other contents that a page never shows are no blocks. Character references are decoded,
 white space inside a block becomes one space, kept blocks are joined by a line feed. Null and empty pages give an empty
 text, as do pages without an article. Broken markup is read as browsers do in the main: unclosed elements end with
-their parents, an unclosed comment or script hides the rest. Repeated rows are extracted alike; other columns are not
-read.
+their parents, an unclosed comment or script hides the rest, a tag without its ``>`` ends at the next ``<``, and signs
+inside quoted attributes mean nothing. Markup is read in one pass whose time grows with the page, however deep or broken
+it is. Repeated rows are extracted alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meritgraph.llm.common import table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|textarea|select|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I
-)
+#: A tag after its ``<``: slash, name, and attributes with quoted values taken whole. No part gives back what it took.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+|[\"'])*+)>?")
+#: Elements whose contents are never shown, and how each ends.
+UNSEEN = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style title noscript template textarea select svg iframe object".split()}
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[^a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,14 +45,50 @@ ENDS |= {"dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["
 
 PATHS, WORDS, LENGTHS = 1024, 512, 6
 HIDDEN = 16
+FEATURES = 1 << 16
 PAGES, EPOCHS, BATCH, RATE = 800, 10, 20, 0.02
 SEED = 7
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(tags and names on the path, text, share of its characters in links) of each block with text."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+@lru_cache(maxsize=100_000)
+def _place(kind: int, word: str) -> int:
+    size, base = ((PATHS, 0), (WORDS, PATHS))[kind]
+    return base + zlib.crc32(word.encode("utf-8", "replace")) % size
+
+
+class _Open:
+    """The elements that are open: each with the hashed tags and names on its path, which it shares with its parent where
+    it adds none, and for each tag its places, so that nothing is ever searched for."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.paths: list[tuple[int, ...]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def path(self) -> tuple[int, ...]:
+        return self.paths[-1] if self.paths else ()
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def push(self, tag: str, names: list[str]) -> None:
+        path = self.path()
+        new = dict.fromkeys(p for p in (_place(0, x) for x in names) if p not in path)
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append((*path, *new) if new else path)
+
+    def cut(self, k: int) -> None:
+        for tag in self.tags[k:]:
+            self.places[tag].pop()
+        del self.tags[k:], self.paths[k:]
+
+
+def blocks(page: str | None) -> list[tuple[tuple[int, ...], str, float]]:
+    """(hashed tags and names on the path, text, share of its characters in links) of each block with text."""
+    out: list[tuple[tuple[int, ...], str, float]] = []
+    opened = _Open()
     parts: list[str] = []
     linked = 0
 
@@ -59,7 +97,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(dict.fromkeys(x for _, own in stack for x in own)), text, min(1.0, linked / len(text))))
+                out.append((opened.path(), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -68,56 +106,57 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened.places.get("a"):
                 linked += len(text.strip())
 
-    page, at = page or "", 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    page, at, seen = page or "", 0, 0  # up to ``at`` all is read, up to ``seen`` there is no tag
+    while (begin := page.find("<", seen)) >= 0:
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find("-->", begin + 2) if page.startswith("<!--", begin) else page.find(">", begin)
+            add(page[at:begin])
+            at = seen = len(page) if end < 0 else end + (3 if page.startswith("--", end) else 1)
+            continue
+        m = TAG.match(page, begin + 1)
+        if not m:  # a sign in the text
+            seen = begin + 1
+            continue
+        add(page[at:begin])
+        tag, at = m[2].lower(), m.end()
+        seen = at
+        if tag in UNSEEN and not m[1]:
+            if not (tag == "svg" and m[3].endswith("/")):
+                closed = UNSEEN[tag].search(page, at)
+                at = seen = closed.end() if closed else len(page)
             continue
-        tag = m[3].lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                del stack[k:]
+        if m[1]:
+            if (k := opened.last(tag)) >= 0:
+                opened.cut(k)
             continue
         if tag in ENDS:
             closes, bounds = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] in bounds:
-                    break
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            names = [x for found in NAMES.findall(m[4]) for x in PART.split("".join(found).lower()) if x] if m[4].strip() else []
-            stack.append((tag, (f"<{tag}", *names)))
+            if (k := max(map(opened.last, closes))) > max(map(opened.last, bounds)):
+                opened.cut(k)
+        if tag not in VOID and not m[3].rstrip().endswith("/"):
+            names = [x for found in NAMES.findall(m[3]) for x in PART.split("".join(found).lower()) if x] if m[3] else []
+            opened.push(tag, [f"<{tag}", *names])
     add(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _place(kind: int, word: str) -> int:
-    size, base = ((PATHS, 0), (WORDS, PATHS))[kind]
-    return base + zlib.crc32(word.encode("utf-8", "replace")) % size
-
-
-def features(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def features(found: list[tuple[tuple[int, ...], str, float]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each block the places of its hashed features, their weights (a word's: its share of the block's words), and its
     lengths. All words of the whole block count."""
     places, weights, rest = [], [], np.zeros((len(found), LENGTHS), dtype=np.float32)
     for i, (path, text, linked) in enumerate(found):
         words = text.lower().split()
         own = Counter(_place(1, w.strip(".,:;!?()")) for w in words)
-        places.append(np.array([_place(0, x) for x in path] + list(own), dtype=np.int64))
+        places.append(np.array([*path, *own], dtype=np.int64))
         weights.append(np.array([1.0] * len(path) + [c / len(words) for c in own.values()], dtype=np.float32))
         ends = sum(w[-1] in ".!?" for w in words)
         rest[i] = (np.log1p(len(text)) / 5, linked, ends / (len(words) or 1), np.log1p(len(words)) / 4, i / len(found), 1.0)
@@ -149,9 +188,13 @@ class Labeller:
         for j, (places, weights, rest) in enumerate(pages):
             if not places:
                 continue
-            sizes = np.array([len(p) for p in places])
-            all_rows = e[np.concatenate(places)] * np.concatenate(weights)[:, None]
-            own = np.add.reduceat(all_rows, np.cumsum(sizes) - sizes, axis=0) + rest @ x
+            own, ends = rest @ x, np.cumsum([len(p) for p in places])
+            a = 0
+            while a < len(places):  # so many blocks that their features stay within FEATURES rows
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FEATURES, side="right")))
+                rows = e[np.concatenate(places[a:b])] * np.concatenate(weights[a:b])[:, None]
+                own[a:b] += np.add.reduceat(rows, np.append(0, ends[a : b - 1] - (ends[a - 1] if a else 0)), axis=0)
+                a = b
             out[: len(places), j] = own if side == "f" else own[::-1]
         return out
 
@@ -176,6 +219,25 @@ class Labeller:
             out.append(1 / (1 + np.exp(-np.clip(both[:, 0], -30, 30))))
         return out, states
 
+    def label(self, pages: list) -> list[np.ndarray]:
+        """What ``run`` gives, without what only training needs: both directions take a step together, and a halved
+        argument turns each gate's logistic function into the tangent that the cell takes in any case."""
+        h, length, n = HIDDEN, max((len(p[0]) for p in pages), default=0), len(pages)
+        scale = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), h)
+        z = np.stack([self._inputs(side, pages, length) for side in "fb"], axis=1) * scale
+        u = np.stack([self.w["uf"], self.w["ub"]]) * scale
+        states, own = np.zeros((length + 1, 2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        for t in range(length):
+            gates = np.tanh(z[t] + states[t] @ u)
+            own = 0.5 * ((gates[..., h : 2 * h] + 1) * own + (gates[..., :h] + 1) * gates[..., 3 * h :])
+            states[t + 1] = 0.5 * (gates[..., 2 * h : 3 * h] + 1) * np.tanh(own)
+        out = []
+        for j, (places, _, _) in enumerate(pages):
+            k = len(places)
+            both = states[1 : k + 1, 0, j] @ self.w["of"] + states[1 : k + 1, 1, j][::-1] @ self.w["ob"] + self.w["o"]
+            out.append(1 / (1 + np.exp(-np.clip(both[:, 0], -30, 30))))
+        return out
+
     def gradients(self, pages: list, labels: list[np.ndarray]) -> dict[str, np.ndarray]:
         found, states = self.run(pages)
         total = sum(map(len, labels))
@@ -331,7 +393,7 @@ def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
         n = max(1, min(64, 4_096 // len(found[order[min(at + 63, len(order) - 1)]])))
         group = order[at : at + n]
         at += n
-        for i, p in zip(group, net.run([features(found[i]) for i in group])[0], strict=True):
+        for i, p in zip(group, net.label([features(found[i]) for i in group]), strict=True):
             out[i] = "\n".join(text for (_, text, _), x in zip(found[i], p, strict=True) if x >= 0.5)
     return out
 

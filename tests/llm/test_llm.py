@@ -278,7 +278,7 @@ def test_extraction_of_the_tables_pages(spark):
 
 def test_all_words_of_a_block_count():
     text = "aa " * 3_000 + "Cookies!"
-    (places,), (weights,), rest = boilerplate.features([(("<p",), text, 0.0)])
+    (places,), (weights,), rest = boilerplate.features([((boilerplate._place(0, "<p"),), text, 0.0)])
     got = dict(zip(places.tolist(), weights.tolist(), strict=True))
     assert got[boilerplate._place(1, "cookies")] == pytest.approx(1 / 3_001) and got[boilerplate._place(1, "aa")] == pytest.approx(3_000 / 3_001)
     assert rest[0, 2] == pytest.approx(1 / 3_001) and rest[0, 3] == pytest.approx(math.log1p(3_001) / 4)
@@ -289,7 +289,55 @@ def test_odd_pages(spark):
     got = boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got) and got[2].text == ""
     found = boilerplate.blocks('<ul class="menu x"><li>a &amp; b<li>c</ul><p>d\n e<br>f<p><b>g</p>h')
-    assert [t for _, t, _ in found] == ["a & b", "c", "d e f", "g", "h"] and {"<ul", "menu", "x", "<li"} <= set(found[0][0])
+    assert [t for _, t, _ in found] == ["a & b", "c", "d e f", "g", "h"] and {boilerplate._place(0, x) for x in ("<ul", "menu", "x", "<li")} == set(found[0][0])
+    assert boilerplate.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    own = spark.createDataFrame([("keep", 1, "u", "<article><p>Some words of an article.</article>", "x")], "text string, page_id long, url string, html string, blocks string")
+    assert boilerplate.extract(own).columns == ["page_id", "url", "text", "n_chars"] and boilerplate.extract(own).first().page_id == 1
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p><a title="a>b">two</a>', ["two"]), ("<p title='<p>no'>yes", ["yes"]), ('<p title="open>text<p>more', ["text", "more"]), ("<p data-x=it's>one</p><p>it's", ["one", "it's"]),
+    ("1 < 2 &lt; 3", ["1 < 2 < 3"]), ("a<div class=x<p>b", ["a", "b"]), ("a<!-- <p>x --> b<!-->c", ["a bc"]), ("<SCRIPT>x</script foo><p>y", ["y"]), ("<title>t</titles></title>u", ["u"]), ("x<svg/>y<svg><p>z</svg>", ["xy"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]), ("a</b></p></nothing>b", ["a", "b"]), ("x<", ["x<"]), ("x</", ["x</"]), ("x<b", ["x"]), ("<p\n class = 'm'\n>n<br/>o", ["n o"]),
+])
+def test_broken_markup(page, want):
+    assert [t for _, t, _ in boilerplate.blocks(page)] == want
+
+
+@pytest.mark.parametrize("part", ["<ab", "<div>", "<div>x ", "</p>", "<p class='", '<p class="', "<b><h1></h1>", "<td><p><td><b>", "<!--", "<a =", "&", "< ", "<script>", "<x id=\" class='", "<p>x</p>", "<i class=kk>", "x<svg/>"])
+def test_markup_is_read_in_linear_time(part):
+    import time
+
+    def cost(n):
+        began = time.process_time()
+        boilerplate.blocks(part * n)
+        return time.process_time() - began
+
+    cost(1_000)
+    small, large = cost(20_000), cost(100_000)
+    assert large < 2 or large < 12 * small
+
+
+def test_deep_names_share_their_paths():
+    rng = random.Random(1)
+    page = "".join(f"<div class={''.join(rng.choice('abcdefghij') for _ in range(8))}>{i} " for i in range(30_000))
+    found = boilerplate.blocks(page)
+    assert len(found) == 30_000 and len(found[-1][0]) <= boilerplate.PATHS and len({id(p) for p, _, _ in found}) <= boilerplate.PATHS + 1
+
+
+def test_labels_are_those_of_training(monkeypatch):
+    net, rng = boilerplate.trained(), np.random.default_rng(5)
+    pages = [boilerplate.features(boilerplate.blocks(boilerplate.invented_page(rng)[0])) for _ in range(9)] + [boilerplate.features([])]
+    want = net.run(pages)[0]
+    for bound in (boilerplate.FEATURES, 1, 40):
+        monkeypatch.setattr(boilerplate, "FEATURES", bound)
+        for a, b in zip(net.label(pages), want, strict=True):
+            assert np.allclose(a, b, atol=1e-5)
+
+
+def test_a_page_of_very_many_blocks():
+    text = boilerplate.main_texts(["<nav>Home</nav><article>" + "<p>Some words make a sentence here.</p>" * 20_000 + "</article>"], boilerplate.trained())[0]
+    assert text.count("\n") >= 19_900
 
 
 # 8
