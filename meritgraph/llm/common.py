@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +19,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder that the session names; a temporary folder
-    serves only where neither the session nor the context names one, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session or its context names. Only a local master, as in tests, may go without:
+    it gets a temporary folder; on a cluster each machine would have its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a Parquet table in the shared folder, of which later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, lengthened until none of the columns ``taken`` is called so."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+#: Keys with more rows than both LEAST_HOT and the MAX_HOTth part of all rows are hot: at most MAX_HOT keys.
+LEAST_HOT, MAX_HOT = 500, 50_000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` (``total``, materialised) joined with ``groups``, which has each key once and its number of rows in
+    ``n``. Hot keys are few by their definition, so theirs are broadcast and their rows stay where they are; the others
+    are shuffled, and none of them can fill a task."""
+    bound = max(LEAST_HOT, total // MAX_HOT)
+    hot = F.broadcast(groups.where(F.col("n") > bound).drop("n"))
+    rest = groups.where(F.col("n") <= bound).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, which is evaluated once however often the body (or a lambda in it) names it."""
     return F.transform(F.array(value), body)[0]

@@ -1,14 +1,18 @@
 """Quality rules with thresholds that adapt to each language and source. DataFrame functions only.
 
-Each metric of a document becomes a bin number; counts by (language, source, metric, bin) are an equal-width
-quantile sketch: two sketches merge by adding counts, the error is one bin, and, unlike randomised sketches, every
-run and every retried task gives the same answer. Quartiles of the sketches give fences (quartile plus or minus a
-multiple of the interquartile range, with a slack for groups without spread), which the documents' statistics are
-joined with. Texts are never shuffled or stored: what needs them afterwards reads and counts them a second time.
+Each metric's values go into mergeable quantile sketches (KLL, rank error about 0.2% at ``SKETCH``, exact for up to
+``SKETCH`` values), one for each language and source; sketches of a language, and of all documents, are merged from
+those. Quartiles of the sketches give fences, SPREAD interquartile ranges beyond them, and nothing else does: a group
+whose documents are all alike has a narrow fence. A document is rejected when it is beyond a fence by more than its own
+error, ERROR / sqrt(n) for a share or mean of n things (three standard errors of a share at most), so short documents
+have more room. Statistics are computed once and written with the columns that the caller keeps.
 
 Null or empty texts count as texts without words (they fail the base rule). Null languages and sources are groups of
-their own. Groups of under ``MIN_DOCS`` documents take the fences of all documents together. Repeated rows are judged
-alike; only the named columns are read, so extra columns pass through untouched.
+their own. Groups of under ``MIN_DOCS`` documents that pass the base rule take the fences of their language, and those
+of all documents where that has too few as well. Values on a fence are inside. Repeated rows are judged alike; an empty
+table gives no rows; columns of any other name pass through untouched. Beyond ``SKETCH`` documents a group's sketch
+keeps a random choice of ranks, so another run may move a fence by its rank error; within a run all documents meet the
+same fence.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import SPACE_CHARS, checkpointed, let, table, words
+from meritgraph.llm.common import SPACE_CHARS, checkpointed, let, quoted, table, words, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -26,9 +30,13 @@ SPREAD = 3
 #: Thresholds are broadcast up to this many rows; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 SALTS = 32
-#: metric: (slack in bins, whether values that are too low are rejected as well)
-METRICS = {"symbols": (50, False), "dup_lines": (500, False), "repeats": (300, False), "echoes": (100, False), "word_length": (30, True)}
-TOP_BIN = 2_000
+SKETCH = 2_048
+ERROR = 1.5
+#: metric: (what is counted, out of what, whether values that are too low are rejected as well)
+METRICS = {
+    "symbols": ("n_symbols", "word_chars", False), "dup_lines": ("n_dup_lines", "n_lines", False), "repeats": ("n_repeat_words", "n_words", False),
+    "echoes": ("n_echoes", "n_words", False), "word_length": ("word_chars", "n_words", True),
+}
 
 
 def _repeat_words(keys: Column) -> Column:
@@ -46,9 +54,9 @@ def _repeat_words(keys: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), 0).otherwise(let(let(ordered, again), covered))
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``stats``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def base_statistics(text: Column) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_echoes, n_lines (long) of a text."""
+    text = F.coalesce(text, F.lit(""))
 
     def doubled(a: Column, k: int) -> Column:
         return F.zip_with(a, F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
@@ -70,88 +78,87 @@ def base_statistics(docs: DataFrame) -> DataFrame:
             let(lines, F.size).cast("long").alias("n_lines"),
         )
 
-    return docs.withColumn("stats", let(words(text), stats))
+    return let(words(text), stats)
 
 
 def _base_failed(s: Column) -> Column:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
 
-def _bins(s: Column) -> dict[str, Column]:
-    per = lambda a, b, scale: F.least(F.floor(scale * a / F.greatest(b, F.lit(1))), F.lit(TOP_BIN)).cast("int")
-    return {
-        "symbols": per(s["n_symbols"], s["word_chars"], 1000),
-        "dup_lines": per(s["n_dup_lines"], s["n_lines"], 1000),
-        "repeats": per(s["n_repeat_words"], s["n_words"], 1000),
-        "echoes": per(s["n_echoes"], s["n_words"], 1000),
-        "word_length": per(s["word_chars"], s["n_words"], 10),
-    }
-
-
-def sketch(stats: DataFrame) -> DataFrame:
-    """Counts by (lang, source, metric, bin) over documents that pass the base rule."""
-    bins = F.array(*(F.struct(F.lit(m).alias("metric"), b.alias("bin")) for m, b in _bins(F.col("stats")).items()))
-    # a filter would be pushed below the statistics, which would then be computed twice
-    flat = stats.select("lang", "source", F.explode(F.when(~_base_failed(F.col("stats")), bins)).alias("x"))
-    return flat.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def fences(counts: DataFrame, by: list[str]) -> DataFrame:
-    """A row for each group: n_docs and, for each metric, the lowest and highest bin that is kept."""
-    # quartiles from the merged sketch: the first bin at which the running count reaches the share
-    merged = counts.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
-    grouped = merged.groupBy(*by, "metric").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("total"))
-
-    def quantile(share: float) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            run = a["run"] + x["n"]
-            return F.struct(run.alias("run"), F.when(a["bin"] >= 0, a["bin"]).when(run >= F.col("total") * share, x["bin"]).otherwise(-1).alias("bin"))
-
-        return F.aggregate("h", F.struct(F.lit(0).cast("long").alias("run"), F.lit(-1).alias("bin")), step, lambda a: a["bin"])
-
-    q = grouped.select(*by, "metric", "total", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    slack = F.create_map(*(F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)))[F.col("metric")]
-    low = F.create_map(*(F.lit(x) for m, (_, both) in METRICS.items() for x in (m, both)))[F.col("metric")]
-    reach = SPREAD * (F.col("q3") - F.col("q1")) + slack
-    q = q.select(*by, "metric", "total", F.when(low, F.col("q1") - reach).otherwise(-1).alias("lo"), (F.col("q3") + reach).alias("hi"))
-    return q.groupBy(*by).agg(F.max("total").alias("n_docs"), *(F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{m}_{x}") for m in METRICS for x in ("lo", "hi")))
-
-
-def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, and lang and source if they have them) with ``stats`` and ``quality`` (struct base_failed, kept).
-    A frame that has ``stats`` already is not computed anew."""
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    judged = docs if "stats" in docs.columns else base_statistics(docs)
-    counts = checkpointed(sketch(judged.select("stats", lang.alias("lang"), source.alias("source"))))
-    limits = fences(counts, ["lang", "source"]).where(F.col("n_docs") >= MIN_DOCS)
-    overall = fences(counts.withColumn("everywhere", F.lit(1)), ["everywhere"]).drop("everywhere", "n_docs")
-    names = [f"{m}_{x}" for m in METRICS for x in ("lo", "hi")]
-    few = overall.select(F.struct(*names).alias("_overall"))
-    limits = checkpointed(limits.select(lang.alias("_lang"), source.alias("_source"), F.struct(*names).alias("_limits")))
-    same = lang.eqNullSafe(F.col("_lang")) & source.eqNullSafe(F.col("_source"))
+def _values(s: Column) -> dict[str, Column]:
+    return {m: s[a].cast("double") / F.greatest(s[b], F.lit(1)) for m, (a, b, _) in METRICS.items()}
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source): n documents that pass the base rule, and a quantile sketch of each metric over those."""
+    passes = ~_base_failed(F.col("s"))
+    own = [F.kll_sketch_agg_double(F.when(passes, v), SKETCH).alias(m) for m, v in _values(F.col("s")).items()]
+    return measured.groupBy("lang", "source").agg(F.count_if(passes).alias("n"), *own).where("n > 0")
+
+
+def merged(found: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of larger groups from those of smaller ones."""
+    return found.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in METRICS))
+
+
+def fences() -> Column:
+    """For each metric the highest and the lowest value that is inside (lowest: null where none is too low), from the
+    sketch in the column of its name."""
+    shares = F.array(F.lit(0.25), F.lit(0.75))
+
+    def limits(metric: str, low: bool) -> Column:
+        reach = lambda q: SPREAD * (q[1] - q[0])
+        lowest = (lambda q: q[0] - reach(q)) if low else (lambda q: F.lit(None).cast("double"))
+        return let(F.kll_sketch_get_quantile_double(F.col(metric), shares), lambda q: F.struct((q[1] + reach(q)).alias(f"{metric}_hi"), lowest(q).alias(f"{metric}_lo")))
+
+    return F.struct(*(limits(m, low).alias(m) for m, (_, _, low) in METRICS.items()))
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None, stats: str = "stats", quality: str = "quality") -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` (text, and lang and source if it has them), with ``stats`` and ``quality``
+    (struct base_failed, kept)."""
+    keep = docs.columns if keep is None else keep
+    if clash := {stats.lower(), quality.lower()} & {c.lower() for c in keep}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
+    of = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    # the caller's columns travel in one, where no name of theirs can meet one of ours
+    measured = written(docs.select(F.struct(*quoted(keep)).alias("row"), of("lang").alias("lang"), of("source").alias("source"), base_statistics(F.col("text")).alias("s")))
+    found = written(sketches(measured))
+    enough = F.col("n") >= MIN_DOCS
+    own = found.where(enough).select("lang", "source", fences().alias("own"))
+    wider = merged(found, ["lang"]).where(enough)
+    wider = wider.select(F.col("lang").alias("wl"), fences().alias("wider"))
+    everywhere = merged(found, [])
+    everywhere = everywhere.where("n > 0").select(fences().alias("everywhere"))
+    groups = found.select("lang", "source").join(own.withColumnsRenamed({"lang": "ol", "source": "os"}), F.col("lang").eqNullSafe(F.col("ol")) & F.col("source").eqNullSafe(F.col("os")), "left")
+    groups = groups.join(wider, F.col("lang").eqNullSafe(F.col("wl")), "left").join(F.broadcast(everywhere), F.lit(True), "left")  # one row
+    limits = checkpointed(groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.coalesce("own", "wider", "everywhere").alias("limit")))
+    same = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
     if limits.count() <= BROADCAST_ROWS:
-        judged = judged.join(F.broadcast(limits), same, "left")
+        met = measured.join(F.broadcast(limits), same, "left")
     else:  # so many groups, of which one may hold a third of all rows
-        salted = limits.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        judged = judged.withColumn("_s", F.pmod(F.xxhash64("stats"), F.lit(SALTS)).cast("int"))
-        judged = judged.join(salted, same & (F.col("_s") == F.col("_salt")), "left").drop("_s", "_salt")
-    judged = judged.join(F.broadcast(few), F.lit(True), "left")  # one row
-    limit = F.coalesce(F.col("_limits"), F.col("_overall"))
-    inside = F.lit(True)
-    for m, b in _bins(F.col("stats")).items():
-        inside &= F.coalesce(b.between(limit[f"{m}_lo"], limit[f"{m}_hi"]), F.lit(True))
-    failed = _base_failed(F.col("stats"))
-    judged = judged.withColumn("quality", F.struct(failed.alias("base_failed"), (~failed & inside).alias("kept")))
-    return judged.drop("_lang", "_source", "_limits", "_overall")
+        salted = limits.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        met = measured.withColumn("own_salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
+        met = met.join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
+    inside, failed = F.lit(True), _base_failed(F.col("s"))
+    for m, v in _values(F.col("s")).items():
+        error = F.lit(ERROR) / F.sqrt(F.greatest(F.col("s")[METRICS[m][1]], F.lit(1)).cast("double"))
+        low, high = F.col("limit")[m][f"{m}_lo"], F.col("limit")[m][f"{m}_hi"]
+        inside &= F.coalesce(v <= high + error, F.lit(True)) & F.coalesce(v >= low - error, F.lit(True))
+    return met.select("row.*", F.col("s").alias(stats), F.struct(failed.alias("base_failed"), (~failed & inside).alias("kept")).alias(quality))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     s = F.col("stats")
-    return judge(checkpointed(base_statistics(docs).drop("text"))).select("doc_id", *(s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("quality.base_failed").alias("base_failed"), F.col("quality.kept").alias("kept"))
+    return judge(docs, ["doc_id"]).select("doc_id", *(s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("quality.base_failed").alias("base_failed"), F.col("quality.kept").alias("kept"))
 
 
+_QUARTILES = ", ".join(f"quantile_disc({m}, 0.25) AS {m}_1, quantile_disc({m}, 0.75) AS {m}_3" for m in METRICS)
+_INSIDE = " AND ".join(
+    f"{m} <= {m}_3 + {SPREAD} * ({m}_3 - {m}_1) + {ERROR} / sqrt(greatest({n}, 1)::DOUBLE)" + (f" AND {m} >= {m}_1 - {SPREAD} * ({m}_3 - {m}_1) - {ERROR} / sqrt(greatest({n}, 1)::DOUBLE)" if low else "")
+    for m, (_, n, low) in METRICS.items()
+)
 OP4_SQL = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -166,14 +173,11 @@ r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM e),
 p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM r WHERE c > 1),
 n AS (SELECT doc_id, sum(coalesce(least(8, j - i), 8))::BIGINT AS n_repeat_words FROM p GROUP BY doc_id),
 a AS (SELECT s.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM s LEFT JOIN n USING (doc_id)),
-f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-       least(1000 * n_symbols // greatest(word_chars, 1), {TOP_BIN}) AS symbols, least(1000 * n_dup_lines // greatest(n_lines, 1), {TOP_BIN}) AS dup_lines,
-       least(1000 * n_repeat_words // greatest(n_words, 1), {TOP_BIN}) AS repeats, least(1000 * n_echoes // greatest(n_words, 1), {TOP_BIN}) AS echoes, least(10 * word_chars // greatest(n_words, 1), {TOP_BIN}) AS word_length FROM a),
-g AS (SELECT lang, source, count(*) AS n, {", ".join(f"quantile_disc({m}, 0.25) AS {m}_1, quantile_disc({m}, 0.75) AS {m}_3" for m in METRICS)} FROM f WHERE NOT base_failed GROUP BY lang, source),
-o AS (SELECT {", ".join(f"quantile_disc({m}, 0.25) AS {m}_1, quantile_disc({m}, 0.75) AS {m}_3" for m in METRICS)} FROM f WHERE NOT base_failed),
-l AS (SELECT f.*, {", ".join(f"coalesce(g.{m}_{x}, o.{m}_{x}) AS {m}_{x}" for m in METRICS for x in (1, 3))} FROM f
-       LEFT JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND g.n >= {MIN_DOCS} LEFT JOIN o ON true)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND {" AND ".join(f"coalesce({m} <= {m}_3 + {SPREAD} * ({m}_3 - {m}_1) + {slack}" + (f" AND {m} >= {m}_1 - {SPREAD} * ({m}_3 - {m}_1) - {slack}" if both else "") + ", true)" for m, (slack, both) in METRICS.items())} AS kept
-FROM l
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{c}::DOUBLE / greatest({n}, 1) AS {m}" for m, (c, n, _) in METRICS.items())} FROM a),
+g AS (SELECT lang, source, count(*) AS n, {_QUARTILES} FROM f WHERE NOT base_failed GROUP BY lang, source),
+h AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM f WHERE NOT base_failed GROUP BY lang),
+o AS (SELECT {_QUARTILES} FROM f WHERE NOT base_failed),
+l AS (SELECT f.*, {", ".join(f"CASE WHEN g.n IS NOT NULL THEN g.{m}_{x} WHEN h.n IS NOT NULL THEN h.{m}_{x} ELSE o.{m}_{x} END AS {m}_{x}" for m in METRICS for x in (1, 3))} FROM f
+       LEFT JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND g.n >= {MIN_DOCS} LEFT JOIN h ON f.lang IS NOT DISTINCT FROM h.lang AND h.n >= {MIN_DOCS} LEFT JOIN o ON true)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_INSIDE}, true) AS kept FROM l
 """
