@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import SPACE_CHARS, checkpointed, let, table
+from meritgraph.llm.common import SPACE_CHARS, checkpointed, join_counted, let, quoted, table, written
 
 MIN_LINES = 2
 MIN_CHARS = 50
@@ -41,63 +41,70 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     """d, th, at (place among the lines with words), length: the longest prefix of a power of two that is a later copy."""
     d, th = _key(docs)
     solid = F.transform(F.filter(F.split("text", "\n"), _solid), lambda x: F.struct(F.xxhash64(x).alias("r"), (F.length(x) >= min_chars).alias("long")))
-    lines = docs.where("text IS NOT NULL").select(d.alias("d"), th.alias("th"), F.posexplode(solid).alias("at", "x")).select(*KEY, "x.r", "x.long")
-    first = F.min(F.struct(*KEY)).alias("first")
-    groups = lines.groupBy("r").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n")
-    copy = F.col("first") != F.struct(*KEY)
-    level = checkpointed(lines.join(groups, "r").select(*KEY, "r", "long", copy.alias("copy")).dropDuplicates(KEY))
+    lines = written(docs.where("text IS NOT NULL").select(d.alias("d"), th.alias("th"), F.posexplode(solid).alias("at", "x")).select(*KEY, "x.r", "x.long"))
+    copy = (F.col("first") != F.struct(*KEY)).alias("copy")
+
+    def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
+        """The intervals of suffixes that agree in ``by``: their size and first member. Only those of two or more."""
+        return checkpointed(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY)).alias("first")).where("n > 1"))
+
+    def followed(rows: DataFrame, by: int) -> DataFrame:
+        """Suffixes with their rank and that of the suffix ``by`` lines on, where that one is repeated as well."""
+        ahead = Window.partitionBy("d", "th").orderBy("at").rangeBetween(by, by)
+        return checkpointed(rows.select(*KEY, F.col("r").alias("r1"), F.max("r").over(ahead).alias("r2")).where("r2 IS NOT NULL"))
+
+    level = join_counted(lines, repeated(lines, ["r"]), ["r"], lines.count())
+    level = checkpointed(level.select(*KEY, "r", "long", copy).dropDuplicates(KEY))
     length, found = 1, []
     while True:
-        enough = F.col("copy") & (F.col("long") if length == 1 and min_lines > 1 else F.lit(True))
         if length >= min_lines or length == 1:
+            enough = F.col("copy") & (F.col("long") if length == 1 and min_lines > 1 else F.lit(True))
             found.append(level.where(enough).select(*KEY, F.lit(length).alias("length")))
-        then = level.select("d", "th", (F.col("at") - length).alias("at"), F.col("r").alias("r2"))
-        pairs = level.select(*KEY, F.col("r").alias("r1")).join(then, KEY)
         if length < min_lines < 2 * length:  # runs of min_lines exactly: two overlapping prefixes
-            reach = level.select("d", "th", (F.col("at") - (min_lines - length)).alias("at"), F.col("r").alias("r2"))
-            exact = level.select(*KEY, F.col("r").alias("r1")).join(reach, KEY)
-            same = exact.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-            found.append(checkpointed(exact.join(same, ["r1", "r2"]).where(copy).select(*KEY, F.lit(min_lines).alias("length"))))
-        groups = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n")
-        # ids rise with the order of the pairs: the ranks of the next level
-        ranked = groups.repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2").withColumn("r", F.monotonically_increasing_id())
-        ranked = checkpointed(ranked)
-        if ranked.isEmpty():
+            exact = followed(level, min_lines - length)
+            same = join_counted(exact, repeated(exact, ["r1", "r2"]), ["r1", "r2"], exact.count())
+            found.append(checkpointed(same.where(copy).select(*KEY, F.lit(min_lines).alias("length"))))
+        pairs = followed(level, length)
+        groups = repeated(pairs, ["r1", "r2"])
+        if groups.isEmpty():
             break
-        level = checkpointed(pairs.join(ranked, ["r1", "r2"]).select(*KEY, "r", F.lit(True).alias("long"), copy.alias("copy")))
+        # ids rise with the order of the pairs: the ranks of the next level
+        ranked = checkpointed(groups.repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2").withColumn("r", F.monotonically_increasing_id()))
+        level = join_counted(pairs, ranked, ["r1", "r2"], pairs.count())
+        level = checkpointed(level.select(*KEY, "r", F.lit(True).alias("long"), copy))
         length *= 2
     return reduce(DataFrame.union, found).groupBy(*KEY).agg(F.max("length").alias("length"))
 
 
-def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """``docs`` without later copies of repeated runs in ``text``, and with n_lines (with words) and n_removed."""
-    if clash := {"n_lines", "n_removed"} & set(docs.columns):
+    if clash := {n_lines.lower(), n_removed.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_chars)
-    runs = runs.groupBy("d", "th").agg(F.collect_list(F.struct("at", "length")).alias("_runs")).select(F.col("d").alias("_d"), F.col("th").alias("_th"), "_runs")
-    runs = checkpointed(runs)
+    runs = checkpointed(runs.groupBy("d", "th").agg(F.collect_list(F.struct("at", "length")).alias("runs")).select(F.col("d").alias("rd"), F.col("th").alias("rth"), "runs"))
     d, th = _key(docs)
-    met = docs.join(runs, (d == F.col("_d")) & (th == F.col("_th")), "left")
-    none = F.array().cast("array<int>")
+    # the caller's columns travel in one, where no name of theirs can meet one of ours
+    met = docs.select(F.struct(*quoted(docs.columns)).alias("row"), d.alias("d"), th.alias("th")).join(runs, (F.col("d") == F.col("rd")) & (F.col("th") == F.col("rth")), "left")
+    none, text = F.array().cast("array<int>"), F.col("row.text")
 
     def without(lines: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(lines) - 1)
         solid = F.filter(places, lambda i: _solid(F.get(lines, i)))
 
         def removed(s: Column) -> Column:
-            gone = F.when(F.col("_runs").isNull(), none).otherwise(F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.slice(s, r["at"] + 1, r["length"])))))
+            gone = F.when(F.col("runs").isNull(), none).otherwise(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice(s, r["at"] + 1, r["length"])))))
             return F.struct(F.size(s).alias("n"), gone.alias("gone"))
 
         def rewritten(x: Column) -> Column:
             kept = F.transform(F.array_except(places, x["gone"]), lambda i: F.get(lines, i))
-            text = F.when(F.size(x["gone"]) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-            return F.struct(text.alias("text"), x["n"].alias("n"), F.size(x["gone"]).alias("gone"))
+            new = F.when(F.size(x["gone"]) == 0, text).otherwise(F.array_join(kept, "\n"))
+            return F.struct(new.alias("text"), x["n"].alias("n"), F.size(x["gone"]).alias("gone"))
 
         return let(let(solid, removed), rewritten)
 
-    met = met.withColumn("_new", F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), without)))
-    met = met.withColumn("text", F.col("_new.text")).withColumn("n_lines", F.coalesce("_new.n", F.lit(0))).withColumn("n_removed", F.coalesce("_new.gone", F.lit(0)))
-    return met.drop("_d", "_th", "_runs", "_new")
+    met = met.select("row", F.when(text.isNotNull(), let(F.split(text, "\n"), without)).alias("new"))
+    columns = [F.col("new.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return met.select(*columns, F.coalesce("new.n", F.lit(0)).alias(n_lines), F.coalesce("new.gone", F.lit(0)).alias(n_removed))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
