@@ -14,8 +14,9 @@ Misses: a pair at the very threshold fails the filters with a probability of abo
 sets are compared by 64-bit hashes of their shingles.
 
 Null, empty and blank texts have no shingles, are linked with nothing and are kept; texts of fewer words than a
-shingle has are one shingle. Rows without an id are linked with nothing. Repeated rows get the same answer each. Only
-doc_id and text are read.
+shingle has are one shingle. Rows without an id are linked with nothing. Repeated rows get the same answer each; rows of
+one id with different texts are judged each by its own text. An empty table gives no rows. Only doc_id and text are
+read.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import checkpointed, table
+from meritgraph.llm.common import checkpointed, table, written
 from meritgraph.llm.components import components
 
 SKETCH = 48
@@ -70,7 +72,7 @@ def signature(found: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (distinct shingles), digest of the set, sig, sketch (the least hashes)."""
+    """doc_id, text_hash, n (distinct shingles), digest of the set, sig, sketch (the least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +83,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sig.append(np.uint64(signature(found)).view(np.int64))
                 sketch.append(found[:SKETCH].view(np.int64))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sig", "sketch"])
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "digest", "sig", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sig long, sketch array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, sig long, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -172,16 +174,33 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     apart = inside.where("component <> cc")
     if apart.isEmpty():
         return drawn
-    l, r = apart.alias("l"), inside.alias("r")
     of = lambda s: {"n": F.col(f"{s}.n"), "sig": F.col(f"{s}.sig")}
-    met = (F.col("l.value") == F.col("r.value")) & (F.col("l.component") != F.col("r.component")) & _near(of("l"), of("r"), percent)
-    some = lambda x, y: checkpointed(x.join(y, met, "left_semi").select("value", "rep", "component", "n"))
-    more = _across(docs, some(l, r), some(r, l), size, percent)
+    blocks = checkpointed(_blocks(apart, inside, F.lit(0)))
+    few, many = _dealt(apart, blocks, 0), _dealt(inside, blocks, 1)
+    same = (F.col("l.value") == F.col("r.value")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    met = same & (F.col("l.component") != F.col("r.component")) & _near(of("l"), of("r"), percent)
+    some = lambda x, y: checkpointed(x.join(y, met, "left_semi").select("value", "rep", "component", "n").distinct())
+    more = _across(docs, some(few.alias("l"), many.alias("r")), some(many.alias("r"), few.alias("l")), size, percent)
     if more.isEmpty():
         return drawn
     return components(found.union(more))
 
 
+def _blocks(few: DataFrame, many: DataFrame, shingles: Column) -> DataFrame:
+    """Into how many blocks either side of a list (value) is cut: of BLOCK members and BLOCK_SHINGLES shingles at most."""
+    of = lambda k: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(shingles) / BLOCK_SHINGLES)).cast("int").alias(k)
+    return few.groupBy("value").agg(of("kf")).join(many.groupBy("value").agg(of("km")), "value")
+
+
+def _dealt(members: DataFrame, blocks: DataFrame, side: int) -> DataFrame:
+    """A row of each member for each pair of blocks (i, j) that its own block is in; no pair of blocks is large."""
+    own, other = ("kf", "km") if side == 0 else ("km", "kf")
+    found = members.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_IDS else blocks, "value")
+    mine, each = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    i, j = (mine, each) if side == 0 else (each, mine)
+    return found.select(*members.columns, i.alias("i"), j.alias("j"))
+
+
 def _across(docs: DataFrame, few: DataFrame, many: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between members (value, rep, component, n) of ``few`` and of ``many`` of the same list and of
     different components: for each member of ``few`` one link to each component that it has any with.
@@ -190,16 +209,9 @@ def _across(docs: DataFrame, few: DataFrame, many: DataFrame, size: int, percent
     blocks is one task's work, on full sets, so that no row is made for a pair without a link."""
     ids = checkpointed(few.select("rep").union(many.select("rep")).distinct().withColumnRenamed("rep", "id"))
     sets = checkpointed(_sets(docs, ids, size))
-    blocks_of = lambda k: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(k)
-    n = few.groupBy("value").agg(blocks_of("kf")).join(many.groupBy("value").agg(blocks_of("km")), "value")
-
-    def dealt(members: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        blocks = members.join(n, "value").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")).withColumn("theirs", each)
-        i, j = ("mine", "theirs") if side == 0 else ("theirs", "mine")
-        return blocks.select("value", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), F.col("rep").alias("id"), "component")
-
-    rows = dealt(few, "kf", "km", 0).unionByName(dealt(many, "km", "kf", 1)).join(sets, "id")
+    blocks = checkpointed(_blocks(few, many, F.col("n")))
+    both = (_dealt(x, blocks, k).select("value", "i", "j", F.lit(k).alias("side"), F.col("rep").alias("id"), "component") for k, x in enumerate((few, many)))
+    rows = reduce(DataFrame.union, both).join(sets, "id")
 
     def compare(part: pa.Table) -> pa.Table:
         side, ids, component = (part.column(c).to_numpy() for c in ("side", "id", "component"))
@@ -231,19 +243,41 @@ def _across(docs: DataFrame, few: DataFrame, many: DataFrame, size: int, percent
     return checkpointed(found.distinct())
 
 
+def _one_text_each(docs: DataFrame, sketched: DataFrame) -> DataFrame | None:
+    """``docs`` with ids of their own for the rows of ids that have several texts; None if there are none."""
+    texts = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b")
+    several = checkpointed(texts.select(F.col("doc_id").alias("several")))
+    n = several.count()
+    if not n:
+        return None
+    met = docs.join(F.broadcast(several) if n <= BROADCAST_IDS else several, F.col("doc_id") == F.col("several"), "left")
+    own = F.when(F.col("several").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    return written(met.select(own.alias("doc_id"), "text", F.col("doc_id").alias("was")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the linked documents), kept; a row for each row of ``docs``."""
+    """doc_id, text_hash, n_shingles, component_id (least doc_id of the linked documents), kept; a row for each row of
+    ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = checkpointed(sketches(docs, size))
+    split = _one_text_each(docs, sketched)
+    if split is not None:
+        was = split.select(F.col("doc_id").alias("own"), "was", F.xxhash64("text").alias("own_hash")).distinct()
+        docs, sketched = split, checkpointed(sketches(split, size))
     some = sketched.where("n > 0 AND doc_id IS NOT NULL")
     classes = checkpointed(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     drawn = links(docs, classes.select("rep", "n", "sig", "sketch"), size, percent)
     of = classes.select("digest", "rep").join(drawn.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))
-    own = sketched.select("doc_id", "n", "digest").join(of, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    own = sketched.select("doc_id", "text_hash", "n", "digest").join(of, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    found = own.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if split is not None:  # back to the ids as they were
+        named = found.join(was, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
+        least = named.groupBy("component_id").agg(F.min("was").alias("least")).withColumnRenamed("component_id", "c")
+        named = named.join(least, F.col("component_id") == F.col("c"), "left")
+        found = named.select(F.col("was").alias("doc_id"), "text_hash", "n_shingles", F.col("least").alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("text_hash")
