@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from meritgraph.llm.common import table
+from meritgraph.llm.common import fresh, quoted, table
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -164,27 +165,27 @@ def least_scores(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[str
     return {lang: limits.get(lang, limits.get(None, NOISE)) for lang in prototypes}
 
 
-def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and lang_score."""
+    if clash := {pred.lower(), score.lower()} & {c.lower() for c in keep}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     names = list(prototypes)
     matrix = _matrix(prototypes) if names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found, scores = [], []
-            for _, block in _blocks(texts):
+            for _, block in _blocks(batch.column(batch.num_columns - 1).to_pylist()):
                 cosines = _cosines(block, matrix) if names else np.zeros((len(block), 1))
                 for (keys, _), row in zip(block, cosines, strict=True):
                     fits = names and len(keys)
                     found.append(names[int(np.argmax(row))] if fits else "und")
                     scores.append(min(1.0, max(0.0, float(row.max()))) if fits else 0.0)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, pred, score])
 
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return read.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    # the text once more, last and under a name of its own
+    read = docs.select(*quoted(keep), F.col("text").alias(fresh("text_", keep)))
+    return read.mapInArrow(run, StructType([*docs.select(*quoted(keep)).schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())]))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
