@@ -140,6 +140,39 @@ def test_near_duplicates_of_odd_rows(docs):
     assert neardup.near_duplicates(docs([])).count() == 0
 
 
+def test_ids_with_several_texts(docs):
+    w = [f"w{k}" for k in range(40)]
+    near = lambda k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(5, " ".join(w)), (5, "a text of its own"), (3, near(7)), (9, near(20)), (5, " ".join(w)), (9, "a text of its own"), (-2, ""), (-2, "x y z")]
+    d = docs(rows).withColumns({"digest": F.lit(1), "rep": F.lit("r"), "was": F.lit(0)})
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(d, 2).collect())
+    assert got == sorted([(5, 39, 3, False), (5, 39, 3, False), (5, 4, 5, True), (3, 39, 3, True), (9, 39, 3, False), (9, 4, 5, False), (-2, 0, -2, True), (-2, 2, -2, True)])
+
+
+def test_near_duplicates_of_very_long_texts(docs):
+    rng = random.Random(2)
+    w = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-1_000])), (3, " ".join(w[60_000:] + [f"x{k}" for k in range(60_000)]))]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(rows), 2).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_all_pairs_of_the_table_are_found(spark):
+    """Recall against brute force over the whole table of 1,000 documents."""
+    folder = SF.replace("0.001", "0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    inverted, sets = {}, {i: set(neardup.shingles((t or "").encode(), 2).tolist()) for i, t in rows}
+    met = Counter()
+    for i, own in sets.items():
+        for x in own:
+            for j in inverted.setdefault(x, []):
+                met[j, i] += 1
+            inverted[x].append(i)
+    want = spark.createDataFrame([(a, b) for (a, b), n in met.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)], "a long, b long")
+    drawn = {r.node: r.component for r in components(want).collect()}
+    got = {r.doc_id: r.component_id for r in registry.QUERIES["op2_minhash_neardup"](spark, folder).collect()}
+    assert len(drawn) > 20 and got == {i: drawn.get(i, i) for i in got}
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(200, 200), (None, 3), (301, 300)], "a long, b long")
@@ -181,12 +214,31 @@ def test_fingerprints(docs):
 
 
 def test_quality_of_odd_rows(docs):
-    d = docs(ODD + [(10 + i, " ".join(f"word{j}" for j in range(30 + i)), "en" if i % 2 else None, None) for i in range(40)])
+    d = docs(ODD + [(10 + i, " ".join(f"word{j}" for j in range(30 + i)), "en" if i % 2 else None, None) for i in range(40)] + [(60, "word " * 200_000, "en", "s")])
     got = {r.doc_id: r for r in quality.judge(d).select("doc_id", "stats", "quality").collect()}
-    assert all(not got[i].quality.kept and got[i].quality.base_failed for i in (1, 2, 3, 4, 5, 7, None))
-    assert got[6].stats.n_repeat_words == got[6].stats.n_words == 120
+    assert all(not got[i].quality.kept and got[i].quality.base_failed for i in (1, 2, 3, 4, 5, 7, 60, None))
+    assert got[6].stats.n_repeat_words == got[6].stats.n_words == 120 and got[60].stats.n_repeat_words == 200_000
     assert all(got[i].quality.kept for i in range(10, 50))
     assert quality.judge(docs([])).count() == 0
+    own = d.withColumns({"row": F.lit(1), "limit": F.lit(2), "s": F.lit("x"), "gl": F.lit(3), "a.b": F.lit(4)})
+    found = quality.judge(own, stats="st", quality="q")
+    assert found.columns == [*own.columns, "st", "q"] and found.count() == d.count() and found.select("`a.b`").first()[0] == 4
+    with pytest.raises(ValueError):
+        quality.judge(d.withColumn("Stats", F.lit(1)))
+    assert quality.judge(d.select("doc_id", "text")).where("quality.kept").count() == 40  # no groups: all documents are one
+
+
+def test_base_statistics_of_odd_rows(docs):
+    rng, rows = random.Random(8), list(ODD)
+    for i in range(10, 40):
+        rows.append((i, "".join(rng.choice(["a", "bb", "# ", "<>", " ", " ", "\n", "\t", "é ", "a b c d e f g h "]) for _ in range(rng.randrange(200)))))
+    for r in docs(rows).dropDuplicates(["doc_id"]).select("text", quality.base_statistics(F.col("text")).alias("s")).collect():
+        text, w = r.text or "", (r.text or "").encode().split()
+        keys = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        seen, again = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")], {x for k, c in zip(keys, map(Counter(keys).get, keys)) if c > 1 for x in [k]}
+        covered = {k + j for k, x in enumerate(keys) if x in again for j in range(8)}
+        want = (len(w), sum(len(x.decode()) for x in w), sum(x in "#*$%&|<>" for x in text), len(seen) - len(set(seen)), len(covered), sum(a == b for a, b in zip(w, w[1:])), len(seen))
+        assert tuple(r.s) == want
 
 
 def test_many_groups_are_joined_salted(docs, monkeypatch):
@@ -197,6 +249,29 @@ def test_many_groups_are_joined_salted(docs, monkeypatch):
     assert [i for i, kept in want if not kept] == [7]
 
 
+def test_the_same_value_is_inside_in_one_language_only(docs):
+    """For each metric: texts of one language have none of it, texts of the other have it often; the odd one has it."""
+    plain = lambda i, n=300: [f"w{1000 + i}x{j}" for j in range(n)]
+    symbols = lambda i, k: " ".join(w + "#" * (j < k) for j, w in enumerate(plain(i)))
+    lines = lambda i, k: "\n".join([f"line {i} {j} of some words" for j in range(60)] + [f"the same {i}"] * k)
+    repeats = lambda i, k: " ".join(plain(i) + [f"r{i}x{j}" for j in range(8)] * k)
+    echoes = lambda i, k: " ".join(plain(i) + ["again"] * k)
+    length = lambda i, k: " ".join(w + "y" * k for w in plain(i))
+    for make, spread, odd in ((symbols, 150, 150), (lines, 25, 25), (repeats, 8, 8), (echoes, 40, 40), (length, 3, 3)):
+        rows = [(i, make(i, 0), "aa", "s") for i in range(60)] + [(100 + i, make(i, i * spread // 30), "bb", "s") for i in range(60)]
+        rows += [(900, make(900, odd), "aa", "s"), (901, make(901, odd), "bb", "s")]
+        got = {r.doc_id: r.quality.kept for r in quality.judge(docs(rows)).select("doc_id", "quality").collect()}
+        assert not got[900] and got[901] and all(got[i] for i in range(60))
+
+
+def test_small_groups_take_wider_fences(docs):
+    text = lambda i, k: " ".join(f"w{1000 + i}x{j}" + "#" * (j < k) for j in range(300))
+    rows = [(i, text(i, 0), "aa", "s") for i in range(60)] + [(100 + i, text(i, i * 5), "bb", "s") for i in range(60)]
+    rows += [(900, text(900, 150), "aa", "rare"), (901, text(901, 150), "bb", "rare"), (902, text(902, 2), "cc", "rare")]
+    got = {r.doc_id: r.quality.kept for r in quality.judge(docs(rows)).select("doc_id", "quality").collect()}
+    assert not got[900] and got[901] and got[902]
+
+
 # 5
 
 
@@ -248,6 +323,24 @@ def test_repeated_rows_are_no_copies(docs):
     got = sorted((r.doc_id, r.text) for r in lines.deduplicate(docs(rows)).collect())
     assert got == [(1, rows[0][1])] * 2 + [(2, "third")]
     assert lines.deduplicate(docs([])).count() == 0
+    with pytest.raises(ValueError):
+        lines.deduplicate(docs(rows).withColumn("N_Lines", F.lit(1)))
+    own = docs(rows).withColumns({"d": F.lit(1), "th": F.lit(2), "row": F.lit(3), "runs": F.lit(4), "a.b": F.lit(5)})
+    found = lines.deduplicate(own)
+    assert found.columns == [*own.columns, "n_lines", "n_removed"] and sorted((r.doc_id, r.text) for r in found.collect()) == got
+
+
+@pytest.mark.parametrize("bound", [0, 3])
+def test_hot_lines(docs, monkeypatch, bound):
+    """Lines and pairs of lines with more rows than the bound go the way of hot keys; long texts that repeat one line."""
+    from meritgraph.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", bound)
+    monkeypatch.setattr(common, "MAX_HOT", 10)
+    rows = [(i, "\n".join(["the hot line", "the next", f"own {i}"] if i % 2 else ["the hot line", f"own {i}", "the hot line", "the next", "more"])) for i in range(30)] + [(99, "the hot line\n" * 3_000)]
+    got = {r.doc_id: [x for x in r.text.split("\n") if x.split()] for r in lines.deduplicate(docs(rows).repartition(3)).collect()}
+    want = brute_lines(rows[:-1] + [(99, "the hot line\n" * 40)], lines.MIN_LINES, lines.MIN_CHARS)
+    assert got == want
 
 
 # 7
@@ -447,9 +540,37 @@ def test_language_of_odd_rows(docs):
     assert len(keys) == 3 and sorted(counts) == [1, 2, 2] or counts.sum() == 5
 
 
+def test_classified_columns(docs):
+    d = docs([(1, "some words"), (2, None)]).withColumns({"lang_pred": F.lit(1), "text_": F.lit("t")})
+    with pytest.raises(ValueError):
+        language.classify(d, {}, d.columns)
+    got = language.classify(d, language.learn(d), d.columns, "p", "s").orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == [1, 1] and [r.text_ for r in got] == ["t", "t"] and [r.text for r in got] == ["some words", None] and got[0].p == "en"
+
+
 # pipeline
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_with_odd_rows_and_columns(spark, name, stage):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["stats", "quality", "Lang_Pred", "lang_score", "n_lines", "n_removed", "gone_id", "gone_text", "_gone", "row", "s", "limit", "lang_", "text_hash", "a.b", "bucket"]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], frame.schema)
+    both = frame.unionByName(odd).unionByName(frame.limit(20))
+    want = sorted(map(repr, stage(spark, both, SF).collect()))
+    extra = both.withColumns({x: F.concat(F.lit(x), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for x in names})
+    found = stage(spark, extra, SF)
+    if name != "packing":
+        assert found.columns == extra.columns
+        for r in found.select("doc_id", *(f"`{x}`" for x in names)).collect():
+            assert list(r)[1:] == [f"{x}{'-' if r.doc_id is None else r.doc_id}" for x in names]
+        assert sorted(map(repr, found.select(*frame.columns).collect())) == want
+    else:
+        assert found.columns == stage(spark, both, SF).columns and found.count() == len(want)
+    nothing = stage(spark, extra.limit(0), SF)
+    assert nothing.count() == 0 and nothing.columns == found.columns
+
+
 @pytest.mark.parametrize("copies", [0, 2_000])
 def test_language_stage_rejects_junk_and_unlearned_languages(spark, copies):
     rng, frame = random.Random(3), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
