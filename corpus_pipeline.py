@@ -1,19 +1,19 @@
 """A training corpus from the table documents, in five stages: quality rules, language identification, line
 deduplication, near-duplicates, packing. Each stage works on all that its predecessor kept.
 
-Columns that documents has besides its own pass through all stages but the last. Null and empty texts fail the quality
-rules; an empty table gives no rows.
+Columns that documents has besides its own, whatever their names, pass through all stages but the last. Null and empty
+texts fail the quality rules; rows without an id are linked with nothing; repeated rows are judged alike; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import checkpointed, table
+from meritgraph.llm.common import checkpointed, fresh, quoted, table, written
 from meritgraph.llm.language import classify, learn, least_scores
 from meritgraph.llm.lines import deduplicate
 from meritgraph.llm.neardup import BROADCAST_IDS, near_duplicates
@@ -23,7 +23,8 @@ from meritgraph.llm.quality import judge
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie within the thresholds of their language and source."""
-    return judge(docs).where("quality.kept").select(*docs.columns)
+    stats, verdict = (fresh(x, docs.columns) for x in ("stats", "quality"))
+    return judge(docs, stats=stats, quality=verdict).where(F.col(verdict)["kept"]).select(*quoted(docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,23 +34,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     limits = least_scores(docs, prototypes)
     if not limits:
         return docs.limit(0)
-    least = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("lang_pred")]
-    return classify(docs, prototypes, docs.columns).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
+    pred, score = (fresh(x, docs.columns) for x in ("lang_pred", "lang_score"))
+    least = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col(pred)]
+    return classify(docs, prototypes, docs.columns, pred, score).where((F.col(pred) != "und") & (F.col(score) >= least)).select(*quoted(docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated lines; those of which nothing is left go."""
-    left = deduplicate(docs).where("n_removed = 0 OR n_removed < n_lines")
+    lines, removed = (fresh(x, docs.columns) for x in ("n_lines", "n_removed"))
+    left = deduplicate(docs, n_lines=lines, n_removed=removed).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left.select(*quoted(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, and all that have none."""
-    gone = checkpointed(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    """The first document of each group of near-duplicates, and all that have none. Repeated rows are one document."""
+    gone_id, gone_text = (fresh(x, docs.columns) for x in ("gone_id", "gone_text"))
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text)).distinct()
+    gone = checkpointed(gone)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_text)), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again."""
-    checkpointed(spark.range(1))  # names a folder where none is named yet
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
     return docs
