@@ -253,7 +253,7 @@ def test_the_same_value_is_inside_in_one_language_only(docs):
     """For each metric: texts of one language have none of it, texts of the other have it often; the odd one has it."""
     plain = lambda i, n=300: [f"w{1000 + i}x{j}" for j in range(n)]
     symbols = lambda i, k: " ".join(w + "#" * (j < k) for j, w in enumerate(plain(i)))
-    lines = lambda i, k: "\n".join([f"line {i} {j} of some words" for j in range(60)] + [f"the same {i}"] * k)
+    lines = lambda i, k: "\n".join([f"line {1000 + i} {j} of some words" for j in range(60)] + [f"the same {1000 + i}"] * k)
     repeats = lambda i, k: " ".join(plain(i) + [f"r{i}x{j}" for j in range(8)] * k)
     echoes = lambda i, k: " ".join(plain(i) + ["again"] * k)
     length = lambda i, k: " ".join(w + "y" * k for w in plain(i))
