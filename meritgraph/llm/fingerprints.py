@@ -3,12 +3,17 @@
 Each distinct word of a text is a term of weight (occurrences x length in code points). For each term and sample,
 gamma-distributed numbers derived from hashes of the two alone give the term's value (Ioffe's scheme); the least value
 over all terms is the sample's signature, and two texts agree in a sample with a probability that is their generalised
-Jaccard similarity (sum of the lesser weights over sum of the greater). SAMPLES minima are taken in one pass over a
-text's terms; the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
+Jaccard similarity (sum of the lesser weights over sum of the greater). The standard error of a likeness is at most
+0.5 / sqrt(SAMPLES).
+
+Words are counted inside their row, by sorting their hashes, so only distinct terms become rows; a term that a text
+shares with its edited text is one row, whose hashes and logarithms serve both weights. Samples are taken GROUP at a
+time. Rows are dealt out by ranges of doc_id of about SECTION_CHARS characters.
 
 Rows are ordered by (doc_id, text), nulls first; repeated rows follow one another and are each other's next. Null
 texts count as empty. Texts without words have fingerprints of zeros; two of those are alike (1.0), one of those and
-any other are not (0.0). Other columns are not read.
+any other are not (0.0). Very long texts are read whole; a word's length counts up to 2^20 code points. An empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,26 +21,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import shuffle_partitions, table, words
+from meritgraph.llm.common import let, shuffle_partitions, table, words
 
-SAMPLES = 32
+SAMPLES, GROUP = 64, 16
 LEAST = -(2**63)
 EMPTY = "00000000"
+SECTION_CHARS = 1 << 26
+#: The driver holds a bound and a key for each section.
+MAX_SECTIONS = 10_000
+LENGTH_BITS = 20
+
+
+def sample_values(term: Column, log_weights: list[Column], sample: Column) -> list[Column]:
+    """For each weight the logarithm of the term's value a = c / (y e^r): it is equal for equal terms whose weights
+    round alike. r and c are gamma-distributed with shape 2; all numbers follow from the term and the sample."""
+    first, second = F.xxhash64(term, sample), F.xxhash64(term, -1 - sample)
+    part = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
+    r, beta = -F.ln(part(first, 43, 21) * part(first, 22, 21)), part(first, 0, 22)
+    c = F.ln(-F.ln(part(second, 32, 32) * part(second, 0, 32)))
+    return [c - r * (F.floor(w / r + beta) - beta) - r for w in log_weights]
+
+
+def terms(a: Column, b: Column) -> Column:
+    """The distinct words of two texts: t (a hash with the word's length in its last bits) and the weights a and b (null
+    where the text doesn't have the word)."""
 
+    def keys(text: Column, which: int) -> Column:
+        low = lambda w: F.shiftleft(F.least(F.length(w), F.lit((1 << LENGTH_BITS) - 1)), 1).bitwiseOR(F.lit(which)).cast("long")
+        return F.transform(words(text), lambda w: F.shiftleft(F.xxhash64(w), LENGTH_BITS + 1).bitwiseOR(low(w)))
 
-def _halves(term: Column, sample: int, k: int) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from one hash."""
-    h = F.xxhash64(term, F.lit(4 * sample + k))
-    unit = lambda x: (x.cast("double") + 0.5) / float(2**32)
-    return unit(F.shiftrightunsigned(h, 32)), unit(h.bitwiseAND(F.lit(0xFFFFFFFF)))
+    def runs(s: Column) -> Column:
+        """(key, count), by key."""
+        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("key"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("n"))))
 
+    def paired(found: Column) -> Column:
+        """A text's key ends in 0, the other's equal word follows with a 1."""
+        t = lambda x: F.shiftright(x["key"], 1)
+        length = lambda x: t(x).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+        own = lambda x, which: F.when(x["key"].bitwiseAND(F.lit(1)) == which, x["n"] * length(x))
 
-def sample_value(term: Column, log_weight: Column, sample: int) -> Column:
-    """Logarithm of the term's value a = c / (y e^r): it is equal for equal terms whose weights round alike."""
-    (u0, u1), (u2, u3), (beta, _) = (_halves(term, sample, k) for k in range(3))
-    r = -F.ln(u0 * u1)
-    rounded = F.floor(log_weight / r + beta)
-    return F.ln(-F.ln(u2 * u3)) - r * (rounded - beta) - r
+        def joined(x: Column, j: Column) -> Column:
+            after = F.get(found, j + 1)
+            return F.struct(t(x).alias("t"), own(x, 0).alias("a"), F.coalesce(own(x, 1), F.when(t(after) == t(x), after["n"] * length(x))).alias("b"))
+
+        alone = lambda x, j: (j == 0) | (t(F.get(found, j - 1)) != t(x))
+        return F.filter(F.transform(found, lambda x, j: F.when(alone(x, j), joined(x, j))), lambda x: x.isNotNull())
+
+    return let(let(F.sort_array(F.concat(keys(a, 0), keys(b, 1))), runs), paired)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -45,6 +78,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(empty(a) & empty(b), 1.0).otherwise(equal / SAMPLES)
 
 
+def section_count(docs: DataFrame) -> int:
+    """Sections of about SECTION_CHARS characters, as many as the session has shuffle partitions at least."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return min(MAX_SECTIONS, max(shuffle_partitions(docs.sparkSession), -(-chars // SECTION_CHARS)))
+
+
 def _sections(docs: DataFrame, n: int) -> tuple[DataFrame, dict[int, int]]:
     """Rows with ``section`` (up to ``n`` ranges of doc_id, from an approximate quantile sketch), and for each
     section's least key the section before it in the ring: what the driver gets is bounded by ``n``."""
@@ -70,36 +109,31 @@ def with_next(docs: DataFrame, sections: int) -> DataFrame:
     return rows.select("section", "ghost", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
 
 
-def fingerprints(docs: DataFrame, sections: int) -> DataFrame:
-    rows = with_next(docs, sections)
+def fingerprints(docs: DataFrame, sections: int | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
+    rows = with_next(docs, section_count(docs) if sections is None else sections)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.when(F.col("ghost") == 0, F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half)))
-    rows = rows.select("section", "rn", "ghost", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    info = F.struct("ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"))
-    # one row for each word, and one for each document that carries its own columns; all later grouping is by
-    # (section, ...), which the window's exchange already deals out
-    none = F.lit(None).cast("struct<ghost:int,doc_id:bigint,n_chars:bigint,sha:string>")
-    item = lambda which: lambda w: F.struct(F.lit(which).alias("which"), F.xxhash64(w).alias("t"), F.length(w).alias("len"), none.alias("info"))
-    own = F.struct(F.lit(2).alias("which"), F.lit(0).cast("long").alias("t"), F.lit(1).alias("len"), info.alias("info"))
-    items = F.concat(F.transform(words(F.col("text")), item(0)), F.transform(words(F.col("edited")), item(1)), F.array(own))
-    flat = rows.select("section", "rn", F.inline(items))
-    terms = flat.groupBy("section", "rn", "which", "t", "len", "info").agg(F.count(F.lit(1)).alias("c"))
-    logged = terms.select("section", "rn", "which", "info", "t", F.ln((F.col("c") * F.col("len")).cast("double")).alias("w"))
-    own = F.when(F.col("which") < 2, F.col("w"))  # null for the row of the document's columns
-    least = logged.groupBy("section", "rn", "which", "info").agg(*(F.min(sample_value(F.col("t"), own, i)).alias(f"a{i}") for i in range(SAMPLES)))
-    sign = lambda a: F.when(a.isNull(), EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
-    signs = least.select("section", "rn", "which", "info", F.array(*(sign(F.col(f"a{i}")) for i in range(SAMPLES))).alias("s"))
-    of = lambda which: F.coalesce(F.max(F.when(F.col("which") == which, F.col("s"))), F.array_repeat(F.lit(EMPTY), SAMPLES))
-    signed = signs.groupBy("section", "rn").agg(of(0).alias("f"), of(1).alias("e"), F.max("info").alias("info"))
+    # all later grouping is by (section, ...), which the window's exchange already deals out
+    own = ["section", "rn", "ghost", "doc_id", "n_chars", "sha"]
+    rows = rows.withColumn("edited", edited).select("section", "rn", "ghost", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), terms(F.col("text"), F.coalesce("edited", F.lit(""))).alias("terms"))
+    flat = rows.select(*own, F.inline_outer("terms")).select(*own, "t", F.ln(F.col("a").cast("double")).alias("a"), F.ln(F.col("b").cast("double")).alias("b"))
+    flat = flat.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - GROUP), F.lit(GROUP))))
+    values = [sample_values(F.col("t"), [F.col("a"), F.col("b")], F.col("g") + i) for i in range(GROUP)]
+    least = flat.groupBy(*own, "g").agg(*(F.min(v).alias(f"{x}{i}") for i, pair in enumerate(values) for x, v in zip("ab", pair, strict=True)))
+    # in single precision, which the last bit of a logarithm hardly ever reaches
+    sign = lambda a: F.when(a.isNull(), EMPTY).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(a.cast("float")).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    signs = least.select(*own, F.struct("g", *(F.array(*(sign(F.col(f"{x}{i}")) for i in range(GROUP))).alias(x) for x in "ab")).alias("s"))
+    joined = signs.groupBy(*own).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    joined = joined.select(*own, F.flatten(F.transform("s", lambda x: x["a"])).alias("f"), F.flatten(F.transform("s", lambda x: x["b"])).alias("e"))
     follow = Window.partitionBy("section").orderBy("rn")
-    signed = signed.withColumn("next_f", F.lead("f").over(follow)).where(F.col("info.ghost") == 0)
+    signed = joined.withColumn("next_f", F.lead("f").over(follow)).where(F.col("ghost") == 0)
     return signed.select(
-        F.col("info.doc_id").alias("doc_id"), F.col("info.n_chars").alias("n_chars"), F.col("info.sha").alias("edited_sha256"),
-        F.array_join("f", "").alias("fingerprint"), F.array_join("e", "").alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.array_join("f", "").alias("fingerprint"), F.array_join("e", "").alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
     )
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), 2 * shuffle_partitions(spark))
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
