@@ -3,11 +3,12 @@
 The vocabulary is a rank file: base64 of a token's bytes and its rank, which is its id. Bytes become characters by
 the byte table of byte-level BPE (printable bytes stand for themselves, the others for code points from 256 on), and
 every split of a token into two tokens becomes a merge of the token's rank, which is how ranks alone merge. Each match
-of the pattern is merged on its own, once for all its occurrences that a worker meets within its cache. Decoding looks ids up in a table of bytes and joins them; bytes of a character
-that tokens split meet again there, so ids of a part of a text decode to bytes that may begin or end within a
-character.
+of the pattern is merged on its own, once for all its occurrences that a worker meets within its cache. Decoding reverses the byte table: an id's
+characters become bytes again, and the bytes of a character that tokens split meet when they are joined. Ids of a part
+of a text decode to bytes that may begin or end within a character; ``decode_parts`` gives such a character to the part
+that completes it.
 
-Null texts count as empty: no ids. Very long texts are encoded in pieces, cut only before a space between two ASCII
+Null texts count as empty: no ids. An empty table gives no rows. Very long texts are encoded in pieces, cut only before a space between two ASCII
 letters, where a match of the pattern ends in any case, so the ids are those of the whole text. Repeated rows are
 encoded alike. ``encode`` keeps all other columns of its input and refuses a frame that has one of its own names.
 """
@@ -15,6 +16,7 @@ encoded alike. ``encode`` keeps all other columns of its input and refuses a fra
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import os
 import re
@@ -27,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
-from meritgraph.llm.common import table
+from meritgraph.llm.common import appended, quoted, table
 
 PIECE = 1 << 16
 CACHE = 200_000
@@ -59,9 +63,10 @@ class Codec:
         self.findall = regex.compile(pattern).findall
         self.split = pre_tokenizers.Split(Regex(pattern), "isolated")
         self.assigned: set[str] = set()
+        bytes_of = {c: b for b, c in enumerate(chars)}
         self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.tokens[rank] = bytes(map(bytes_of.__getitem__, token))
         self.cache: dict[str, list[int]] = {}
 
     def matches(self, text: str) -> list[str]:
@@ -84,12 +89,13 @@ class Codec:
             self.cache |= zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)
         return found, np.fromiter(chain.from_iterable(map(self.cache.__getitem__, found)), dtype="<u4")
 
-    def starts(self, found: list[str], ids: np.ndarray) -> np.ndarray:
-        """In code points, the place of the character in which each id's bytes begin."""
+    def offsets(self, found: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In code points, the place of the character in which each id's bytes begin, and the place after the one in
+        which they end."""
         data = np.frombuffer("".join(found).encode(), dtype=np.uint8)
         of_byte = np.cumsum((data & 0xC0) != 0x80) - 1
-        widths = np.fromiter((len(self.tokens[i]) for i in ids.tolist()), dtype=np.int64, count=len(ids))
-        return of_byte[np.cumsum(widths) - widths].astype("<u4")
+        ends = np.cumsum(np.fromiter((len(self.tokens[i]) for i in ids.tolist()), dtype=np.int64, count=len(ids)))
+        return of_byte[np.append(0, ends[:-1])[: len(ids)]].astype("<u4"), (of_byte[ends - 1] + 1).astype("<u4")
 
 
 @lru_cache(maxsize=2)
@@ -107,18 +113,20 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(text: str | None, path: str, pattern: str, offsets: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a text and, if asked for, where each id's token begins, in code points (a character that tokens
-    split gives its own place to each of them)."""
+def encode_text(text: str | None, path: str, pattern: str, offsets: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a text and, if asked for, where each id's token begins and ends, in code points (a character that
+    tokens split belongs to each of them)."""
     codec, at = load(path, pattern), 0
-    ids, starts = [np.empty(0, dtype="<u4")], [np.empty(0, dtype="<u4")]
+    ids, starts, ends = ([np.empty(0, dtype="<u4")] for _ in range(3))
     for part in pieces(text or ""):
         found, own = codec.encode(part)
         ids.append(own)
         if offsets:
-            starts.append(codec.starts(found, own) + np.uint32(at))
+            first, last = codec.offsets(found, own)
+            starts.append(first + np.uint32(at))
+            ends.append(last + np.uint32(at))
             at += len(part)
-    return np.concatenate(ids), np.concatenate(starts)
+    return np.concatenate(ids), np.concatenate(starts), np.concatenate(ends)
 
 
 def decode_ids(ids, path: str, pattern: str) -> bytes:
@@ -126,34 +134,39 @@ def decode_ids(ids, path: str, pattern: str) -> bytes:
     return b"".join(map(load(path, pattern).tokens.__getitem__, ids))
 
 
+def decode_parts(parts, path: str, pattern: str) -> list[str]:
+    """The texts of consecutive rows of ids of one text; a character that two parts share goes to the later one."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    out = [decoder.decode(decode_ids(ids, path, pattern)) for ids in parts]
+    if out:
+        out[-1] += decoder.decode(b"", final=True)
+    return out
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ids and starts (arrays of int)."""
-    if clash := {"ids", "starts"} & set(df.columns):
+    """``df`` with ids, starts and ends (arrays of int)."""
+    if clash := {"ids", "starts", "ends"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [encode_text(x, path, pattern) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            arrays = [pa.array([x[j] for x in found], pa.list_(pa.int32())) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "ids", "starts"])
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [encode_text(x, path, pattern) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        return [pa.array([x[j] for x in found], pa.list_(pa.int32())) for j in range(3)]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, ids array<int>, starts array<int>")
+    read = df.select(*quoted(df.columns), F.col(text).alias("_"))
+    return appended(read, len(df.columns), [StructField(x, ArrayType(IntegerType())) for x in ("ids", "starts", "ends")], make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``df`` with decoded (binary); null ids count as none."""
-    if "decoded" in df.columns:
+    if "decoded" in {c.lower() for c in df.columns}:
         raise ValueError("column exists already: decoded")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            arrays = pa.array([decode_ids(x or [], path, pattern) for x in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrays], names=[*batch.schema.names, "decoded"])
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = batch.column(batch.num_columns - 1).to_pylist()
+        return [pa.array([decode_ids(x or [], path, pattern) for x in rows], pa.binary())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, decoded binary")
+    read = df.select(*quoted(df.columns), F.col(ids).alias("_"))
+    return appended(read, len(df.columns), [StructField("decoded", BinaryType())], make)
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:

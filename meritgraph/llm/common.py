@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space between words: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,6 +60,18 @@ def quoted(names: Iterable[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def appended(df: DataFrame, kept: int, fields: list[StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """The first ``kept`` columns of ``df`` with those that ``make`` adds to each Arrow batch, whatever the names."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    out = StructType([*plain.schema.fields[:kept], *(StructField(f"n{i}", f.dataType) for i, f in enumerate(fields))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *make(batch)], names=out.names)
+
+    return plain.mapInArrow(run, out).toDF(*df.columns[:kept], *(f.name for f in fields))
+
+
 #: Keys with more rows than both LEAST_HOT and the MAX_HOTth part of all rows are hot: at most MAX_HOT keys.
 LEAST_HOT, MAX_HOT = 500, 50_000
 

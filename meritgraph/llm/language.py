@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from meritgraph.llm.common import fresh, quoted, table
+from meritgraph.llm.common import appended, quoted, table
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -172,20 +172,18 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
     names = list(prototypes)
     matrix = _matrix(prototypes) if names else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, scores = [], []
-            for _, block in _blocks(batch.column(batch.num_columns - 1).to_pylist()):
-                cosines = _cosines(block, matrix) if names else np.zeros((len(block), 1))
-                for (keys, _), row in zip(block, cosines, strict=True):
-                    fits = names and len(keys)
-                    found.append(names[int(np.argmax(row))] if fits else "und")
-                    scores.append(min(1.0, max(0.0, float(row.max()))) if fits else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, pred, score])
-
-    # the text once more, last and under a name of its own
-    read = docs.select(*quoted(keep), F.col("text").alias(fresh("text_", keep)))
-    return read.mapInArrow(run, StructType([*docs.select(*quoted(keep)).schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())]))
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        found, scores = [], []
+        for _, block in _blocks(batch.column(batch.num_columns - 1).to_pylist()):
+            cosines = _cosines(block, matrix) if names else np.zeros((len(block), 1))
+            for (keys, _), row in zip(block, cosines, strict=True):
+                fits = names and len(keys)
+                found.append(names[int(np.argmax(row))] if fits else "und")
+                scores.append(min(1.0, max(0.0, float(row.max()))) if fits else 0.0)
+        return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+
+    read = docs.select(*quoted(keep), F.col("text").alias("_"))  # the text once more, last
+    return appended(read, len(keep), [StructField(pred, StringType()), StructField(score, DoubleType())], make)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -52,10 +52,16 @@ def test_bpe_ids_are_those_of_the_ranks(reference):
     pool = [*"ab zé漢😀\u0085 ​　\n\t'0189-_.", "֋", "'s", "<|endoftext|>", "aaaaaaa", "    ", "the "]
     texts = ["", "֋'d", "x" * 3000] + ["".join(rng.choice(pool) for _ in range(rng.choice([3, 30, 300]))) for _ in range(300)]
     for text in texts:
-        ids, starts = bpe.encode_text(text, RANKS, PATTERN)
+        ids, starts, ends = bpe.encode_text(text, RANKS, PATTERN)
         assert ids.tolist() == reference.encode_ordinary(text)
         assert bpe.decode_ids(ids.tolist(), RANKS, PATTERN) == text.encode()
-        assert len(starts) == len(ids) and (not len(starts) or (starts[0] == 0 and (np.diff(starts.astype(int)) >= 0).all()))
+        at, where = 0, []
+        for i in ids.tolist():  # the characters that hold an id's first and last byte
+            before, after = text.encode()[:at], text.encode()[: (at := at + len(bpe.decode_ids([i], RANKS, PATTERN)))]
+            where.append((len(before.decode(errors="ignore")), len(after.decode(errors="replace"))))
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == where
+        cut = [ids[k : k + 2].tolist() for k in range(0, len(ids), 2)]
+        assert "".join(bpe.decode_parts(cut, RANKS, PATTERN)) == text
 
 
 def test_bpe_long_texts_in_pieces(reference, monkeypatch):
@@ -63,7 +69,16 @@ def test_bpe_long_texts_in_pieces(reference, monkeypatch):
     want = bpe.encode_text(text, RANKS, PATTERN)
     monkeypatch.setattr(bpe, "PIECE", 50)
     got = bpe.encode_text(text, RANKS, PATTERN)
-    assert got[0].tolist() == want[0].tolist() == reference.encode_ordinary(text) and got[1].tolist() == want[1].tolist()
+    assert got[0].tolist() == want[0].tolist() == reference.encode_ordinary(text) and all((a == b).all() for a, b in zip(got, want, strict=True))
+    for uncut in ("漢字かな交じり文、" * 40, "x" * 500, "é " * 300, "1234 " * 100):  # hardly a place to cut
+        assert bpe.encode_text(uncut, RANKS, PATTERN)[0].tolist() == reference.encode_ordinary(uncut)
+
+
+def test_bpe_very_long_texts_without_a_cut(reference):
+    for text in ("漢字かな交じり文。" * 20_000, "ab" * 60_000):
+        ids, starts, ends = bpe.encode_text(text, RANKS, PATTERN)
+        assert ids.tolist() == reference.encode_ordinary(text) and bpe.decode_ids(ids.tolist(), RANKS, PATTERN) == text.encode() and ends[-1] == len(text)
+    assert bpe.decode_parts([], RANKS, PATTERN) == [] and "".join(bpe.decode_parts([bpe.encode_text("é", RANKS, PATTERN)[0].tolist()], RANKS, PATTERN)) == "é"
 
 
 def test_bpe_in_spark(docs, reference):
@@ -75,7 +90,9 @@ def test_bpe_in_spark(docs, reference):
     both = bpe.decode(bpe.encode(d, RANKS, PATTERN), RANKS, PATTERN)
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())
     with pytest.raises(ValueError):
-        bpe.encode(d.withColumn("ids", F.lit(1)), RANKS, PATTERN)
+        bpe.encode(d.withColumn("Ids", F.lit(1)), RANKS, PATTERN)
+    extra = bpe.encode(d.withColumns({"a.b": F.lit(1), "text_hash": F.lit("x")}), RANKS, PATTERN)
+    assert extra.columns == ["doc_id", "text", "lang", "source", "a.b", "text_hash", "ids", "starts", "ends"] and extra.count() == len(ODD)
     assert bpe.digests(docs([]), RANKS, PATTERN).count() == 0
 
 
@@ -586,6 +603,47 @@ def test_language_of_odd_rows(docs):
     assert len(keys) == 3 and sorted(counts) == [1, 2, 2] or counts.sum() == 5
 
 
+def slow_language(text, prototypes):
+    """Letters' vectors, bound and bundled one trigram after the other, and the cosine with each prototype."""
+    letters = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    letters = " " + " ".join(letters.split()) + " "
+    vector = lambda c: language.letter_vector(0 if c == " " else ord(c)).astype(int)
+    total = np.zeros(language.DIMENSIONS, dtype=int)
+    for k in range(len(letters) - 2):
+        a, b, c = letters[k : k + 3]
+        total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    if prototypes is None:
+        return total
+    cosine = {l: total @ p / max(np.linalg.norm(total), 1e-9) / max(np.linalg.norm(p), 1) for l, p in prototypes.items()}
+    best = max(sorted(cosine), key=cosine.get)
+    return best, max(0.0, cosine[best])
+
+
+def test_language_against_slow_vectors(docs, monkeypatch):
+    rng = random.Random(6)
+    pools = {"xx": "abcdefgé", "yy": "hijklmnabc", "zz": "αβγδab"}
+    text = lambda l: " ".join("".join(rng.choice(pools[l]) for _ in range(rng.randrange(1, 6))) + rng.choice(["", ",", "7"]) for _ in range(rng.randrange(1, 25)))
+    rows = [(i, text(l), l, "s") for i, l in enumerate(rng.choices(list(pools), k=60))]
+    rows += [(100, rows[0][1], "xx", "s"), (100, rows[0][1], "xx", "s"), (101, text("xx") * 40, None, "s"), (102, "ab ab", None, "s")]
+    want = {l: sum(slow_language(t, None) for _, t, own, _ in rows if own == l) for l in pools}
+    for chars, size in ((language.BLOCK_CHARS, language.BLOCK_TRIGRAMS), (50, 7)):  # texts beyond both bounds
+        monkeypatch.setattr(language, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(language, "BLOCK_TRIGRAMS", size)
+        found = language.learn(docs(rows).repartition(3))
+        assert {l: v.tolist() for l, v in found.items()} == {l: v.tolist() for l, v in want.items()}
+        got = language.classify(docs(rows), found, ["doc_id", "text"]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            best, score = slow_language(r.text, want)
+            assert r.lang_pred == best and r.lang_score == pytest.approx(score, abs=1e-5)
+
+
+def test_language_ties_and_empty_tables(docs):
+    assert language.learn(docs([])) == {} and language.classify(docs([]), {"xx": np.ones(language.DIMENSIONS)}, ["doc_id"]).count() == 0
+    same = language.learn(docs([(1, "some words here", "bb", "s"), (2, "some words here", "aa", "s")]))
+    assert [r.lang_pred for r in language.classify(docs([(1, "some words"), (1, "some words")]), same, ["doc_id"]).collect()] == ["aa", "aa"]
+
+
 def test_classified_columns(docs):
     d = docs([(1, "some words"), (2, None)]).withColumns({"lang_pred": F.lit(1), "text_": F.lit("t")})
     with pytest.raises(ValueError):
