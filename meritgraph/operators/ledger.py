@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meritgraph.functions.money import AMOUNT
-from meritgraph.operators.markov import checkpointed
+from meritgraph.operators.frames import checkpointed
 
 
 def check_order(events: DataFrame) -> None:

@@ -2,12 +2,12 @@
 
 A chain is a table of transitions (src, dst, pr). An action joins the distribution with the transitions on ``src`` and
 sums by ``dst``; the sum leaves the distribution dealt out as the next join needs it, so a step costs one shuffle. The
-transitions are dealt by ``src`` once and kept; every few steps the distribution is checkpointed, which ends its
-lineage."""
+transitions are dealt by ``src`` once and kept, but for those of hot sources (the seed has one to every minting node),
+which stay where they are and meet a broadcast of their sources' few probabilities. Every few steps the distribution is
+checkpointed, which ends its lineage. ``rank`` works on whole numbers in place of addresses."""
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,20 +15,15 @@ from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import address
 from meritgraph.functions.weeks import week_intervals, week_start
+from meritgraph.operators.frames import checkpointed, hot_keys, join_skewed
 from meritgraph.operators.graph import Graph, solid
+from meritgraph.operators.order import with_index
 
 LOOP = 1e-3
 STEPS_A_CHECKPOINT = 5
 THRESHOLD = 1e-7
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def connections(g: Graph, edge_weights: DataFrame, loop: float = LOOP) -> DataFrame:
     """(src, dst, kind, edge, pr): both directions of each edge and a loop at each node, by weight over the source's
     total. edge_weights: the graph's edges with forwards and backwards."""
@@ -42,9 +37,10 @@ def connections(g: Graph, edge_weights: DataFrame, loop: float = LOOP) -> DataFr
 
 
 def shares(rows: DataFrame, w: str) -> DataFrame:
-    """``pr``: weight over the total of its ``src``. Totals are partial sums joined back, so a hot source is split."""
+    """``pr``: weight over the total of its ``src``. Totals are partial sums joined back, those of hot sources by
+    broadcast."""
     totals = rows.groupBy("src").agg(F.sum(w).alias("_t"))
-    return rows.join(totals, "src").withColumn("pr", F.col(w) / F.col("_t")).drop("_t", w)
+    return join_skewed(rows, totals, "src", hot_keys(rows, "src")).withColumn("pr", F.col(w) / F.col("_t")).drop("_t", w)
 
 
 def chain(found: DataFrame) -> DataFrame:
@@ -71,25 +67,58 @@ def uniform(nodes: DataFrame) -> DataFrame:
 
 
 def weighted(nodes: DataFrame, weight: str) -> DataFrame:
-    """Distribution in proportion to a weight; uniform where all are zero."""
-    total = nodes.agg(F.sum(weight)).first()[0] or 0.0
-    return nodes.select("address", (F.col(weight) / total).alias("p")) if total > 0 else uniform(nodes)
+    """Distribution in proportion to a weight; uniform where all are zero. Negative, infinite and missing weights are
+    errors."""
+    w = F.col(weight)
+    total, wrong = nodes.agg(F.sum(w), F.count_if(w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf")))).first()
+    if wrong:
+        raise ValueError(f"weights have to be finite and not negative: {wrong} are not")
+    return nodes.select("address", (w / total).alias("p")) if total and total > 0 else uniform(nodes)
+
+
+@dataclass(frozen=True)
+class Moves:
+    """Transitions laid out for many steps; ``close`` when done."""
+
+    cold: DataFrame
+    hot: DataFrame
+    sources: DataFrame
 
+    @staticmethod
+    def of(transitions: DataFrame) -> Moves:
+        sources = checkpointed(hot_keys(transitions, "src"))
+        cold = transitions.join(F.broadcast(sources), "src", "left_anti").repartition("src").persist()
+        return Moves(cold, transitions.join(F.broadcast(sources), "src", "left_semi").persist(), sources)
 
-def action(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: float) -> DataFrame:
+    def flow(self, pi: DataFrame) -> DataFrame:
+        """(address, p) that flows in along each transition."""
+        own = pi.withColumnRenamed("address", "src")
+        few = F.broadcast(own.join(F.broadcast(self.sources), "src", "left_semi"))
+        pick = lambda x: x.select(F.col("dst").alias("address"), (F.col("p") * F.col("pr")).alias("p"))
+        return pick(self.cold.join(own, "src")).union(pick(self.hot.join(few, "src")))
+
+    def close(self) -> None:
+        self.cold.unpersist()
+        self.hot.unpersist()
+
+
+def action(moves: Moves, pi: DataFrame, seed: DataFrame, alpha: float) -> DataFrame:
     """alpha * seed + (1 - alpha) * what flows in. ``seed`` has a row for every node."""
-    flow = transitions.join(pi.withColumnRenamed("address", "src"), "src").select(F.col("dst").alias("address"), ((1 - alpha) * F.col("p") * F.col("pr")).alias("p"))
+    flow = moves.flow(pi).select("address", ((1 - alpha) * F.col("p")).alias("p"))
     return flow.union(seed.select("address", alpha * F.col("p"))).groupBy("address").agg(F.sum("p").alias("p"))
 
 
 def steps(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: float, n: int) -> DataFrame:
     """The distribution after ``n`` actions."""
-    own = transitions.repartition("src").persist()
-    for k in range(1, n + 1):
-        pi = action(own, pi, seed, alpha)
-        if k % STEPS_A_CHECKPOINT == 0:
-            pi = checkpointed(pi)
-    return pi
+    own = Moves.of(transitions)
+    try:
+        for k in range(1, n + 1):
+            pi = action(own, pi, seed, alpha)
+            if k % STEPS_A_CHECKPOINT == 0 or k == n:
+                pi = checkpointed(pi)
+        return pi
+    finally:
+        own.close()
 
 
 @dataclass(frozen=True)
@@ -102,7 +131,7 @@ class Stationary:
 def stationary(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: float, threshold: float = THRESHOLD, most: int = 255) -> Stationary:
     """Acts until no node's change reaches the threshold; returns the distribution before the last action, and its
     greatest change."""
-    own = transitions.repartition("src").persist()
+    own = Moves.of(transitions)
     try:
         for k in range(most + 1):
             after = checkpointed(action(own, pi, seed, alpha))
@@ -113,7 +142,7 @@ def stationary(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: fl
             pi = after
         raise AssertionError
     finally:
-        own.unpersist()
+        own.close()
 
 
 @dataclass(frozen=True)
@@ -238,11 +267,23 @@ def rank(g: Graph, node_weights: DataFrame, edge_weights: DataFrame, participant
     actions."""
     nodes, moves = compile_process(g, node_weights, edge_weights, participants, p, attributions, weeks)
     nodes, moves = checkpointed(nodes), checkpointed(moves)
+    ids = with_index(nodes.select("address"), "address", "id")
+    hot = checkpointed(hot_keys(moves.select(F.col("src").alias("address")).union(moves.select("dst")), "address"))
     own = chain(moves)
-    pi = uniform(nodes)
+    for end in ("src", "dst"):  # hot ends, as the seed is, meet a broadcast
+        own = join_skewed(own.withColumnRenamed(end, "address"), ids, "address", hot).drop("address").withColumnRenamed("id", end)
+    own = checkpointed(own.select("src", "dst", "pr"))
+    check_stochastic(own)
+    pi = uniform(ids.select(F.col("id").alias("address")))
+    named = lambda found: scores(nodes, found.withColumnRenamed("address", "id").join(ids, "id").select("address", "p"))
     if n_steps is not None:
-        return scores(nodes, steps(own, pi, pi, 0.0, n_steps)), moves
+        return named(steps(own, pi, pi, 0.0, n_steps)), moves
     found = stationary(own, pi, pi, 0.0)
     if found.delta >= THRESHOLD:
         raise ValueError(f"the distribution still changes by {found.delta} after {found.actions} actions")
-    return scores(nodes, found.pi), moves
+    return named(found.pi), moves
+
+
+def in_neighbors(transitions: DataFrame, address_: str) -> DataFrame:
+    """Transitions that end at a node."""
+    return transitions.where(F.col("dst") == address_)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritgraph.operators.markov import checkpointed
+from meritgraph.operators.frames import checkpointed
 
 
 def with_index(rows: DataFrame, by: str, name: str = "index") -> DataFrame:

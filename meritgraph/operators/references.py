@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritgraph.operators.markov import checkpointed
+from meritgraph.operators.frames import checkpointed
 
 #: Numbers (#12), people (@name), and links.
 NUMBER, PERSON, LINK = r"(?:^|[^\w&])#(\d+)", r"(?:^|[^\w/])@([A-Za-z0-9][A-Za-z0-9-]*)", r"https?://[^\s<>\"')\]]+"

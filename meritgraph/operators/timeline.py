@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritgraph.functions.weeks import WEEK, week_start
 from meritgraph.operators.graph import Graph, solid
-from meritgraph.operators.markov import LOOP, STEPS_A_CHECKPOINT, checkpointed
+from meritgraph.operators.frames import checkpointed
+from meritgraph.operators.markov import LOOP, STEPS_A_CHECKPOINT
 
 
 def decayed_nodes(weighted: DataFrame, weeks: DataFrame, decay: float) -> DataFrame:
@@ -26,10 +30,50 @@ def decayed_edges(g: Graph, edge_weights: DataFrame, weeks: DataFrame, decay: fl
     return later.select("start_ms", "src", "dst", (F.col("forwards") * f).alias("forwards"), (F.col("backwards") * f).alias("backwards"))
 
 
-def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: DataFrame, decay: float = 0.5, alpha: float = 0.2, n_steps: int | None = None, threshold: float = 1e-7, most: int = 255) -> DataFrame:
-    """(start_ms, address, p): each week's rank, all weeks at once, seeded by the week's decayed node weights (uniform
-    where a week has none); until an action changes no node of any week by ``threshold``, which is an error after
-    ``most`` actions, or after a fixed number of actions. The change is looked at every few actions."""
+#: Weeks that are worked on together; each such block starts from the last week before it.
+WEEKS_AT_ONCE = 8
+
+
+@dataclass(frozen=True)
+class Timeline:
+    """ranks (start_ms, address, p), and what they came from: moves (start_ms, src, dst, pr), seeds (start_ms, address,
+    p)."""
+
+    ranks: DataFrame
+    moves: DataFrame
+    seeds: DataFrame
+    alpha: float
+
+    def flows(self) -> DataFrame:
+        """(start_ms, src, dst, kind, flow): what each node gets along each connection (``edge``), from itself (``loop``)
+        and from the seed (``seed``); for a node of a week they add up to its rank where the ranks have converged."""
+        met = self.moves.join(self.ranks.withColumnRenamed("address", "src"), ["start_ms", "src"])
+        kind = F.when(F.col("src") == F.col("dst"), "loop").otherwise("edge")
+        own = met.select("start_ms", "src", "dst", kind.alias("kind"), (F.col("p") * F.col("pr") * (1 - self.alpha)).alias("flow"))
+        seed = self.seeds.where("p > 0").select("start_ms", F.lit(None).cast("string").alias("src"), F.col("address").alias("dst"), F.lit("seed").alias("kind"), (F.col("p") * self.alpha).alias("flow"))
+        return own.unionByName(seed)
+
+
+def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: DataFrame, decay: float = 0.5, alpha: float = 0.2, n_steps: int | None = None, threshold: float = 1e-7, most: int = 255, at_once: int = WEEKS_AT_ONCE) -> Timeline:
+    """Each week's rank, seeded by the week's decayed node weights (uniform where a week has none); until an action
+    changes no node of any week by ``threshold``, which is an error after ``most`` actions, or after a fixed number of
+    actions from the seeds. ``at_once`` weeks are ranked together, from the last rank of the weeks before, so the graph
+    is never held more often than that. The change is looked at every few actions."""
+    all_weeks = sorted(r.start_ms for r in weeks.select("start_ms").collect())  # a number a week
+    done, last = [], None
+    for at in range(0, len(all_weeks), at_once):
+        block = weeks.where(F.col("start_ms").isin(all_weeks[at : at + at_once]))
+        found = _block(g, weighted, edge_weights, block, decay, alpha, n_steps, threshold, most, last)
+        if n_steps is None:
+            last = checkpointed(found.ranks.where(F.col("start_ms") == all_weeks[min(at + at_once, len(all_weeks)) - 1]).select("address", "p"))
+        done.append(found)
+    if not done:
+        raise ValueError("no weeks")
+    of = lambda name: reduce(DataFrame.unionByName, (getattr(t, name) for t in done))
+    return Timeline(of("ranks"), of("moves"), of("seeds"), alpha)
+
+
+def _block(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: DataFrame, decay: float, alpha: float, n_steps: int | None, threshold: float, most: int, last: DataFrame | None) -> Timeline:
     each = g.nodes.select("address").join(F.broadcast(weeks.select("start_ms")), F.lit(True))
     seeds = each.join(decayed_nodes(weighted, weeks, decay), ["start_ms", "address"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = seeds.groupBy("start_ms").agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("n"))
@@ -37,15 +81,15 @@ def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: Data
     seeds = checkpointed(seeds.join(F.broadcast(totals), "start_ms").select("start_ms", "address", p.alias("p")))  # a row a week
     both = decayed_edges(g, edge_weights, weeks, decay).select("start_ms", F.inline(F.array(F.struct("src", "dst", F.col("forwards").alias("w")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("backwards").alias("w")))))
     both = both.unionByName(each.select("start_ms", F.col("address").alias("src"), F.col("address").alias("dst"), F.lit(LOOP).alias("w")))
-    out = both.groupBy("start_ms", "src").agg(F.sum("w").alias("t"))
-    moves = both.groupBy("start_ms", "src", "dst").agg(F.sum("w").alias("w")).join(out, ["start_ms", "src"]).select("start_ms", "src", "dst", (F.col("w") / F.col("t")).alias("pr"))
-    moves = moves.repartition("start_ms", "src").persist()
+    summed = checkpointed(both.groupBy("start_ms", "src", "dst").agg(F.sum("w").alias("w")))
+    out = summed.groupBy("start_ms", "src").agg(F.sum("w").alias("t"))
+    moves = checkpointed(summed.join(out, ["start_ms", "src"]).select("start_ms", "src", "dst", (F.col("w") / F.col("t")).alias("pr")).repartition("start_ms", "src"))
 
     def action(pi: DataFrame) -> DataFrame:
         flow = moves.join(pi.withColumnRenamed("address", "src"), ["start_ms", "src"]).select("start_ms", F.col("dst").alias("address"), ((1 - alpha) * F.col("p") * F.col("pr")).alias("p"))
         return flow.union(seeds.select("start_ms", "address", alpha * F.col("p"))).groupBy("start_ms", "address").agg(F.sum("p").alias("p"))
 
-    pi = seeds
+    pi = seeds if last is None else checkpointed(last.join(F.broadcast(weeks.select("start_ms")), F.lit(True)).select("start_ms", "address", "p"))
     for k in range(1, (most if n_steps is None else n_steps) + 1):
         after = action(pi)
         if k % STEPS_A_CHECKPOINT == 0:
@@ -53,13 +97,13 @@ def timeline(g: Graph, weighted: DataFrame, edge_weights: DataFrame, weeks: Data
             if n_steps is None:
                 delta = pi.withColumnRenamed("p", "q").join(after, ["start_ms", "address"], "full_outer").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0] or 0.0
                 if delta < threshold:
-                    return after
-        elif n_steps is None and k % STEPS_A_CHECKPOINT == STEPS_A_CHECKPOINT - 1:
+                    return Timeline(after, moves, seeds, alpha)
+        elif k == n_steps or (n_steps is None and k % STEPS_A_CHECKPOINT == STEPS_A_CHECKPOINT - 1):
             after = checkpointed(after)  # read twice, by the next action and by the change
         pi = after
     if n_steps is None:
         raise ValueError(f"the weeks' ranks still change by {threshold} or more after {most} actions")
-    return pi
+    return Timeline(pi, moves, seeds, alpha)
 
 
 def to_scores(ranks: DataFrame, mint: DataFrame, scoring: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import address
 from meritgraph.functions.weeks import millis
+from meritgraph.operators.frames import checkpointed
 from meritgraph.operators.graph import Graph
 from meritgraph.operators.weights import with_products
 from meritgraph.sources.tables import table
@@ -31,6 +32,12 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, authors.unionByName(mentions))
 
 
+def kept_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph, read and built once, for plans that name it many times."""
+    g = event_graph(spark, sf_dir)
+    return Graph(checkpointed(g.nodes), checkpointed(g.edges))
+
+
 def node_weights(spark: SparkSession, g: Graph) -> DataFrame:
     return with_products(g.nodes, spark.createDataFrame(NODE_WEIGHTS, "prefix string, weight double"), ["weight"])
 

@@ -9,7 +9,7 @@ from meritgraph.operators import graph, intervals, markov, order, references, ti
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.graph import Graph
 from meritgraph.plans import domain
-from meritgraph.plans.domain import GRAPH_SQL, WEEK_SQL, WEIGHTS_SQL, edge_weights, event_graph, node_weights, participants
+from meritgraph.plans.domain import GRAPH_SQL, WEEK_SQL, WEIGHTS_SQL, edge_weights, event_graph, kept_graph, node_weights, participants
 from meritgraph.sources import exports, tables
 
 QUERIES, SQL = {}, {}
@@ -169,7 +169,7 @@ pr AS (SELECT src, dst, kind, edge, w / sum(w) OVER (PARTITION BY src) AS pr FRO
 
 @query(f"WITH {WEIGHTS_SQL}, {_CONNECTIONS} SELECT src, dst, kind, edge, round(pr, 9) AS pr FROM pr")
 def markov_connections(spark, sf):
-    g = event_graph(spark, sf)
+    g = kept_graph(spark, sf)
     return markov.connections(g, edge_weights(spark, g)).select("src", "dst", "kind", "edge", F.round("pr", 9).alias("pr"))
 
 
@@ -184,7 +184,7 @@ def _power_sql(n: int, alpha: float, seed: str, moves: str) -> str:
 SELECT address, round(p, 9) AS p FROM p5""")
 def markov_actions(spark, sf):
     """Five actions from the distribution of node weights."""
-    g = event_graph(spark, sf)
+    g = kept_graph(spark, sf)
     moves = markov.chain(markov.connections(g, edge_weights(spark, g)))
     seed = markov.checkpointed(markov.weighted(node_weights(spark, g), "weight"))
     return markov.steps(moves, seed, seed, 0.15, 5).select("address", F.round("p", 9).alias("p"))
@@ -211,7 +211,7 @@ al AS MATERIALIZED (SELECT * FROM mv UNION ALL SELECT address, 'seed/', 'radiati
 @query(f"WITH {PROCESS_SQL} SELECT src, dst, kind, count(*) AS n, round(sum(pr), 9) AS pr FROM al GROUP BY 1, 2, 3")
 def markov_process(spark, sf):
     """All transitions of the time-expanded process."""
-    g = event_graph(spark, sf)
+    g = kept_graph(spark, sf)
     _, moves = markov.compile_process(g, node_weights(spark, g), edge_weights(spark, g), participants(g), _P)
     return moves.groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pr"), 9).alias("pr"))
 
@@ -222,7 +222,7 @@ sc AS (SELECT address, p / (SELECT sum(p) FROM p{STEPS} WHERE starts_with(addres
 
 
 def _ranked(spark, sf, n_steps=STEPS):
-    g = event_graph(spark, sf)
+    g = kept_graph(spark, sf)
     return markov.rank(g, node_weights(spark, g), edge_weights(spark, g), participants(g), _P, n_steps=n_steps)
 
 
@@ -269,7 +269,7 @@ def rank_flows_converged(spark, sf):
 @query()
 def rank_converged(spark, sf):
     """Scores at convergence (no change of 1e-7 in any node)."""
-    g = event_graph(spark, sf)
+    g = kept_graph(spark, sf)
     scored, moves = markov.rank(g, node_weights(spark, g), edge_weights(spark, g), participants(g), _P)
     return markov.participant_scores(scored, moves).groupBy("id").agg(F.sum("score").alias("score"))
 
@@ -316,8 +316,8 @@ def timeline_rank_converged(spark, sf):
 
 
 def _timeline_ranks(spark, sf, n_steps):
-    g = event_graph(spark, sf)
-    found = timeline.timeline(g, node_weights(spark, g), edge_weights(spark, g), _weeks(spark, g), n_steps=n_steps)
+    g = kept_graph(spark, sf)
+    found = timeline.timeline(g, node_weights(spark, g), edge_weights(spark, g), _weeks(spark, g), n_steps=n_steps).ranks
     return found.where(F.startswith("address", F.lit("user/"))).select("start_ms", "address", F.round("p", 9).alias("p"))
 
 
@@ -333,9 +333,9 @@ def timeline_scores_converged(spark, sf):
 
 
 def _timeline_sums(spark, sf, n_steps):
-    g = event_graph(spark, sf)
+    g = kept_graph(spark, sf)
     own = node_weights(spark, g)
-    found = timeline.timeline(g, own, edge_weights(spark, g), _weeks(spark, g), n_steps=n_steps)
+    found = timeline.timeline(g, own, edge_weights(spark, g), _weeks(spark, g), n_steps=n_steps).ranks
     scored = timeline.to_scores(found, intervals.weekly_mint(own), "user/")
     return scored.where(F.startswith("address", F.lit("user/"))).groupBy("start_ms").agg(F.round(F.sum("score"), 6).alias("score"))
 

@@ -105,6 +105,12 @@ def test_converged_timeline_is_each_weeks_own_rank(spark):
     assert set(scored) <= set(want)
     with pytest.raises(ValueError):
         timeline.timeline(g, nodes, edges, weeks, most=5)
+    both = [timeline.timeline(g, nodes, edges, weeks, threshold=1e-10, at_once=n) for n in (1, 8)]
+    by_week, at_once = ({(r.start_ms, r.address): r.p for r in t.ranks.collect()} for t in both)
+    assert by_week.keys() == at_once.keys() and all(abs(by_week[k] - at_once[k]) < 1e-7 for k in by_week)
+    got = {(r.start_ms, r.dst): r.x for r in both[0].flows().groupBy("start_ms", "dst").agg(F.sum("flow").alias("x")).collect()}
+    assert all(abs(got[k] - by_week[k]) < 1e-7 for k in by_week)
+    assert {r.kind for r in both[0].flows().select("kind").distinct().collect()} == {"edge", "loop", "seed"}
 
 
 def test_converged_ranks_are_stationary(spark):
