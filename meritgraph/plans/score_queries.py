@@ -161,6 +161,39 @@ def payout_lines(spark, sf):
     return exports.payout_lines(payouts.payable(amounts, known), "0xt")
 
 
+_SPLIT_BUDGET = 123_456 * 10**18 + 7
+_PARTS = "t AS (SELECT a, id, c, sum(c) OVER (PARTITION BY a ORDER BY id ROWS UNBOUNDED PRECEDING)::DOUBLE AS s, sum(c) OVER (PARTITION BY a)::DOUBLE AS w FROM u)"
+_PART = f"CASE WHEN {{0}} >= w THEN {_SPLIT_BUDGET}::HUGEINT ELSE least(floor({_SPLIT_BUDGET}::HUGEINT::DOUBLE * (({{0}}) / w))::HUGEINT, {_SPLIT_BUDGET}::HUGEINT) END"
+
+
+@query(f"""WITH u AS (SELECT o_orderpriority AS a, o_custkey::VARCHAR AS id, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE AS c FROM orders GROUP BY 1, 2), {_PARTS}
+SELECT a AS allocation, id, (({_PART.format("s")}) - ({_PART.format("(s - c)")}))::VARCHAR AS amount FROM t""")
+def payout_exact(spark, sf):
+    """Five budgets by scores in whole cents, whose sums are exact in any order."""
+    o = tables.table(spark, sf, "orders")
+    scored = o.groupBy(F.col("o_orderpriority").alias("allocation"), F.col("o_custkey").alias("id")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("score"))
+    found = payouts.split(scored.withColumn("budget", F.lit(Decimal(_SPLIT_BUDGET)).cast(AMOUNT)))
+    return found.withColumn("amount", F.col("amount").cast("string"))
+
+
+@query(f"""WITH {_VIEW}, {_DONE}, x AS (SELECT 'IMMEDIATE' AS kind, count(DISTINCT id) AS n FROM dn WHERE end_ms IN (SELECT DISTINCT end_ms FROM dn ORDER BY end_ms DESC LIMIT 2) UNION ALL SELECT 'BALANCED', count(DISTINCT id) FROM dn)
+SELECT i.idx || '-' || i.kind AS allocation, x.n AS n_ids, i.budget AS amount FROM (VALUES (0, 'IMMEDIATE', '1000000000000000000001'), (1, 'BALANCED', '2000000000000000000003')) i(idx, kind, budget) JOIN x USING (kind)""")
+def payout_distribution(spark, sf):
+    """Two policies at a time: each allocation has all its participants and its whole budget."""
+    found = payouts.distribution([payouts.Policy("IMMEDIATE", 10**21 + 1, weeks=2), payouts.Policy("BALANCED", 2 * 10**21 + 3)], _view(spark, sf), UNTIL)
+    return found.groupBy("allocation").agg(F.count_distinct("id").alias("n_ids"), F.sum("amount").cast(AMOUNT).cast("string").alias("amount"))
+
+
+@query(f"""WITH {_VIEW}, n AS (SELECT DISTINCT end_ms FROM vw WHERE end_ms <= {UNTIL} AND end_ms > 1704600000000 ORDER BY end_ms DESC LIMIT 2)
+SELECT end_ms AS ts_ms, '1000000000000000000000' AS amount FROM n""")
+def payout_due(spark, sf):
+    """Distributions of the intervals that are due: a balanced budget each, the second knowing what the first paid."""
+    v = _view(spark, sf)
+    ends = payouts.due(v.select("end_ms").distinct(), 1_704_600_000_000, UNTIL, 2)
+    found = payouts.apply_distributions([payouts.Policy("BALANCED", _BUDGET)], v, ends)
+    return found.groupBy("ts_ms").agg(F.sum("amount").cast(AMOUNT).cast("string").alias("amount"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:,}', abs(cast(round(c_acctbal * 100) AS BIGINT)) // 100) || '.' || lpad((abs(cast(round(c_acctbal * 100) AS BIGINT)) % 100)::VARCHAR, 2, '0') || 'u' AS text FROM customer""")
 def money_grouped(spark, sf):
     units = (F.round(F.col("c_acctbal") * 100).cast("long").cast("decimal(20,0)") * F.lit(Decimal(10**16)).cast("decimal(17,0)")).cast(AMOUNT)

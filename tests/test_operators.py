@@ -195,6 +195,43 @@ def test_split_is_exact():
             split_budget(*bad)
 
 
+def test_split_in_ranges_is_exact(spark, monkeypatch):
+    rng = random.Random(1)
+    cases = [[1.0] * 97, [1.0, 1e100], [float(i * i) for i in range(60)], [2.0**i for i in range(90)], [10.0**i for i in range(90)], [0.0, 1.0, 0.0], [rng.random() for _ in range(50)], [3.0]]
+    cases += [c[::-1] for c in cases[1:5]]
+    rows = [(f"a{k:02}", Decimal(10**18 + k), f"{i:03}", x) for k, c in enumerate(cases) for i, x in enumerate(c)]
+    frame = spark.createDataFrame(rows, "allocation string, budget decimal(38,0), id string, score double")
+    monkeypatch.setattr(payouts, "BROADCAST_ROWS", 0)
+    got = {}
+    for r in payouts.split(frame.repartition(5)).collect():
+        got.setdefault(r.allocation, {})[r.id] = int(r.amount)
+    for k, c in enumerate(cases):
+        own = [got[f"a{k:02}"][f"{i:03}"] for i in range(len(c))]
+        assert sum(own) == 10**18 + k and min(own) >= 0 and all(x == 0 for x, y in zip(own, c, strict=True) if y == 0)
+        assert all(abs(x / (10**18 + k) - y / math.fsum(c)) < 1e-9 for x, y in zip(own, c, strict=True))
+    for budget, scores in ((-1, [1.0]), (1, [0.0]), (1, [-1.0, 2.0]), (1, [math.inf]), (1, [None, 1.0])):
+        with pytest.raises(ValueError):
+            payouts.split(spark.createDataFrame([("a", Decimal(budget), str(i), x) for i, x in enumerate(scores)], frame.schema))
+
+
+def test_distributions(spark):
+    v = spark.createDataFrame([("a", 0, WEEK, 3.0, Decimal(0)), ("b", 0, WEEK, 1.0, Decimal(0)), ("b", WEEK, 2 * WEEK, 4.0, Decimal(0)), ("c", WEEK, 2 * WEEK, 8.0, Decimal(0))], "id string, start_ms long, end_ms long, score double, earned decimal(38,0)")
+    weeks = v.select("end_ms").distinct()
+    assert payouts.due(weeks, None, 2 * WEEK, 5) == [WEEK, 2 * WEEK] and payouts.due(weeks, None, 2 * WEEK, 1) == [2 * WEEK] and payouts.due(weeks, WEEK, 2 * WEEK - 1, 5) == []
+    assert payouts.due(weeks, 2 * WEEK, 3 * WEEK, 5) == [] and payouts.due(weeks, 2 * WEEK, 3 * WEEK, 5, again=True) == [2 * WEEK]
+    accounts = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "id string, active boolean")
+    found = payouts.apply_distributions([payouts.Policy("BALANCED", 80), payouts.Policy("SPECIAL", 5, recipient="a"), payouts.Policy("RECENT", 0)], v, [WEEK, 2 * WEEK], accounts)
+    got = {(r.ts_ms // WEEK, r.allocation, r.id): int(r.amount) for r in found.collect()}
+    assert got == {(1, "0-BALANCED", "a"): 60, (1, "0-BALANCED", "b"): 20, (1, "1-SPECIAL", "a"): 5, (2, "0-BALANCED", "a"): 0, (2, "0-BALANCED", "b"): 80, (2, "1-SPECIAL", "a"): 5}
+    totals = {r.id: (int(r.amount), r.percent) for r in payouts.distribution_totals(found).collect()}
+    assert totals["a"][0] == 70 and totals["b"] == (100, pytest.approx(100 * 100 / 170))
+    events = payouts.as_events(found, 10).orderBy("seq").collect()
+    assert [e.seq for e in events] == list(range(10, 16)) and [e.ts_ms for e in events] == sorted(e.ts_ms for e in events)
+    for wrong in (dict(kind="OTHER", budget=1), dict(kind="IMMEDIATE", budget=1), dict(kind="RECENT", budget=1, discount=2.0), dict(kind="SPECIAL", budget=1), dict(kind="BALANCED", budget=-1)):
+        with pytest.raises(ValueError):
+            payouts.Policy(**wrong)
+
+
 def test_payout_queries(spark):
     assert registry.QUERIES["payout_split"](spark, SF).agg(F.sum("amount")).first()[0] == Decimal(1_000 * 10**18)
     lines = [r.line for r in registry.QUERIES["payout_lines"](spark, SF).collect()]
