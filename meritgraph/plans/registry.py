@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from meritgraph.plans import graph_queries, score_queries
+from meritgraph.plans import graph_queries, score_queries, source_queries
 
-QUERIES = graph_queries.QUERIES | score_queries.QUERIES
-SQL = graph_queries.SQL | score_queries.SQL
+QUERIES = graph_queries.QUERIES | score_queries.QUERIES | source_queries.QUERIES
+SQL = graph_queries.SQL | score_queries.SQL | source_queries.SQL
 FLAGSHIP = graph_queries.rank_top_participants
