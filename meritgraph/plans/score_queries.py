@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meritgraph.functions.addresses import address
 from meritgraph.functions.money import AMOUNT, grouped
 from meritgraph.functions.weeks import WEEK, millis
-from meritgraph.operators import builders, expressions, ledger, payouts, views
+from meritgraph.operators import builders, expressions, ledger, ledger_state, payouts, views
 from meritgraph.plans.domain import WEEK_SQL
 from meritgraph.sources import exports, tables
 
@@ -255,6 +255,52 @@ def ledger_overdrawn(spark, sf):
     return ledger.overdrawn(e.withColumn("amount", big))
 
 
+def _switches(spark, sf):
+    """Orders as switches of the ledger, by the rest of their key."""
+    o = tables.table(spark, sf, "orders")
+    kind = F.element_at(F.array(*map(F.lit, ("ACCOUNTING_ON", "ACCOUNTING_OFF", "INTEGRATION_ON", "INTEGRATION_OFF", "CURRENCY", "CURRENCY", "CREATE"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("seq"), kind.alias("type"), F.when(F.col("o_orderkey") % 7 == 4, F.concat(F.lit("1/0x"), F.col("o_custkey").cast("string"))).alias("address"))
+
+
+@query("""SELECT coalesce(max_by(o_orderkey % 7 = 0, CASE WHEN o_orderkey % 7 < 2 THEN o_orderkey END), true) AS accounting, coalesce(max_by(o_orderkey % 7 = 2, CASE WHEN o_orderkey % 7 IN (2, 3) THEN o_orderkey END), false) AS integration,
+(SELECT CASE WHEN o_orderkey % 7 = 4 THEN '1/0x' || o_custkey END FROM orders WHERE o_orderkey % 7 IN (4, 5) ORDER BY o_orderkey DESC LIMIT 1) AS currency FROM orders""")
+def ledger_settings(spark, sf):
+    return ledger_state.settings(_switches(spark, sf))
+
+
+_OFF = 65_000_000
+
+
+@query(f"""WITH {_LEDGER}, m AS (SELECT r, sum(paid)::BIGINT AS paid, sum(CASE WHEN s > {_OFF} THEN bal ELSE 0 END)::BIGINT AS bal FROM (SELECT u AS k, 60000000 + k AS s, cents AS paid, cents AS bal FROM o UNION ALL SELECT u, 70000000 + k, 0, -100 FROM o WHERE k % 7 = 0 UNION ALL SELECT v, 70000000 + k, 0, 100 FROM o WHERE k % 7 = 0) JOIN root USING (k) GROUP BY r)
+SELECT s_suppkey::VARCHAR AS id, coalesce(m.bal, 0)::BIGINT AS balance_cents, coalesce(m.paid, 0)::BIGINT AS paid_cents, false AS active FROM supplier JOIN root ON root.k = s_suppkey AND root.r = s_suppkey LEFT JOIN m ON m.r = s_suppkey""")
+def ledger_balances(spark, sf):
+    """Accounting is switched off after the first distributions: balances start anew, and the accounts that were on had
+    no payout address."""
+    e = _ledger(spark, sf)
+    off = e.limit(1).select(F.lit(_OFF).cast("long").alias("seq"), F.lit("ACCOUNTING_OFF").alias("type"), *(F.lit(None).cast(e.schema[c].dataType).alias(c) for c in ("id", "other", "name", "address", "amount")), F.lit(_OFF).cast("long").alias("ts_ms"))
+    found = ledger_state.balances(e.unionByName(off.select(*e.columns)))
+    cents = lambda c: (F.col(c) / F.lit(Decimal(10**16))).cast("long")
+    return found.select("id", cents("balance").alias("balance_cents"), cents("paid").alias("paid_cents"), "active")
+
+
+@query(f"""WITH {_LEDGER} SELECT coalesce(r, u)::VARCHAR AS id, count(*) AS n, sum(cents)::BIGINT AS cents, min_by(cents, o.k)::BIGINT AS first_cents FROM o LEFT JOIN root ON root.k = u GROUP BY 1""")
+def ledger_history(spark, sf):
+    h = ledger_state.history(_ledger(spark, sf))
+    cents = lambda x: (x / F.lit(Decimal(10**16))).cast("long")
+    total = F.aggregate("receipts", F.lit(0).cast("long"), lambda a, r: a + cents(r["amount"]))
+    return h.select("id", F.size("receipts").cast("long").alias("n"), total.alias("cents"), cents(F.get("receipts", F.lit(0))["amount"]).alias("first_cents"))
+
+
+@query(f"""WITH {_LEDGER}, c AS (SELECT s_suppkey AS k FROM supplier), a AS (SELECT 'alias/' || s_suppkey || '/' AS address, s_suppkey AS k FROM supplier), s AS (SELECT 'alias/' || (o_custkey % 200) || '/' AS address, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents FROM orders GROUP BY 1)
+SELECT s.address, s.cents FROM s ANTI JOIN a USING (address)""")
+def ledger_unclaimed(spark, sf):
+    """Scored addresses that belong to no account."""
+    suppliers = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), address("alias", F.col("s_suppkey")).alias("address"))
+    o = tables.table(spark, sf, "orders").groupBy(address("alias", F.col("o_custkey") % 200).alias("address")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("score"))
+    own = suppliers.join(o.select("address"), "address", "left_semi")
+    return ledger_state.accounts_with_scores(own, suppliers.limit(0), o)[1].select("address", F.col("score").alias("cents")).join(suppliers.select("address"), "address", "left_anti")
+
+
 @query("SELECT o_orderkey AS uuid FROM orders WHERE o_orderkey % 10 = 3")
 def ledger_new_events(spark, sf):
     o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("uuid"))

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from meritgraph.functions.addresses import is_address, prefixes
 from meritgraph.functions.money import plain, split_budget
 from meritgraph.functions.weeks import WEEK, week_intervals, week_start
-from meritgraph.operators import builders, expressions, graph, intervals, ledger, markov, order, payouts, references, timeline, weights
+from meritgraph.operators import builders, expressions, graph, intervals, ledger, ledger_state, markov, order, payouts, references, timeline, weights
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.graph import Graph
 from meritgraph.plans import domain, graph_queries, registry
-from meritgraph.sources import exports, tables
+from meritgraph.sources import exports, ledger_log, tables
 from meritgraph.streaming import weekly
 
 NODE = "address string, description string, timestamp_ms long"
@@ -262,6 +262,102 @@ def test_unknown_keys_are_errors(spark):
         expressions.weigh(operands, configs).collect()
 
 
+def slow_ledger(events):
+    """What a ledger that goes from event to event refuses; it goes on as if it had taken it."""
+    born, gone, names, aliases, on, accounting, out = set(), set(), {}, set(), {}, True, set()
+    for seq, kind, i, other, name, place, amount in events:
+        used = {i} | ({other} if kind in ("TRANSFER", "MERGE") else set()) if kind not in ("CREATE", "ACCOUNTING_ON", "ACCOUNTING_OFF") else set()
+        out |= {(seq, k, "id") for k in used if k not in born or k in gone}
+        if kind in ("CREATE", "RENAME"):
+            if any(n == name.lower() and k != i for k, n in names.items()):
+                out.add((seq, i, "name"))
+            names[i] = name.lower()
+        born |= {i} if kind == "CREATE" else set()
+        if kind == "ALIAS":
+            out |= {(seq, i, "alias")} if place in aliases else set()
+            aliases.add(place)
+        if kind == "MERGE":
+            gone.add(other)
+            names.pop(other, None)
+        if kind == "TOGGLE":
+            on[i] = not on.get(i, False)
+        if kind in ("DISTRIBUTE", "TRANSFER"):
+            out |= {(seq, i, "amount")} if amount < 0 else set()
+            out |= {(seq, k, "inactive") for k in ({i, other} if kind == "TRANSFER" else {i}) if not on.get(k, False)}
+        out |= {(seq, i, "accounting")} if kind == "TRANSFER" and not accounting else set()
+        accounting = {"ACCOUNTING_ON": True, "ACCOUNTING_OFF": False}.get(kind, accounting)
+    return out
+
+
+STATE = "seq long, type string, id string, other string, name string, address string, amount decimal(38,0)"
+
+
+def test_rules_of_the_ledger(spark):
+    rng, rows, created, merged = random.Random(4), [], [], set()
+    for seq in range(1, 260):
+        kind = rng.choice(["CREATE", "RENAME", "ALIAS", "TOGGLE", "TOGGLE", "DISTRIBUTE", "TRANSFER", "MERGE", "ACCOUNTING_ON", "ACCOUNTING_OFF"])
+        free = [c for c in created if c not in merged]
+        who = lambda: rng.choice(created + ["never"] if created else ["never"])  # noqa: B023, E731
+        if kind == "CREATE":
+            created.append(f"u{seq}")
+            rows.append((seq, kind, f"u{seq}", None, f"Name{rng.randrange(30)}", None, None))
+        elif kind == "MERGE" and len(free) > 3 and rng.random() < 0.5:
+            a, b = rng.sample(free, 2)
+            merged.add(b)
+            rows.append((seq, kind, a, b, None, None, None))
+        elif kind == "RENAME" and free:
+            rows.append((seq, kind, rng.choice(free), None, f"nAME{rng.randrange(30)}", None, None))
+        elif kind in ("ALIAS", "TOGGLE"):
+            rows.append((seq, kind, who(), None, None, f"a{rng.randrange(40)}" if kind == "ALIAS" else None, None))
+        elif kind in ("DISTRIBUTE", "TRANSFER"):
+            rows.append((seq, kind, who(), who() if kind == "TRANSFER" else None, None, None, Decimal(rng.randrange(-2, 9))))
+        elif kind.startswith("ACC"):
+            rows.append((seq, kind, None, None, None, None, None))
+    got = [tuple(r) for r in ledger_state.violations(spark.createDataFrame(rows, STATE).repartition(3)).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_ledger(rows) and {r for _, _, r in got} == {"id", "name", "alias", "amount", "inactive", "accounting"}
+    with pytest.raises(ValueError):
+        ledger_state.refuse(spark.createDataFrame(rows, STATE))
+    ledger_state.refuse(spark.createDataFrame([], STATE))
+
+
+def test_accounts_beside_scores(spark):
+    accounts = spark.createDataFrame([("1", "x/"), ("2", "y/")], "id string, address string")
+    aliases = spark.createDataFrame([("1", "z/")], "id string, address string")
+    scores = lambda *a: spark.createDataFrame([(x, float(i)) for i, x in enumerate(a)], "address string, score double")
+    met, free = ledger_state.accounts_with_scores(accounts, aliases, scores("x/", "y/", "w/"))
+    assert {r.id: r.score for r in met.collect()} == {"1": 0.0, "2": 1.0} and [r.address for r in free.collect()] == ["w/"]
+    assert sorted(r.address for r in ledger_state.by_address(accounts, aliases).collect()) == ["x/", "y/", "z/"]
+    for wrong in (("x/",), ("x/", "y/", "z/")):
+        with pytest.raises(ValueError):
+            ledger_state.accounts_with_scores(accounts, aliases, scores(*wrong))
+
+
+def test_ledger_logs(spark, tmp_path):
+    lines = [
+        {"action": {"identity": {"address": "n1", "aliases": [], "id": "a", "name": "Ann é"}, "type": "CREATE_IDENTITY"}}, {"action": {"identity": {"address": "n2", "aliases": [], "id": "b", "name": "bo"}, "type": "CREATE_IDENTITY"}},
+        {"action": {"identityId": "a", "newName": "an", "type": "RENAME_IDENTITY"}}, {"action": {"identityId": "a", "newType": "BOT", "type": "CHANGE_IDENTITY_TYPE"}}, {"action": {"alias": {"address": "n3"}, "identityId": "a", "type": "ADD_ALIAS"}},
+        {"action": {"identityId": "a", "type": "TOGGLE_ACTIVATION"}}, {"action": {"currency": {"chainId": "1", "tokenAddress": "0x/1"}, "type": "SET_EXTERNAL_CURRENCY"}}, {"action": {"type": "ENABLE_GRAIN_INTEGRATION"}},
+        {"action": {"id": "a", "payoutAddress": "0xa", "type": "SET_PAYOUT_ADDRESS"}}, {"action": {"amount": "12345678901234567890123", "from": "a", "to": "b", "type": "TRANSFER_GRAIN"}}, {"action": {"id": "d1", "type": "MARK_DISTRIBUTION_EXECUTED"}},
+        {"action": {"distribution": {"allocations": [{"id": "x", "receipts": [{"amount": "5", "id": "a"}, {"amount": "6", "id": "b"}]}, {"id": "y", "receipts": [{"amount": "7", "id": "a"}]}], "credTimestamp": 9, "id": "d1"}, "type": "DISTRIBUTE_GRAIN"}},
+        {"action": {"base": "a", "target": "b", "type": "MERGE_IDENTITIES"}}, {"action": {"type": "REMOVE_EXTERNAL_CURRENCY"}}, {"action": {"type": "DISABLE_ACCOUNTING"}}, {"action": {"type": "ENABLE_ACCOUNTING"}}, {"action": {"type": "DISABLE_GRAIN_INTEGRATION"}},
+    ]
+    lines = [x | {"ledgerTimestamp": 9, "uuid": f"u{i}", "version": "1"} for i, x in enumerate(lines)]
+    (tmp_path / "log.json").write_text("\n".join(json.dumps(x) for x in lines) + "\n")
+    events = ledger_log.read_log(spark, str(tmp_path / "log.json"))
+    rows = events.orderBy("seq").collect()
+    assert len(rows) == len(lines) + 2 and [r.type for r in rows][:4] == ["CREATE", "CREATE", "RENAME", "TYPE"]
+    assert sorted((r.id, r.name, r.address, int(r.amount)) for r in rows if r.type == "DISTRIBUTE") == [("a", "d1", "x", 5), ("a", "d1", "y", 7), ("b", "d1", "x", 6)]
+    written = [r.value for r in ledger_log.written_lines(events).orderBy("seq").collect()]
+    assert [json.loads(x) for x in written] == lines and all(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == y for x, y in zip(lines, written, strict=True))
+    assert ledger_state.settings(events).first() == (True, False, None)
+    assert {r.id: r.kind for r in ledger_state.kinds(events).collect()} == {"a": "BOT", "b": "USER"}
+    assert [tuple(r) for r in ledger_state.executed(events).collect()] == [("d1", Decimal(18), False)]  # marks went with the integration
+    assert {r.id: [int(x.amount) for x in r.receipts] for r in ledger_state.history(events).collect()} == {"a": [5, 6, 7]}
+    for bad in ('{"action": {"type": "NOTHING"}, "version": "1"}', '{"action": {"type": "ENABLE_ACCOUNTING"}, "version": "2"}', "no json"):
+        with pytest.raises(Exception):
+            ledger_log.parsed(spark.createDataFrame([(1, bad)], "seq long, value string")).collect()
+
+
 LOG = "seq long, type string, id string, other string, amount decimal(38,0)"
 
 
