@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meritgraph.operators.frames import checkpointed
+
+#: Up to so many periods one key's travel as one sorted array; ranges of time beyond that.
+MAX_PERIODS = 1_000
+RANGES = 256
+
 
 def asof_join(left: DataFrame, periods: DataFrame, ts: str, start: str, value: str, by: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """``left`` with ``value``, null where no period has begun. ``strict``: periods that start before the time only.
-
-    Periods are configuration: those of one key (of all, without ``by``) travel as one sorted array, which is joined
-    once, so the rows of ``left`` are neither sorted nor windowed and a hot key is split like any skewed join."""
-    packed = periods.groupBy(*(by or [])).agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(value).alias("v")))).alias("_p"))
-    met = left.join(packed, by, "left") if by else left.join(F.broadcast(packed), F.lit(True), "left")
-    begun = F.filter("_p", lambda x: (x["s"] < F.col(ts)) if strict else (x["s"] <= F.col(ts)))
-    return met.withColumn(value, F.when(F.size(begun) > 0, F.element_at(begun, -1)["v"])).drop("_p")
+    """``left`` with ``value``, null where no period has begun. ``strict``: periods that start before the time only. Of
+    periods with one start, the greatest value counts.
+
+    Few periods (configuration) become a sorted array for each key, which is joined once, so the rows of ``left`` are
+    neither sorted nor windowed and a hot key is split like any skewed join. Many periods meet the rows in windows over
+    ranges of time, and what a range doesn't know it has from the ranges before it."""
+    by = by or []
+    periods = periods.select(*by, F.col(start).alias("s"), F.col(value).alias("v"))
+    if periods.limit(MAX_PERIODS + 1).count() <= MAX_PERIODS:
+        packed = periods.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("s", "v"))).alias("_p"))
+        met = left.join(F.broadcast(packed), by, "left") if by else left.join(F.broadcast(packed), F.lit(True), "left")
+        begun = F.filter("_p", lambda x: (x["s"] < F.col(ts)) if strict else (x["s"] <= F.col(ts)))
+        return met.withColumn(value, F.when(F.size(begun) > 0, F.element_at(begun, -1)["v"])).drop("_p")
+    return _by_ranges(left, checkpointed(periods), ts, value, by, strict)
+
+
+def _by_ranges(left: DataFrame, periods: DataFrame, ts: str, value: str, by: list[str], strict: bool) -> DataFrame:
+    bounds = periods.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
+    bounds = F.array(*map(F.lit, sorted(set(bounds or [])))).cast(f"array<{periods.schema['s'].dataType.simpleString()}>")
+    range_of = lambda t: F.size(F.filter(bounds, lambda b: b < t))
+    own = periods.withColumn("r", range_of(F.col("s")))
+    # the last value of each range that has any, as one array of at most RANGES for each key
+    last = own.groupBy(*by, "r").agg(F.max(F.struct("s", "v")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("r", F.col("x.v").alias("v")))).alias("_c"))
+    rows = left.select(*by, F.struct(*left.columns).alias("row"), F.col(ts).alias("s"), F.lit(None).cast(periods.schema["v"].dataType).alias("v")).withColumn("r", range_of(F.col("s"))).withColumn("kind", F.lit(1))
+    both = rows.unionByName(own.withColumn("kind", F.lit(2 if strict else 0)), allowMissingColumns=True)
+    order = Window.partitionBy(*by, "r").orderBy("s", "kind", "v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("kind") != 1, F.struct("v")), ignorenulls=True).over(order)
+    met = both.withColumn("seen", seen).where("kind = 1").select(*by, "row", "r", "seen")
+    met = met.join(last, by, "left") if by else met.join(F.broadcast(last), F.lit(True), "left")  # one row
+    before = F.filter("_c", lambda x: x["r"] < F.col("r"))
+    found = F.when(F.col("seen").isNotNull(), F.col("seen.v")).when(F.size(before) > 0, F.element_at(before, -1)["v"])
+    return met.select("row.*", found.alias(value))

@@ -33,6 +33,17 @@ def weigh(operands: DataFrame, configs: DataFrame) -> DataFrame:
     return met.withColumn("weight", F.coalesce("_own", "_default", missing)).withColumn("explicit", F.col("_own").isNotNull()).drop("_own", "_default")
 
 
+def with_operators(expressions: DataFrame, configured: DataFrame) -> DataFrame:
+    """``expressions`` (config_ms, operator, ...) with operators ``key:NAME`` replaced by those that the configuration in
+    force gives the name. configured (start_ms, key, operator). A name that is not set, and an operator that there isn't,
+    are errors when rows are read."""
+    own = configured.select(F.col("start_ms").alias("config_ms"), F.concat(F.lit("key:"), "key").alias("operator"), F.col("operator").alias("_set"))
+    met = expressions.join(F.broadcast(own), ["config_ms", "operator"], "left")  # configurations are few
+    found = F.when(F.startswith("operator", F.lit("key:")), F.col("_set")).otherwise(F.col("operator"))
+    wrong = F.raise_error(F.concat(F.lit("no such operator, or not configured: "), "operator")).cast("string")
+    return met.withColumn("operator", F.when(found.isin(list(OPERATORS)), found).otherwise(wrong)).drop("_set")
+
+
 def _score(op: Column) -> Column:
     """Of grouped operands: e, whether it is an expression; x, its score; explicit; ord, weights before expressions."""
     e, x, explicit, order = F.col("e"), F.col("x"), F.col("explicit"), F.col("ord")
@@ -74,6 +85,10 @@ def share_out(scored: DataFrame, shares: DataFrame, cumulative: bool = True) ->
     return met.select("contribution", "participant", "ord", F.when(F.col("of") == 0, F.lit(float("nan"))).otherwise(F.col("score") * F.col("weight") / F.col("of")).alias("score"))
 
 
-def with_subkey(operands: DataFrame, key: str, subkey: str) -> DataFrame:
-    """Contributions that name a subkey anywhere."""
-    return operands.where((F.col("key") == key) & (F.col("subkey") == subkey)).select("contribution").distinct()
+def with_subkey(operands: DataFrame, shares: DataFrame, key: str, subkey: str) -> DataFrame:
+    """(contribution, n) that name a subkey: once if in any weight of the expression, else once for each share that does.
+    shares (contribution, key, subkey)."""
+    named = (F.col("key") == key) & (F.col("subkey") == subkey)
+    inside = operands.where(named).select("contribution").distinct().withColumn("n", F.lit(1).cast("long"))
+    by_share = shares.where(named).groupBy("contribution").agg(F.count(F.lit(1)).alias("n"))
+    return inside.unionByName(by_share.join(inside.select("contribution"), "contribution", "left_anti"))

@@ -71,8 +71,12 @@ def merge(graphs: list[Graph]) -> Graph:
 
 def contract(g: Graph, contractions: DataFrame) -> Graph:
     """``contractions`` (old, address, description, timestamp_ms): replaces old nodes, rewrites the ends of all edges
-    (dangling ones too) and adds each replacement once."""
-    names = contractions.select("old", F.col("address").alias("new"))
+    (dangling ones too) and adds each replacement once. A replacement that is replaced itself, and an old node with two
+    replacements, are errors."""
+    names = contractions.select("old", F.col("address").alias("new")).distinct()
+    wrong = names.groupBy("old").count().where("count > 1").select("old").union(names.select("old").join(names.select(F.col("new").alias("n")).distinct(), F.col("old") == F.col("n"), "left_semi")).limit(5).collect()
+    if wrong:
+        raise ValueError(f"contractions that contradict each other: {sorted({r.old for r in wrong})}")
     kept = g.nodes.join(names, F.col("address") == F.col("old"), "left_anti").select(*NODE)
     added = contractions.select(*NODE).dropDuplicates(["address"])
     s, d = (names.select(F.col("old").alias(f"{x}o"), F.col("new").alias(f"{x}n")) for x in "sd")

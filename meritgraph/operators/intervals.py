@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from meritgraph.functions.addresses import has_prefix
 from meritgraph.functions.weeks import week_intervals, week_start
 from meritgraph.operators.asof import asof_join
+from meritgraph.operators.frames import checkpointed
 from meritgraph.operators.graph import Graph, solid
 
 
+#: Factors (a row for each prefix and week) are broadcast up to this many rows.
+BROADCAST_ROWS = 100_000
+
+
 def weekly_counts(g: Graph) -> DataFrame:
     """(idx, start_ms, end_ms, n_nodes, n_edges) of all weeks, empty ones included; timeless nodes and dangling edges
     are in none."""
@@ -45,7 +50,8 @@ def apply_budget(weighted: DataFrame, budgets: DataFrame) -> DataFrame:
     allowed = asof_join(totals, budgets, "week", "start_ms", "budget", by=["prefix"])
     factor = F.when(F.col("budget").isNull() | (F.col("total") <= F.col("budget")), 1.0).otherwise(F.col("budget") / F.col("total"))
     factors = allowed.select("prefix", "week", factor.alias("factor"))
-    met = own.join(F.broadcast(factors) if len(names) < 100 else factors, ["prefix", "week"], "left")
+    factors = checkpointed(factors)
+    met = own.join(F.broadcast(factors) if factors.count() <= BROADCAST_ROWS else factors, ["prefix", "week"], "left")
     return met.withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("prefix", "week", "factor")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritgraph.functions.weeks import WEEK, week_start
+from meritgraph.operators.intervals import bonuses
 
 
 def view(scores: DataFrame, receipts: DataFrame, weeks: DataFrame) -> DataFrame:
@@ -50,3 +51,35 @@ def ordered_letters(column: str, letters: str):
     """Rows whose text has the letters in this order, any case."""
     pattern = ".*".join(f"\\Q{c}\\E" for c in letters)
     return F.col(column).rlike(f"(?i){pattern}")
+
+
+def interval_totals(v: DataFrame) -> DataFrame:
+    """(start_ms, end_ms, score, earned) over all participants."""
+    return v.groupBy("start_ms", "end_ms").agg(F.sum("score").alias("score"), F.sum("earned").cast("decimal(38,0)").alias("earned"))
+
+
+def with_dependencies(v: DataFrame, policies: DataFrame) -> DataFrame:
+    """``v`` with each dependency's bonus added to its own scores: a share, by period, of each interval's scores in all.
+    policies (recipient, period_ms, share)."""
+    mint = interval_totals(v).select("start_ms", F.col("score").alias("mint"))
+    extra = bonuses(mint, policies).select(F.col("recipient").alias("id"), "start_ms", (F.col("start_ms") + WEEK).alias("end_ms"), F.col("amount").alias("score"), F.lit(0).cast("decimal(38,0)").alias("earned"))
+    return merged([v, extra])
+
+
+def averages(rows: DataFrame) -> DataFrame:
+    """One row over a page (score, earned): sums and means."""
+    return rows.agg(F.sum("score").alias("score"), F.avg("score").alias("mean_score"), F.sum("earned").cast("decimal(38,0)").alias("earned"), (F.sum("earned").cast("double") / F.count(F.lit(1))).alias("mean_earned"))
+
+
+def frame_of(weeks: DataFrame, which: str) -> DataFrame:
+    """Intervals (start_ms, end_ms) of a time frame: the last one (``this``), the one before (``last``), the four before
+    the last (``month``), or all."""
+    if which == "all":
+        return weeks
+    first, n = {"this": (0, 1), "last": (1, 1), "month": (1, 4)}[which]
+    return weeks.orderBy(F.desc("end_ms")).offset(first).limit(n)
+
+
+def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand in several rows, with their number."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

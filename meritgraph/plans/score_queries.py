@@ -126,6 +126,18 @@ def view_page(spark, sf):
     return views.page(rows.where(views.ordered_letters("c_name", "cm07")), [F.desc("c_acctbal"), "c_custkey"], 1, 10)
 
 
+@query(f"WITH {_VIEW} SELECT start_ms, end_ms, round(sum(score), 6) AS score, sum(cents)::BIGINT AS cents FROM vw GROUP BY 1, 2")
+def view_interval_totals(spark, sf):
+    return views.interval_totals(_view(spark, sf)).select("start_ms", "end_ms", F.round("score", 6).alias("score"), _cents().alias("cents"))
+
+
+@query(f"""WITH {_VIEW}, t AS (SELECT start_ms, end_ms, sum(score) AS s FROM vw GROUP BY 1, 2), b AS (SELECT 'lib-a' AS id, start_ms, end_ms, s * 0.1 AS score FROM t WHERE start_ms >= 1704600000000 UNION ALL SELECT '3', start_ms, end_ms, s * CASE WHEN start_ms >= 1705200000000 THEN 0.25 ELSE 0.5 END FROM t)
+SELECT id, round(sum(score), 6) AS score FROM (SELECT id, score FROM vw UNION ALL SELECT id, score FROM b) GROUP BY 1""")
+def view_with_dependencies(spark, sf):
+    policies = spark.createDataFrame([("lib-a", 1_704_600_000_000, 0.1), ("3", 0, 0.5), ("3", 1_705_200_000_000, 0.25)], "recipient string, period_ms long, share double")
+    return views.totals(views.with_dependencies(_view(spark, sf), policies)).select("id", F.round("score", 6).alias("score"))
+
+
 _DONE = f"dn AS (SELECT * FROM vw WHERE end_ms <= {UNTIL})"
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meritgraph.functions.weeks import millis
-from meritgraph.operators import chat, forge
+from meritgraph.functions.addresses import address
+from meritgraph.operators import chat, expressions, forge, initiatives
+from meritgraph.operators.asof import asof_join
 from meritgraph.sources import tables
 
 QUERIES, SQL = {}, {}
@@ -175,3 +177,65 @@ UNION ALL SELECT 'repository/pull/' || nr || '/', (o_custkey % 7)::VARCHAR, 'com
 def forge_shares(spark, sf):
     entities, reactions, _ = _forge(spark, sf)
     return forge.contributions(entities, reactions)[2]
+
+
+def _initiatives(spark, sf):
+    """Parts are initiatives; suppliers and other parts are linked to them, and each has an entry."""
+    p = tables.table(spark, sf, "part")
+    i = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), (F.col("p_partkey") * 1000).alias("ms"), (F.col("p_size") % 2 == 0).alias("completed"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") / 2).alias("incomplete"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") * 1.0).alias("complete"))
+    link = lambda f, url: F.struct(F.lit(f).alias("field"), url.cast("string").alias("url"))
+    k = F.col("p_partkey")
+    links = p.select(k.cast("string").alias("id"), F.inline(F.array(link("DEPENDENCY", F.concat(F.lit("part:"), (k + 7).cast("string"))), link("REFERENCE", F.concat(F.lit("part:"), (k % 5).cast("string"))), link("CHAMPION", F.concat(F.lit("supplier:"), (k % 13).cast("string"))))))
+    entries = p.where("p_partkey % 4 = 0").select(k.cast("string").alias("id"), F.lit("CONTRIBUTION").alias("field"), F.lit(None).cast("string").alias("key"), F.concat(F.lit("Made of "), "p_type", F.lit("!")).alias("title"), F.when(k % 8 == 0, k).alias("ms"), F.when(k % 3 == 0, k * 1.0).alias("weight"))
+    contributors = entries.select("id", "field", initiatives.slug(F.col("title")).alias("key"), F.concat(F.lit("supplier:"), (F.col("id").cast("long") % 11).cast("string")).alias("url"))
+    s = tables.table(spark, sf, "supplier")
+    known = p.select(F.concat(F.lit("part:"), k.cast("string")).alias("url"), address("initiatives", "initiative", k).alias("address")).union(s.where("s_suppkey < 12").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")), address("user", F.col("s_suppkey"))))
+    return i, links, entries, contributors, known
+
+
+_INITIATIVES = """p AS (SELECT p_partkey AS k, 'initiatives/initiative/' || p_partkey || '/' AS a, p_name, p_size, p_type FROM part),
+en AS (SELECT *, 'initiatives/entry/CONTRIBUTION/' || k || '/' || regexp_replace(lower('made-of-' || p_type), '[^a-z0-9]+', '-', 'g') || '/' AS e FROM p WHERE k % 4 = 0)"""
+
+
+@query(f"""WITH {_INITIATIVES} SELECT 'initiatives/dependsOn/' || p.a || q.a AS address, p.a AS src, q.a AS dst, p.k * 1000 AS timestamp_ms FROM p JOIN p q ON q.k = p.k + 7
+UNION ALL SELECT 'initiatives/references/' || p.a || q.a, p.a, q.a, p.k * 1000 FROM p JOIN p q ON q.k = p.k % 5
+UNION ALL SELECT 'initiatives/champions/' || a || 'user/' || (k % 13) || '/', 'user/' || (k % 13) || '/', a, k * 1000 FROM p JOIN supplier ON s_suppkey = k % 13 WHERE s_suppkey < 12
+UNION ALL SELECT 'initiatives/contributesTo/' || a || e, e, a, k * 1000 FROM en
+UNION ALL SELECT 'initiatives/contributesToEntry/' || e || 'user/' || (k % 11) || '/', 'user/' || (k % 11) || '/', e, CASE WHEN k % 8 = 0 THEN k ELSE k * 1000 END FROM en JOIN supplier ON s_suppkey = k % 11""")
+def initiative_edges(spark, sf):
+    return initiatives.graph(*_initiatives(spark, sf))[0].edges
+
+
+@query(f"""WITH {_INITIATIVES}, w AS (SELECT a, CASE WHEN p_size % 3 > 0 THEN CASE WHEN p_size % 2 = 0 THEN p_size * 1.0 ELSE p_size / 2.0 END END::DOUBLE AS w FROM p) SELECT a AS prefix, w AS weight FROM w WHERE w IS NOT NULL AND w <> 0 UNION ALL SELECT e, k::DOUBLE FROM en WHERE k % 3 = 0""")
+def initiative_weights(spark, sf):
+    return initiatives.graph(*_initiatives(spark, sf))[1]
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, epoch_us(l_shipdate) // 1000 AS ms, l_suppkey % 20 AS c FROM lineitem), o AS (SELECT o_custkey % 20 AS c, epoch_us(o_orderdate) // 1000 AS s, max(o_totalprice) AS value FROM orders GROUP BY 1, 2)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.ms, o.value FROM l ASOF LEFT JOIN o ON l.c = o.c AND l.ms >= o.s""")
+def asof_many_periods(spark, sf):
+    """The last order of a group of customers before each line was shipped: as many periods as orders."""
+    l = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", millis(F.col("l_shipdate")).alias("ms"), (F.col("l_suppkey") % 20).alias("c"))
+    o = tables.table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("c"), millis(F.col("o_orderdate")).alias("s"), F.col("o_totalprice").alias("value"))
+    return asof_join(l, o, "ms", "s", "value", by=["c"]).drop("c")
+
+
+_OPERATORS = [(1, "reactionsAcrossParticipants", "ADD"), (1, "reactionsOfSingleParticipant", "MAX")]
+_ROLES = {"n3": 2.0, "n7": 5.0, "s1": 3.0}
+_EMOJI = {"RF": 2.0, "NO": 0.5}
+
+
+@query(f"""WITH {CHAT_SQL}, c AS (SELECT *, channel || '/' || message AS contribution FROM ms),
+p AS (SELECT contribution, reacter, max(CASE emoji WHEN 'RF' THEN 2.0 WHEN 'NO' THEN 0.5 END) AS e, count(*) AS n FROM re JOIN c USING (message) WHERE reacter <> author GROUP BY 1, 2),
+r AS (SELECT p.*, greatest(CASE s_nationkey WHEN 3 THEN 2.0 WHEN 7 THEN 5.0 END, CASE WHEN s_suppkey % 3 = 1 THEN 3.0 END) AS g FROM p JOIN supplier ON s_suppkey::VARCHAR = reacter)
+SELECT c.contribution, round(coalesce(sum(CASE WHEN reacter IS NULL THEN 0.0 ELSE coalesce(g, 1.0) * coalesce(e, 1.0) END), 0) * CASE channel WHEN '1-URGENT' THEN 2.0 WHEN '5-LOW' THEN 0.0 ELSE CASE WHEN parent = 'p3' THEN 4.0 ELSE 1.0 END END, 9) AS score FROM c LEFT JOIN r USING (contribution) GROUP BY c.contribution, channel, parent""")
+def chat_scores(spark, sf):
+    """Messages scored by configured operators."""
+    trees, operands, _ = chat.contributions(*_chat(spark, sf))
+    rows = [(1, "role", None, 1.0), (1, "emoji", None, 1.0), (1, "channel", None, 1.0), (1, "category", None, 1.0), (1, "channel", "1-URGENT", 2.0), (1, "channel", "5-LOW", 0.0), (1, "category", "p3", 4.0)]
+    rows += [(1, "role", k, w) for k, w in _ROLES.items()] + [(1, "emoji", k, w) for k, w in _EMOJI.items()]
+    configs = spark.createDataFrame(rows, "start_ms long, key string, subkey string, weight double")
+    operators = spark.createDataFrame(_OPERATORS, "start_ms long, key string, operator string")
+    trees = expressions.with_operators(trees.withColumn("config_ms", F.lit(1).cast("long")), operators)
+    scored = expressions.score_trees(trees, expressions.weigh(operands.withColumn("config_ms", F.lit(1).cast("long")), configs), 4)
+    return scored.where("path = '0'").select("contribution", F.round("score", 9).alias("score"))

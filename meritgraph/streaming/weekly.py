@@ -35,8 +35,11 @@ def upsert_to(path: str, key: str, version: str):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
         rows = batch
-        if fs.exists(where):
-            current = max(s.getPath().getName() for s in fs.listStatus(where))
+        done = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+        # a write that broke off has no marker: its batch comes again and writes over it
+        done = sorted(p.getName() for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        if done:
+            current = done[-1]
             if current >= f"v{batch_id:012d}":
                 return  # this batch was written before
             rows = spark.read.parquet(f"{path}/{current}").unionByName(batch)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meritgraph.functions.addresses import is_address, prefixes
 from meritgraph.functions.money import plain, split_budget
 from meritgraph.functions.weeks import WEEK, week_intervals, week_start
-from meritgraph.operators import builders, expressions, graph, intervals, ledger, ledger_state, markov, order, payouts, references, timeline, weights
+from meritgraph.operators import builders, expressions, graph, intervals, ledger, ledger_state, markov, order, payouts, references, timeline, views, weights
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.graph import Graph
 from meritgraph.plans import domain, graph_queries, registry
@@ -466,3 +466,90 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     write(spark.createDataFrame([(1, 2, "c")], "k long, v long, x string"), 1)
     write(spark.createDataFrame([(1, 9, "again")], "k long, v long, x string"), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v000000000001")).collect()) == [(1, 2, "c"), (2, 1, "b")]
+
+
+def test_asof_by_ranges_is_the_same(spark, monkeypatch):
+    from meritgraph.operators import asof
+
+    rng = random.Random(3)
+    periods = spark.createDataFrame([(rng.randrange(3), rng.randrange(60), rng.choice([None, rng.random()])) for _ in range(90)], "k int, s long, v double").groupBy("k", "s").agg(F.max("v").alias("v"))
+    left = spark.createDataFrame([(i, rng.choice([0, 1, 2, 5, None]), rng.randrange(-5, 70)) for i in range(200)], "id int, k int, t long")
+    for by in (["k"], None):
+        for strict in (False, True):
+            p = periods if by else periods.groupBy("s").agg(F.max("v").alias("v"))
+            monkeypatch.setattr(asof, "MAX_PERIODS", 1_000)
+            want = sorted(map(repr, asof_join(left, p, "t", "s", "v", by, strict).select("id", "k", "t", "v").collect()))
+            monkeypatch.setattr(asof, "MAX_PERIODS", 0)
+            monkeypatch.setattr(asof, "RANGES", 7)
+            assert sorted(map(repr, asof_join(left, p, "t", "s", "v", by, strict).select("id", "k", "t", "v").collect())) == want
+
+
+def test_weights_meet_the_same_rules_at_any_size(spark, monkeypatch):
+    rows = spark.createDataFrame([("a/b/",), ("a/b/",), ("a/",), ("c/",)], "address string")
+    table = [("", 2.0), ("a/", 3.0), ("a/b/", 5.0)]
+    make = lambda t: spark.createDataFrame(t, "prefix string, weight double")
+    for bound in (1_000, 1):
+        monkeypatch.setattr(weights, "LITERALS", bound)
+        got = sorted((r.address, r.weight) for r in weights.with_products(rows, make(table), ["weight"]).collect())
+        assert got == [("a/", 6.0), ("a/b/", 30.0), ("a/b/", 30.0), ("c/", 2.0)]
+        with pytest.raises(Exception):
+            weights.with_products(rows, make(table + [("a/", 7.0)]), ["weight"]).collect()
+    third = make([("a/", 10.0), ("z/", 1.0)])
+    found = weights.merge([make(table), make([("a/", 4.0)]), third], lambda a, b: 2 * a + b)
+    assert {r.prefix: r.weight for r in found.collect()} == {"": 2.0, "a/": 30.0, "a/b/": 5.0, "z/": 1.0}
+
+
+def test_contradicting_contractions(spark):
+    g = Graph(spark.createDataFrame([("a/", "", 1), ("b/", "", 1)], NODE), spark.createDataFrame([("e/", "a/", "b/", 1)], EDGE))
+    for rows in ([("a/", "x/", "", 1), ("x/", "y/", "", 1)], [("a/", "x/", "", 1), ("a/", "y/", "", 1)]):
+        with pytest.raises(ValueError):
+            graph.contract(g, spark.createDataFrame(rows, "old string, " + NODE))
+
+
+def test_initiative_files(spark, tmp_path):
+    from meritgraph.operators import initiatives
+
+    one = {"title": "First", "timestampIso": "2020-01-01T00:00:00Z", "weight": {"incomplete": 1, "complete": 5}, "completed": True, "champions": ["u1"], "dependencies": {"urls": ["first-too"], "entries": []}, "references": {"urls": [], "entries": []},
+           "contributions": {"urls": [], "entries": [{"title": "Some Thing!", "weight": 2, "contributors": ["u1", "u2"]}]}}
+    for name, x in (("a", one), ("b", {"title": "Second", "timestampIso": "2020-01-02T00:00:00Z"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, indent=1))
+    known = spark.createDataFrame([("u1", "user/1/"), ("first-too", "initiatives/initiative/b/")], "url string, address string")
+    g, w = initiatives.graph(*initiatives.tables(initiatives.read(spark, str(tmp_path))), known)
+    entry = "initiatives/entry/CONTRIBUTION/a/some-thing/"
+    assert {r.address for r in g.nodes.collect()} == {"initiatives/initiative/a/", "initiatives/initiative/b/", entry}
+    assert {(r.address.split("/")[1], r.src, r.dst) for r in g.edges.collect()} == {("champions", "user/1/", "initiatives/initiative/a/"), ("dependsOn", "initiatives/initiative/a/", "initiatives/initiative/b/"), ("contributesTo", entry, "initiatives/initiative/a/"), ("contributesToEntry", "user/1/", entry)}
+    assert {r.prefix: r.weight for r in w.collect()} == {"initiatives/initiative/a/": 5.0, entry: 2.0}
+    twice = spark.createDataFrame([("a", "REFERENCE", "k", "t", None, None)] * 2, "id string, field string, key string, title string, ms long, weight double")
+    with pytest.raises(Exception):
+        initiatives.normalised(twice, initiatives.tables(initiatives.read(spark, str(tmp_path)))[0]).collect()
+
+
+def test_operators_by_key(spark):
+    trees = lambda op: spark.createDataFrame([("c", "0", op, 1)], "contribution string, path string, operator string, config_ms long")
+    configured = spark.createDataFrame([(1, "good", "MAX"), (1, "bad", "MIN")], "start_ms long, key string, operator string")
+    assert expressions.with_operators(trees("key:good"), configured).first().operator == "MAX" and expressions.with_operators(trees("ADD"), configured).first().operator == "ADD"
+    for op in ("key:bad", "key:unset", "MIN"):
+        with pytest.raises(Exception):
+            expressions.with_operators(trees(op), configured).collect()
+    operands, shares = (spark.createDataFrame(rows, "contribution string, key string, subkey string") for rows in ([("a", "k", "x"), ("a", "k", "x"), ("b", "k", "y")], [("a", "k", "x"), ("b", "k", "x"), ("b", "k", "x")]))
+    assert {r.contribution: r.n for r in expressions.with_subkey(operands, shares, "k", "x").collect()} == {"a": 1, "b": 2}
+
+
+def test_time_frames_and_pages(spark):
+    weeks = spark.createDataFrame([(i * WEEK, (i + 1) * WEEK) for i in range(7)], "start_ms long, end_ms long")
+    of = lambda w: sorted(r.start_ms // WEEK for r in views.frame_of(weeks, w).collect())
+    assert of("this") == [6] and of("last") == [5] and of("month") == [2, 3, 4, 5] and of("all") == list(range(7))
+    page = spark.createDataFrame([("a", 1.0, Decimal(4)), ("b", 3.0, Decimal(5))], "id string, score double, earned decimal(38,0)")
+    assert views.averages(page).first() == (4.0, 2.0, Decimal(9), 4.5) and views.duplicates(page.union(page.limit(1)), ["id"]).collect()[0].n == 2
+
+
+def test_a_broken_upsert_comes_again(spark, tmp_path):
+    import os
+
+    path, make = str(tmp_path / "t"), lambda *rows: spark.createDataFrame(rows, "k int, v int")
+    write = weekly.upsert_to(path, "k", "v")
+    write(make((1, 1), (2, 1)), 0)
+    write(make((2, 5)), 1)
+    os.remove(f"{path}/v{1:012d}/_SUCCESS")
+    write(make((2, 5)), 1)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{path}/v{1:012d}").collect()) == [(1, 1), (2, 5)]
