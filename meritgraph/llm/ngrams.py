@@ -4,7 +4,9 @@ Words and bigrams are counted by Spark: tasks count what they read, shuffle sort
 and each range is merged on its own and written as arrays sorted by key: hashes of words for the vocabulary, pairs of
 word numbers for the bigrams. The files lie in a new folder under the shared checkpoint folder, which has to be a
 mounted path, and workers map them into memory, so that a model of any size costs no heap and its pages are shared.
-Contexts that are too frequent for one range are dealt by their second word.
+Contexts that are too frequent for one range are dealt by their second word, and there are as many ranges as the texts
+need at RANGE_CHARS characters each. Counts have 64 bits; two word numbers share a key of 64, so a vocabulary of 2^32
+words is an error.
 
     p(w | v) = (c(v w) - D(c)) / c(v) + g(v) p1(w)
     p1(w)    = (N(. w) - D1(N)) / N(. .) + g1 / (V + 1)
@@ -13,7 +15,7 @@ with modified discounts (one, two, three and more) of their own at either level;
 p1, and words that were never seen share g1 / (V + 1). A text begins after a start context and ends with one end
 token. Words are told apart by 64-bit hashes of their bytes; A-Z count as a-z.
 
-Null and empty texts are one end token. Repeated rows count and are scored each time. With nothing to learn from,
+Null and empty texts are one end token. Very long texts are scored whole. Repeated rows count and are scored each time. With nothing to learn from,
 every token has the probability 1 / (V + 1) with V = 0. Only the named columns are read.
 """
 
@@ -43,6 +45,9 @@ FLUSH_TOKENS = 1 << 22
 CACHE = 1 << 19
 BLOCK_TOKENS = 1 << 18
 COUNTS = "p int, keys binary, counts binary"
+RANGE_CHARS = 1 << 26
+#: The driver holds a row for each range.
+MAX_RANGES = 1 << 16
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -70,7 +75,7 @@ def _map(path: str, kind: str) -> np.ndarray:
 def _run(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """A sorted run, by differences and byte planes, which the shuffle's compression halves."""
     planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-    return planes(np.diff(keys, prepend=np.uint64(0))), planes(counts.astype("<u4"))
+    return planes(np.diff(keys, prepend=np.uint64(0))), planes(counts.astype("<u8"))
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +83,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
         n = len(k) // 8
         keys.append(np.cumsum(np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64))
-        counts.append(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+        counts.append(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(8, n).T).view("<u8").ravel().astype(np.int64))
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -132,9 +137,9 @@ class Reader:
     def __init__(self, m: Model) -> None:
         self.m = m
         at = lambda name, kind: [_map(f"{m.folder}/{name}-{p}", kind) for p in range(1 << m.bits if name.startswith("word") else m.ranges)]
-        self.words, self.counts = at("word", "<u8"), at("wordcount", "<u4")
-        self.pairs, self.paircounts = at("pair", "<u8"), at("paircount", "<u4")
-        self.follow, self.gamma = at("follow", "<u4"), at("gamma", "<f4")
+        self.words, self.counts = at("word", "<u8"), at("wordcount", "<u8")
+        self.pairs, self.paircounts = at("pair", "<u8"), at("paircount", "<u8")
+        self.follow, self.gamma = at("follow", "<u8"), at("gamma", "<f4")
         self.cache: dict[bytes, int] = {START: m.start}
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
@@ -242,9 +247,10 @@ def _classes(counts: np.ndarray) -> list[int]:
 def train(texts: DataFrame) -> Model:
     """A model of the column text of all rows."""
     spark = texts.sparkSession
-    folder, ranges = _shared_folder(spark), max(1, shuffle_partitions(spark))
-    bits = max(0, (ranges - 1).bit_length())
     texts = texts.select("text")
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    folder, ranges = _shared_folder(spark), min(MAX_RANGES, max(1, shuffle_partitions(spark), -(-chars // RANGE_CHARS)))
+    bits = max(0, (ranges - 1).bit_length())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -266,7 +272,7 @@ def train(texts: DataFrame) -> Model:
         keys, counts = _merged(runs)
         p = key[0].as_py()
         _put(f"{folder}/word-{p}", keys)
-        _put(f"{folder}/wordcount-{p}", counts.astype("<u4"))
+        _put(f"{folder}/wordcount-{p}", counts.astype("<u8"))
         top = np.argsort(-counts, kind="stable")[:ranges]
         return pa.table({"p": pa.array([p], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "at": [top.tolist()], "often": [counts[top].tolist()]})
 
@@ -276,6 +282,8 @@ def train(texts: DataFrame) -> Model:
     starts = tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)])[:-1])
     total = sum(r.total for r in made.values())
     hot = tuple(starts[p] + a for p, r in sorted(made.items()) for a, c in zip(r.at, r.often, strict=True) if 4 * c * ranges > total)
+    if sum(sizes) >= 2**32 - 1:
+        raise ValueError(f"{sum(sizes)} words are more than a key of word numbers can tell apart")
     n_texts = texts.count()
     m = Model(folder, bits, starts, ranges, hot, sum(sizes), total, n_texts)
 
@@ -301,7 +309,7 @@ def train(texts: DataFrame) -> Model:
         keys, counts = _merged(runs)
         p = key[0].as_py()
         _put(f"{folder}/pair-{p}", keys)
-        _put(f"{folder}/paircount-{p}", counts.astype("<u4"))
+        _put(f"{folder}/paircount-{p}", counts.astype("<u8"))
         first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # for each second word, in how many pairs it is; for each context, how many pairs have the counts 1, 2 and more
         seconds, n = np.unique(second, return_counts=True)
@@ -331,7 +339,7 @@ def train(texts: DataFrame) -> Model:
         numbers = np.arange(low, high)
         total = np.where(numbers == m.start, m.texts, _reader(m).word_counts(np.where(numbers == m.start, -1, numbers)))
         gamma = (own[0] * dense[1] + own[1] * dense[2] + own[2] * dense[3]) / np.maximum(total, 1)
-        _put(f"{folder}/follow-{p}", dense[0].astype("<u4"))
+        _put(f"{folder}/follow-{p}", dense[0].astype("<u8"))
         _put(f"{folder}/gamma-{p}", np.where(dense[1:].sum(axis=0) > 0, gamma, 1.0).astype("<f4"))
         seen = dense[0][dense[0] > 0]
         return pa.table({"classes": [[*_classes(seen), int((seen > 2).sum()), int(seen.sum())]]})

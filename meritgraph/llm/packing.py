@@ -2,11 +2,13 @@
 
 Lengths are counted over all documents into a histogram whose bins are exact up to EXACT tokens and grow by 1/64 above,
 so it has a bounded number of rows at any size. Dynamic programming over the bins chooses the bucket ends that
-minimise padding (each text is padded to the longest of its bucket). Inside a bucket, texts are dealt by hash to
+minimise padding (each text is padded to the longest of its bucket). Buckets end where bins do: they are optimal on
+lengths up to EXACT, and above that the longest text of a bin is under 1/64 longer than its shortest, so the padding is
+within 1/64 of the tokens of the best. Inside a bucket, texts are dealt by hash to
 sections of about SECTION_ROWS, and each section is cut into batches of rows that fill the token budget, so no group
 grows with the input and only a section's last batch can be short.
 
-Tokens are words unless another length column is named. Null and empty texts have length 0 and are packed with the
+Tokens are words unless another length column is named. Only the columns that the caller keeps and the text are read. Null and empty texts have length 0 and are packed with the
 shortest. A text that is longer than the budget is a batch of its own, whole. Repeated rows take a place each; an empty
 table gives no rows.
 """

@@ -349,6 +349,18 @@ def test_urls(spark, monkeypatch):
     assert {r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark, urls.RULES).limit(0), "block").collect()} == {"block"}
 
 
+def test_urls_of_odd_rows(spark):
+    schema = "page_id long, url string"
+    rules = urls.rule_table(spark, [("allow", "a.com", "/x"), ("block", "com", "/x/y/z"), ("block", "a.com", "/x/y"), ("allow", "com", "/x/y"), ("allow", "b.com", "/same"), ("block", "b.com", "/same")])
+    long = "http://a.com/x" + "/y" * 50_000
+    rows = [(1, "http://a.com/x/y/z"), (2, "http://A.com/x/y"), (3, "http://b.com/same?x"), (4, long), (None, "http://c.com/"), (5, "://"), (6, "")]
+    own = spark.createDataFrame(rows, schema).withColumns({"host": F.lit("no"), "rule": F.lit("no"), "digest": F.lit(1), "a.b": F.lit(2)})
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(own, rules).collect()}
+    # of equal length the longer host, then block
+    assert got[1] == ("a.com/x/y", "block") and got[2] == ("a.com/x/y", "block") and got[3] == ("b.com/same", "block") and got[4] == ("a.com/x/y", "block") and all(got[i] == (None, "allow") for i in (None, 5, 6))
+    assert urls.judge_urls(spark.createDataFrame([], schema), rules).count() == 0
+
+
 # 6
 
 
@@ -528,6 +540,9 @@ def test_packing(docs, monkeypatch):
         assert len({r.padded_to for r in b}) == 1 and len({r.slot for r in b}) == len(b)
         assert len(b) == 1 or len(b) * b[0].padded_to <= 200
     assert packing.pack(docs([]), ["doc_id"]).count() == 0
+    own = docs(rows).withColumns({"bucket": F.lit(1), "section": F.lit(2), "n_tokens": F.lit(3), "a.b": F.lit(4)})
+    found = packing.pack(own, ["doc_id"], buckets=4, budget=200)
+    assert found.columns == ["doc_id", "n_tokens", "bucket", "padded_to", "batch", "slot"] and sorted(map(repr, found.drop("batch", "slot").collect())) == sorted(map(repr, (r for r in packing.pack(docs(rows), ["doc_id"], buckets=4, budget=200).drop("batch", "slot").collect())))
 
 
 # 9
@@ -580,6 +595,22 @@ def test_model_of_nothing_and_small_caches(docs, monkeypatch):
     assert [r.score for r in ngrams.score(d, m).orderBy("doc_id").collect()] == want
 
 
+def test_model_of_long_texts_repeated_rows_and_many_ranges(docs, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["the", "of", "a"] + [f"w{k}" for k in range(40)]) for _ in range(rng.randrange(1, 60)))) for i in range(40)]
+    rows += [(90, "the of a " * 400), (91, "the of a"), (91, "the of a"), (92, "x" * 100_000)]
+    d = docs(rows).withColumns({"n_tokens": F.lit(1), "score": F.lit("s"), "a.b": F.lit(2)})
+    want = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score, r.score) for r in ngrams.score(d, ngrams.train(d)).collect()}
+    monkeypatch.setattr(ngrams, "RANGE_CHARS", 500)  # more ranges than partitions, and hot contexts
+    monkeypatch.setattr(ngrams, "BLOCK_TOKENS", 37)
+    m = ngrams.train(d)
+    got = ngrams.score(d, m).collect()
+    assert m.ranges > 100 and m.hot and len(got) == len(rows) and all(x.dtype == "<u8" for x in ngrams.Reader(m).paircounts)
+    for r in got:
+        assert (r.n_known, r.base_score, r.score) == pytest.approx(want[r.doc_id, r.n_tokens], rel=1e-6)
+    assert [r.score for r in got if r.doc_id == 91][0] == [r.score for r in got if r.doc_id == 91][1]
+
+
 # 10
 
 
