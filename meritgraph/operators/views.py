@@ -83,3 +83,12 @@ def frame_of(weeks: DataFrame, which: str) -> DataFrame:
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that stand in several rows, with their number."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, before, after, change) of participants' scores; one that is in one of both only is an error when rows are
+    read."""
+    a, b = (x.groupBy(F.col("id").alias(k)).agg(F.sum("score").alias(n)) for x, k, n in ((before, "a", "before"), (after, "b", "after")))
+    met = a.join(b, F.col("a") == F.col("b"), "full_outer")
+    alone = F.raise_error(F.concat(F.lit("participant on one side only: "), F.coalesce("a", "b").cast("string"))).cast(a.schema["a"].dataType)
+    return met.select(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a")).otherwise(alone).alias("id"), "before", "after", (F.col("after") - F.col("before")).alias("change"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meritgraph.functions.weeks import millis
 from meritgraph.functions.addresses import address
-from meritgraph.operators import chat, expressions, forge, initiatives
+from meritgraph.operators import chat, expressions, forge, forum, initiatives, views
 from meritgraph.operators.asof import asof_join
 from meritgraph.sources import tables
 
@@ -239,3 +239,43 @@ def chat_scores(spark, sf):
     trees = expressions.with_operators(trees.withColumn("config_ms", F.lit(1).cast("long")), operators)
     scored = expressions.score_trees(trees, expressions.weigh(operands.withColumn("config_ms", F.lit(1).cast("long")), configs), 4)
     return scored.where("path = '0'").select("contribution", F.round("score", 9).alias("score"))
+
+
+def _forum(spark, sf):
+    """Orders are topics, their lines posts; suppliers like them."""
+    l = tables.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    post = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    posts = l.select(post.alias("post"), F.col("l_orderkey").alias("topic"), F.col("l_linenumber").alias("index"), F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 4 + 1).cast("int")).alias("reply_to_index"), F.col("l_suppkey").alias("author"))
+    likes = l.where("l_partkey % 2 = 0").select(post.alias("post"), F.col("l_suppkey").alias("author"), F.col("l_partkey").alias("ms"))
+    users = tables.table(spark, sf, "supplier").where("s_suppkey % 6 < 5").select(F.col("s_suppkey").alias("author"), (F.col("s_suppkey") % 6).alias("trust"))
+    o = tables.table(spark, sf, "orders")
+    topics = o.select(F.col("o_orderkey").alias("topic"), F.col("o_orderpriority").alias("category"))
+    tags = o.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("topic"), F.col("o_orderstatus").alias("tag")).union(o.where("o_custkey % 6 = 0").select("o_orderkey", F.lit("extra")))
+    return likes, users, posts, topics, tags
+
+
+_FORUM = """f AS (SELECT l_orderkey AS topic, l_linenumber AS i, min(l_suppkey) AS author, min(l_partkey) AS k, l_orderkey || '-' || l_linenumber AS post FROM lineitem GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_FORUM} SELECT a.post, b.post AS parent FROM f a JOIN f b ON a.topic = b.topic AND b.i = CASE WHEN a.k % 3 = 0 THEN a.k % 4 + 1 WHEN a.i > 1 THEN 1 END")
+def forum_replies(spark, sf):
+    return forum.replies(_forum(spark, sf)[2])
+
+
+@query(f"""WITH {_FORUM}, w AS (SELECT topic, post, CASE WHEN author % 6 < 5 THEN [0.0, 0.1, 1.0, 1.25, 1.5][author % 6 + 1] ELSE 0.0 END * CASE o_orderpriority WHEN '1-URGENT' THEN 3.0 ELSE 1.0 END * CASE WHEN o_custkey % 3 = 0 AND o_orderstatus = 'F' THEN 0.5 ELSE 1.0 END * CASE WHEN o_custkey % 6 = 0 THEN 2.0 ELSE 1.0 END AS w
+FROM f JOIN orders ON o_orderkey = topic WHERE k % 2 = 0)
+SELECT 'forum/topicHasLikedPost/forum/topic/' || topic || '/forum/post/' || post || '/' AS address, 'forum/topic/' || topic || '/' AS src, 'forum/post/' || post || '/' AS dst, round(sum(w), 9)::DOUBLE AS weight FROM w GROUP BY topic, post HAVING sum(w) <> 0""")
+def forum_liked_posts(spark, sf):
+    weighed = forum.like_weights(*_forum(spark, sf), {"1-URGENT": 3.0}, {"F": 0.5, "extra": 2.0})
+    return forum.liked_posts(weighed).withColumn("weight", F.round("weight", 9))
+
+
+@query("""WITH a AS (SELECT o_custkey AS id, sum(o_totalprice) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS id, sum(o_totalprice) AS s FROM orders GROUP BY 1)
+SELECT id, round(a.s, 4) AS before, round(b.s, 4) AS after, round(b.s - a.s, 4) AS change FROM a JOIN b USING (id)""")
+def view_changes(spark, sf):
+    """Scores before and after, of participants who are in both."""
+    o = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("score"), "o_orderkey")
+    before = o.where("o_orderkey % 2 = 0")
+    after = o.join(before.select("id").distinct(), "id", "left_semi")
+    found = views.changes(before, after)
+    return found.select("id", *(F.round(c, 4).alias(c) for c in ("before", "after", "change")))

@@ -553,3 +553,21 @@ def test_a_broken_upsert_comes_again(spark, tmp_path):
     os.remove(f"{path}/v{1:012d}/_SUCCESS")
     write(make((2, 5)), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{path}/v{1:012d}").collect()) == [(1, 1), (2, 5)]
+
+
+def test_forum_links(spark):
+    from meritgraph.operators import forum
+
+    html = "".join(f'<a class="x" href="{u}">y</a>' for u in ("https://F.org/t/some-title/12/3", "https://f.org/t/other/12", "http://f.org/t/x/12", "https://f.org/u/Jos%C3%A9", "https://f.org/c/1", "https://f.org/t/x/99/1?u=1", "https://f.org/t/x/13/#top"))
+    found = forum.links(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "html", "https://f.org")
+    posts = spark.createDataFrame([("p", 12, 3)], "post string, topic int, index int")
+    users = spark.createDataFrame([("josé",)], "author string")
+    got = sorted((r.kind, r.a, r.b, r.address) for r in forum.existing(found, posts, users).collect())
+    assert got == sorted([("post", "12", "3", "forum/post/p/"), ("topic", "12", None, "forum/topic/12/"), ("user", "José", None, "forum/user/josé/"), ("post", "99", "1", None), ("topic", "13", None, None)])
+
+
+def test_changes_need_the_same_people(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "id string, score double")
+    assert views.changes(make(("a", 1.0)), make(("a", 3.0))).first() == ("a", 1.0, 3.0, 2.0)
+    with pytest.raises(Exception):
+        views.changes(make(("a", 1.0)), make(("b", 3.0))).collect()
