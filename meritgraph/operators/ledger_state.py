@@ -36,28 +36,34 @@ def kinds(events: DataFrame, default: str = "USER") -> DataFrame:
     return events.where("type = 'CREATE'").select("id").join(last, "id", "left").select("id", F.coalesce("kind", F.lit(default)).alias("kind"))
 
 
+def counting(events: DataFrame) -> Column:
+    """Whether an event's amounts still stand in balances: none of those before the last ACCOUNTING_OFF, which erases all
+    balances, and none of those since then that came while accounting was off. Settings are few: two sequence numbers,
+    read by the driver. They are told apart by ``seq``, so an event's own order among those decides."""
+    flips = events.where("type IN ('ACCOUNTING_ON', 'ACCOUNTING_OFF')").select("seq", "type")
+    off = flips.where("type = 'ACCOUNTING_OFF'").agg(F.max("seq")).first()[0]
+    if off is None:
+        return F.lit(True)
+    on = flips.where((F.col("type") == "ACCOUNTING_ON") & (F.col("seq") > off)).agg(F.min("seq")).first()[0]
+    return F.lit(False) if on is None else F.col("seq") > on
+
+
 def balances(events: DataFrame) -> DataFrame:
-    """(id, balance, paid, active) of identities that were not merged into others. When accounting is switched off all
-    balances start anew from zero, and accounts without a payout address at that time are switched off; what was paid
-    stays."""
+    """(id, balance, paid, active) of identities that were not merged into others. Switching accounting off erases all
+    balances, and what comes until it is switched on again doesn't count to them; what was paid stays. Accounts are
+    active after an odd number of toggles: a log has toggles of its own for accounts that lose their activity when
+    accounting is switched off or the currency changes."""
     done = settled(events)
-    off = F.broadcast(events.where("type = 'ACCOUNTING_OFF'").agg(F.coalesce(F.max("seq"), F.lit(-(2**63))).alias("off")))  # one row
     signed = F.when(F.col("type") == "TRANSFER", -F.col("amount")).otherwise(F.col("amount")).cast(AMOUNT)
     zero = F.lit(0).cast(AMOUNT)
     money = done.where("type IN ('DISTRIBUTE', 'TRANSFER')").select("seq", F.inline(F.array(
         F.struct(F.col("own").alias("k"), signed.alias("x"), F.when(F.col("type") == "DISTRIBUTE", F.col("amount")).otherwise(zero).cast(AMOUNT).alias("paid")),
         F.struct(F.col("to").alias("k"), F.when(F.col("type") == "TRANSFER", F.col("amount")).otherwise(zero).cast(AMOUNT).alias("x"), zero.alias("paid")),
-    ))).where("k IS NOT NULL").join(off, F.lit(True))
-    money = money.groupBy("k").agg(F.sum(F.when(F.col("seq") > F.col("off"), F.col("x")).otherwise(zero)).cast(AMOUNT).alias("balance"), F.sum("paid").cast(AMOUNT).alias("paid"))
-    own = done.where("own = id").join(off, F.lit(True))
-    state = own.groupBy(F.col("own").alias("k2")).agg(
-        F.count_if(F.col("type") == "TOGGLE").alias("all"), F.count_if((F.col("type") == "TOGGLE") & (F.col("seq") > F.col("off"))).alias("since"),
-        F.max_by(F.when(F.col("type") == "PAYOUT_ADDRESS", F.col("address")), F.when((F.col("type") == "PAYOUT_ADDRESS") & (F.col("seq") < F.col("off")), F.col("seq"))).alias("payable"), F.max("off").alias("off"),
-    )
-    reset = (F.col("off") > F.lit(-(2**63))) & F.col("payable").isNull()
+    ))).where("k IS NOT NULL")
+    money = money.groupBy("k").agg(F.sum(F.when(counting(events), F.col("x")).otherwise(zero)).cast(AMOUNT).alias("balance"), F.sum("paid").cast(AMOUNT).alias("paid"))
+    state = done.where("type = 'TOGGLE' AND own = id").groupBy(F.col("own").alias("k2")).agg((F.count(F.lit(1)) % 2 == 1).alias("active"))
     met = done.where("type = 'CREATE' AND own = id").select("id").join(money, F.col("id") == F.col("k"), "left").join(state, F.col("id") == F.col("k2"), "left")
-    active = F.when(reset, F.col("since") % 2 == 1).otherwise(F.col("all") % 2 == 1)
-    return met.select("id", F.coalesce("balance", zero).alias("balance"), F.coalesce("paid", zero).alias("paid"), F.coalesce(active, F.lit(False)).alias("active"))
+    return met.select("id", F.coalesce("balance", zero).alias("balance"), F.coalesce("paid", zero).alias("paid"), F.coalesce("active", F.lit(False)).alias("active"))
 
 
 def history(events: DataFrame) -> DataFrame:

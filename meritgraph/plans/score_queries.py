@@ -280,17 +280,24 @@ def ledger_settings(spark, sf):
     return ledger_state.settings(_switches(spark, sf))
 
 
-_OFF = 65_000_000
+#: Accounting is off from the first to the second of these sequence numbers.
+_OFF, _ON = 65_000_000, 70_050_000
 
 
-@query(f"""WITH {_LEDGER}, m AS (SELECT r, sum(paid)::BIGINT AS paid, sum(CASE WHEN s > {_OFF} THEN bal ELSE 0 END)::BIGINT AS bal FROM (SELECT u AS k, 60000000 + k AS s, cents AS paid, cents AS bal FROM o UNION ALL SELECT u, 70000000 + k, 0, -100 FROM o WHERE k % 7 = 0 UNION ALL SELECT v, 70000000 + k, 0, 100 FROM o WHERE k % 7 = 0) JOIN root USING (k) GROUP BY r)
-SELECT s_suppkey::VARCHAR AS id, coalesce(m.bal, 0)::BIGINT AS balance_cents, coalesce(m.paid, 0)::BIGINT AS paid_cents, false AS active FROM supplier JOIN root ON root.k = s_suppkey AND root.r = s_suppkey LEFT JOIN m ON m.r = s_suppkey""")
+@query(f"""WITH {_LEDGER}, x AS (SELECT u AS k, 60000000 + k AS s, cents AS paid, cents AS bal FROM o UNION ALL SELECT u, 69999999 + k, cents, cents FROM o WHERE k % 5 = 0 UNION ALL SELECT u, 70000000 + k, 0, -100 FROM o WHERE k % 7 = 0 UNION ALL SELECT v, 70000000 + k, 0, 100 FROM o WHERE k % 7 = 0),
+m AS (SELECT r, sum(paid)::BIGINT AS paid, sum(CASE WHEN s > {_ON} THEN bal ELSE 0 END)::BIGINT AS bal FROM x JOIN root USING (k) GROUP BY r)
+SELECT s_suppkey::VARCHAR AS id, coalesce(m.bal, 0)::BIGINT AS balance_cents, coalesce(m.paid, 0)::BIGINT AS paid_cents, s_suppkey % 2 = 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0 AND s_suppkey % 4 = 0 AND s_suppkey % 3 = 0 AS active
+FROM supplier JOIN root ON root.k = s_suppkey AND root.r = s_suppkey LEFT JOIN m ON m.r = s_suppkey""")
 def ledger_balances(spark, sf):
-    """Accounting is switched off after the first distributions: balances start anew, and the accounts that were on had
-    no payout address."""
+    """Accounting is off for a while: balances start anew from zero, distributions of that while add to what was paid
+    only, and every third account is toggled then."""
     e = _ledger(spark, sf)
-    off = e.limit(1).select(F.lit(_OFF).cast("long").alias("seq"), F.lit("ACCOUNTING_OFF").alias("type"), *(F.lit(None).cast(e.schema[c].dataType).alias(c) for c in ("id", "other", "name", "address", "amount")), F.lit(_OFF).cast("long").alias("ts_ms"))
-    found = ledger_state.balances(e.unionByName(off.select(*e.columns)))
+    none = lambda *known: [F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns if c not in known]
+    flips = e.limit(1).select(F.inline(F.array(*(F.struct(F.lit(s).cast("long").alias("seq"), F.lit(t).alias("type")) for s, t in ((_OFF, "ACCOUNTING_OFF"), (_ON, "ACCOUNTING_ON"))))))
+    flips = flips.select("seq", "type", *none("seq", "type")).select(*e.columns)
+    later = e.where("type = 'DISTRIBUTE' AND (seq - 60000000) % 5 = 0").withColumn("seq", F.col("seq") + 9_999_999)
+    toggles = e.where("type = 'CREATE' AND CAST(id AS LONG) % 3 = 0").select((F.col("seq") + _OFF).alias("seq"), F.lit("TOGGLE").alias("type"), "id", *none("seq", "type", "id")).select(*e.columns)
+    found = ledger_state.balances(e.union(flips).union(later).union(toggles))
     cents = lambda c: (F.col(c) / F.lit(Decimal(10**16))).cast("long")
     return found.select("id", cents("balance").alias("balance_cents"), cents("paid").alias("paid_cents"), "active")
 

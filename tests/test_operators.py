@@ -320,6 +320,57 @@ def test_rules_of_the_ledger(spark):
     ledger_state.refuse(spark.createDataFrame([], STATE))
 
 
+def slow_balances(events):
+    """What a ledger that goes from event to event ends with: id: (balance, paid, active)."""
+    own, gone, accounting = {}, set(), True
+    for _, kind, i, other, *_, amount in events:
+        if kind == "CREATE":
+            own[i] = [0, 0, False]
+        elif kind == "TOGGLE":
+            own[i][2] = not own[i][2]
+        elif kind == "DISTRIBUTE":
+            own[i][1] += amount
+            own[i][0] += amount if accounting else 0
+        elif kind == "TRANSFER":
+            own[i][0] -= amount
+            own[other][0] += amount
+        elif kind == "MERGE":
+            own[i][0], own[i][1] = own[i][0] + own[other][0], own[i][1] + own[other][1]
+            gone.add(other)
+            own[other] = [0, 0, False]
+        elif kind == "ACCOUNTING_ON":
+            accounting = True
+        elif kind == "ACCOUNTING_OFF" or (kind == "CURRENCY" and not accounting):
+            accounting = False
+            for x in own.values():
+                x[0] = 0
+    return {i: tuple(x) for i, x in own.items() if i not in gone}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_balances_are_those_of_a_fold(spark, seed):
+    """Switches, toggles, receipts and merges in any order, with distributions while accounting is off."""
+    rng, rows, free, accounting = random.Random(seed), [], [], True
+    for seq in range(1, 120):
+        kind = rng.choice(["CREATE", "TOGGLE", "DISTRIBUTE", "DISTRIBUTE", "TRANSFER", "MERGE", "CURRENCY"] + ["ACCOUNTING_ON", "ACCOUNTING_OFF"] * (rng.random() < 0.3 and seq < 100 + 10 * seed))
+        if kind == "CREATE" or len(free) < 3:
+            free.append(f"u{seq}")
+            rows.append((seq, "CREATE", f"u{seq}", None, f"n{seq}", None, None))
+        elif kind == "MERGE" and rng.random() < 0.3:
+            a, b = rng.sample(free, 2)
+            free.remove(b)
+            rows.append((seq, kind, a, b, None, None, None))
+        elif kind == "TRANSFER" and accounting:
+            rows.append((seq, kind, *rng.sample(free, 2), None, None, Decimal(rng.randrange(9))))
+        elif kind in ("TOGGLE", "DISTRIBUTE"):
+            rows.append((seq, kind, rng.choice(free), None, None, None, Decimal(rng.randrange(99)) if kind == "DISTRIBUTE" else None))
+        elif kind.startswith("ACC") or kind == "CURRENCY":
+            accounting = {"ACCOUNTING_ON": True, "ACCOUNTING_OFF": False}.get(kind, accounting)
+            rows.append((seq, kind, None, None, None, None, None))
+    got = {r.id: (r.balance, r.paid, r.active) for r in ledger_state.balances(spark.createDataFrame(rows, STATE).repartition(3)).collect()}
+    assert got == slow_balances(rows)
+
+
 def test_accounts_beside_scores(spark):
     accounts = spark.createDataFrame([("1", "x/"), ("2", "y/")], "id string, address string")
     aliases = spark.createDataFrame([("1", "z/")], "id string, address string")
