@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meritgraph.llm.align import op12_tokenizer_alignment
 from meritgraph.llm.audit import OP13_SQL, op13_filter_audit
 from meritgraph.llm.boilerplate import op7_html_extraction
 from meritgraph.llm.bpe import op1_byte_bpe
@@ -15,5 +16,5 @@ from meritgraph.llm.quality import OP4_SQL, op4_quality_rules
 from meritgraph.llm.simhash import op11_simhash_neardup
 from meritgraph.llm.urls import OP5_SQL, op5_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_neardup, op3_fingerprints, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_html_extraction, op8_packing, op9_lm_scoring, op10_language_id, op11_simhash_neardup, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_neardup, op3_fingerprints, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_html_extraction, op8_packing, op9_lm_scoring, op10_language_id, op11_simhash_neardup, op12_tokenizer_alignment, op13_filter_audit)}
 SQL = {"op4_quality_rules": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_line_dedup": OP6_SQL, "op13_filter_audit": OP13_SQL}
