@@ -15,7 +15,8 @@ from meritgraph.operators.frames import checkpointed
 
 def check_order(events: DataFrame) -> None:
     """Times may not decrease along ``seq``: in each range of it, and from range to range."""
-    ranged = events.select("seq", "ts_ms").repartitionByRange("seq").withColumn("p", F.spark_partition_id())
+    ts = F.coalesce("ledger_ms", "ts_ms") if "ledger_ms" in events.columns else F.col("ts_ms")  # a distribution has a time of its own
+    ranged = events.select("seq", ts.alias("ts_ms")).repartitionByRange("seq").withColumn("p", F.spark_partition_id())
     ranged = checkpointed(ranged)
     last = F.lag("ts_ms").over(Window.partitionBy("p").orderBy("seq"))
     inside = ranged.withColumn("before", last).where("before > ts_ms")

@@ -69,7 +69,7 @@ def balances(events: DataFrame) -> DataFrame:
 def history(events: DataFrame) -> DataFrame:
     """(id, receipts array<struct<ts_ms, amount>>) by time: what each identity was given, with that of those merged into
     it."""
-    got = settled(events).where("type = 'DISTRIBUTE'")
+    got = settled(events).where("type = 'DISTRIBUTE' AND own IS NOT NULL")
     return got.groupBy(F.col("own").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts_ms", F.col("amount").cast(AMOUNT).alias("amount")))).alias("receipts"))
 
 

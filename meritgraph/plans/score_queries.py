@@ -11,7 +11,7 @@ from meritgraph.functions.money import AMOUNT, grouped
 from meritgraph.functions.weeks import WEEK, millis
 from meritgraph.operators import builders, expressions, ledger, ledger_state, payouts, views
 from meritgraph.plans.domain import WEEK_SQL
-from meritgraph.sources import exports, tables
+from meritgraph.sources import contributions, exports, ledger_log, tables
 
 QUERIES, SQL = {}, {}
 
@@ -354,3 +354,69 @@ def builder_names(spark, sf):
     return e.select(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")).alias("name"), builders.coerced_name(text).alias("coerced")).groupBy("name", "coerced").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+#: Weights of the event types in trees read from JSON, and that of the other operand.
+_KINDS, _BASE = {"click": 0.5, "purchase": 3.0, "error": 0.0, "signup": 2.0, "view": 1.0}, 1.5
+_DEPTH = 4
+
+
+def _contribution_lines(spark, sf):
+    """Events as contributions in JSON: MULTIPLY(base, subtree, leaf), as deep as the event's id says, above ADD(kind)."""
+    e = tables.table(spark, sf, "events")
+    quote = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    leaf = F.concat(F.lit('{"operator":"ADD","description":"leaf","weightOperands":[{"key":"kind","subkey":'), quote(F.col("event_type")), F.lit('}],"expressionOperands":[]}'))
+    tree = leaf
+    for d in range(1, _DEPTH + 1):
+        above = F.concat(F.lit('{"operator":"MULTIPLY","description":"up","weightOperands":[{"key":"base"}],"expressionOperands":['), tree, F.lit(","), leaf, F.lit("]}"))
+        tree = F.when(F.col("event_id") % (_DEPTH + 1) >= d, above).otherwise(tree)
+    share = F.concat(F.lit('{"id":"user/'), F.col("user_id").cast("string"), F.lit('","shares":[{"key":"kind","subkey":'), quote(F.col("event_type")), F.lit('},{"key":"base"}]}'))
+    line = F.concat(F.lit('{"id":'), quote(F.col("event_id")), F.lit(',"plugin":"events","type":'), quote(F.col("event_type")), F.lit(',"timestampMs":'), millis(F.col("ts")).cast("string"), F.lit(',"expression":'), tree, F.lit(',"participants":['), share, F.lit("]}"))
+    return e.select(F.col("event_id").cast("long").alias("seq"), line.alias("value"))
+
+
+_PATHS = f"""d AS (SELECT event_id, event_type, user_id, event_id % {_DEPTH + 1} AS depth FROM events),
+p AS (SELECT event_id::VARCHAR AS contribution, '0' || repeat('.0', l::INT) AS path, CASE WHEN l = depth THEN 'ADD' ELSE 'MULTIPLY' END AS operator, event_type, user_id FROM d, range({_DEPTH + 1}) r(l) WHERE l <= depth
+ UNION ALL SELECT event_id::VARCHAR, '0' || repeat('.0', l::INT) || '.1', 'ADD', event_type, user_id FROM d, range({_DEPTH}) r(l) WHERE l < depth)"""
+
+
+@query(f"""WITH {_PATHS} SELECT contribution, path, operator, CASE WHEN operator = 'ADD' THEN 'kind' ELSE 'base' END AS key, CASE WHEN operator = 'ADD' THEN event_type END AS subkey, 'user/' || user_id AS participant, 2::BIGINT AS n_shares FROM p""")
+def contribution_trees(spark, sf):
+    """Trees of mixed depth, read from JSON text: every expression with its weight and the contribution's participant."""
+    c = contributions.opened(_contribution_lines(spark, sf))
+    people = c.shares.groupBy("contribution", "participant").agg(F.count(F.lit(1)).alias("n_shares"))
+    met = c.expressions.join(c.operands, ["contribution", "path"]).join(people, "contribution")
+    return met.select("contribution", "path", "operator", "key", "subkey", "participant", "n_shares")
+
+
+@query(f"""WITH w AS (SELECT event_id, event_id % {_DEPTH + 1} AS depth, {"".join(f"CASE WHEN event_type = '{k}' THEN {w} ELSE " for k, w in _KINDS.items())}1.0{" END" * len(_KINDS)} AS w FROM events)
+SELECT event_id::VARCHAR AS contribution, round(w * pow({_BASE} * w, depth), 6) AS score FROM w""")
+def contribution_tree_scores(spark, sf):
+    """The score of each tree read from JSON text."""
+    c = contributions.opened(_contribution_lines(spark, sf))
+    rows = [(0, "base", None, _BASE), (0, "kind", None, 1.0)] + [(0, "kind", k, w) for k, w in _KINDS.items()]
+    configs = spark.createDataFrame(rows, "start_ms long, key string, subkey string, weight double")
+    weighed = expressions.weigh(c.operands.withColumn("config_ms", F.lit(0).cast("long")), configs)
+    found = expressions.score_trees(c.expressions, weighed, _DEPTH + 1).where("path = '0'")
+    return found.select("contribution", F.round("score", 6).alias("score"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT s_suppkey AS k, s_name FROM supplier), o AS (SELECT o_orderkey AS k, o_custkey % n + 1 AS u, o_orderkey % n + 1 AS v, CAST(round(o_totalprice * 100) AS BIGINT)::VARCHAR AS a FROM orders, n),
+e AS (SELECT k AS seq, 'CREATE' AS type, k::VARCHAR AS id, NULL AS other, s_name AS name, 'n/' || k AS address, NULL AS amount, NULL AS memo, 0 AS part FROM s
+UNION ALL SELECT k, 'TYPE', k::VARCHAR, NULL, CASE WHEN k % 2 = 0 THEN 'BOT' ELSE 'USER' END, NULL, NULL, NULL, 1 FROM s UNION ALL SELECT k, 'ALIAS', k::VARCHAR, NULL, NULL, 'a/' || k, NULL, 'own', 2 FROM s
+UNION ALL SELECT 10000000 + k, 'TRANSFER', u::VARCHAR, v::VARCHAR, NULL, NULL, a, CASE WHEN k % 3 = 0 THEN 'memo "' || k || '"' END, 0 FROM o WHERE k % 4 = 0
+UNION ALL SELECT 10000000 + k, 'DISTRIBUTE', u::VARCHAR, NULL, 'd' || k, 'x', a, NULL, 0 FROM o WHERE k % 4 <> 0 UNION ALL SELECT 10000000 + k, 'DISTRIBUTE', v::VARCHAR, NULL, 'd' || k, 'y', a, NULL, 1 FROM o WHERE k % 4 <> 0)
+SELECT seq, type, id, other, name, address, amount, memo, part::INTEGER AS part FROM e""")
+def ledger_log_events(spark, sf):
+    """A log's lines, made as JSON text of suppliers and orders, as events, with all that a line has beside the main."""
+    s = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    n, of = s.count(), lambda c: F.col(c).cast("string")
+    alias = F.struct(F.concat(F.lit("a/"), of("k")).alias("address"), F.lit("own").alias("description"))
+    identity = F.struct(of("k").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("n/"), of("k")).alias("address"), F.when(F.col("k") % 2 == 0, "BOT").otherwise("USER").alias("subtype"), F.array(alias).alias("aliases"))
+    o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % n + 1).alias("u"), (F.col("o_orderkey") % n + 1).alias("v"), F.round(F.col("o_totalprice") * 100).cast("long").cast("string").alias("a"))
+    transfer = F.struct(F.lit("TRANSFER_GRAIN").alias("type"), of("u").alias("from"), of("v").alias("to"), F.col("a").alias("amount"), F.when(F.col("k") % 3 == 0, F.concat(F.lit('memo "'), of("k"), F.lit('"'))).alias("memo"))
+    allocation = lambda i, who: F.struct(F.lit(i).alias("id"), F.struct(F.lit("EVEN").alias("policyType")).alias("policy"), F.array(F.struct(of(who).alias("id"), F.col("a").alias("amount"))).alias("receipts"))
+    grant = F.struct(F.lit("DISTRIBUTE_GRAIN").alias("type"), F.struct(F.concat(F.lit("d"), of("k")).alias("id"), F.col("k").alias("credTimestamp"), F.array(allocation("x", "u"), allocation("y", "v")).alias("allocations")).alias("distribution"))
+    line = lambda df, base, action: df.select((F.lit(base) + F.col("k")).cast("long").alias("seq"), F.to_json(F.struct(action.alias("action"), F.col("k").alias("ledgerTimestamp"), F.concat(F.lit("u"), of("k")).alias("uuid"), F.lit("1").alias("version"))).alias("value"))
+    lines = line(s, 0, F.struct(F.lit("CREATE_IDENTITY").alias("type"), identity.alias("identity"))).union(line(o.where("k % 4 = 0"), 10_000_000, transfer)).union(line(o.where("k % 4 <> 0"), 10_000_000, grant))
+    return ledger_log.parsed(lines).select("seq", "type", "id", "other", "name", "address", F.col("amount").cast("string").alias("amount"), "memo", "part")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritgraph.functions.money import AMOUNT
+from meritgraph.sources import shapes
+from meritgraph.sources.shapes import array_of, by_type, either, elements, field, record
 
 #: The actions of a log, and what events call them.
 ACTIONS = {
@@ -13,45 +15,76 @@ ACTIONS = {
     "DISTRIBUTE_GRAIN": "DISTRIBUTE", "TRANSFER_GRAIN": "TRANSFER", "SET_PAYOUT_ADDRESS": "PAYOUT_ADDRESS", "ENABLE_GRAIN_INTEGRATION": "INTEGRATION_ON", "DISABLE_GRAIN_INTEGRATION": "INTEGRATION_OFF",
     "MARK_DISTRIBUTION_EXECUTED": "EXECUTED", "ENABLE_ACCOUNTING": "ACCOUNTING_ON", "DISABLE_ACCOUNTING": "ACCOUNTING_OFF", "SET_EXTERNAL_CURRENCY": "CURRENCY", "REMOVE_EXTERNAL_CURRENCY": "CURRENCY",
 }
-_CURRENCY = "struct<chainId:string,tokenAddress:string>"
-_ACTION = (
-    "struct<type:string,id:string,identityId:string,identity:struct<id:string,name:string,address:string,subtype:string,aliases:array<struct<address:string,description:string>>>,newName:string,newType:string,"
-    "alias:struct<address:string,description:string>,base:string,target:string,distribution:struct<id:string,credTimestamp:bigint,allocations:array<struct<id:string,receipts:array<struct<id:string,amount:string>>>>>,"
-    f"`from`:string,`to`:string,amount:string,memo:string,currency:{_CURRENCY},payoutAddress:string>"
-)
-SCHEMA = f"action {_ACTION}, ledgerTimestamp bigint, uuid string, version string"
+_ALIAS = record({"address": shapes.text}, {"description": shapes.text})
+_CURRENCY = record({"chainId": shapes.text}, {"tokenAddress": either(shapes.null, shapes.text), "type": shapes.text})
+_RECEIPT = record({"id": shapes.text, "amount": shapes.matching(r"^-?\d+$", "an amount")})
+_ALLOCATION = record({"id": shapes.text, "receipts": array_of(_RECEIPT)}, {"policy": shapes.anything})
+_DISTRIBUTION = record({"id": shapes.text, "credTimestamp": shapes.number, "allocations": array_of(_ALLOCATION)})
+_IDENTITY = record({"id": shapes.text, "name": shapes.text, "address": shapes.text}, {"subtype": shapes.exactly("USER", "PROJECT", "ORGANIZATION", "BOT"), "aliases": array_of(_ALIAS)})
+_TYPED = {
+    "CREATE_IDENTITY": ({"identity": _IDENTITY}, {}), "RENAME_IDENTITY": ({"identityId": shapes.text, "newName": shapes.text}, {}), "CHANGE_IDENTITY_TYPE": ({"identityId": shapes.text, "newType": shapes.text}, {}),
+    "ADD_ALIAS": ({"identityId": shapes.text, "alias": _ALIAS}, {}), "MERGE_IDENTITIES": ({"base": shapes.text, "target": shapes.text}, {}), "TOGGLE_ACTIVATION": ({"identityId": shapes.text}, {}), "DISTRIBUTE_GRAIN": ({"distribution": _DISTRIBUTION}, {}),
+    "TRANSFER_GRAIN": ({"from": shapes.text, "to": shapes.text, "amount": shapes.matching(r"^-?\d+$", "an amount")}, {"memo": either(shapes.null, shapes.text)}),
+    "SET_PAYOUT_ADDRESS": ({"id": shapes.text, "payoutAddress": either(shapes.null, shapes.text)}, {"currency": _CURRENCY}), "MARK_DISTRIBUTION_EXECUTED": ({"id": shapes.text}, {}), "SET_EXTERNAL_CURRENCY": ({"currency": _CURRENCY}, {}),
+    "ENABLE_GRAIN_INTEGRATION": ({}, {}), "DISABLE_GRAIN_INTEGRATION": ({}, {}), "ENABLE_ACCOUNTING": ({}, {}), "DISABLE_ACCOUNTING": ({}, {}), "REMOVE_EXTERNAL_CURRENCY": ({}, {}),
+}
+EVENT = record({
+    "action": by_type({k: record({"type": shapes.text} | need, may) for k, (need, may) in _TYPED.items()}),
+    "ledgerTimestamp": shapes.number, "uuid": shapes.text, "version": shapes.exactly("1"),
+})
+
+
+def _key(currency: Column) -> Column:
+    """chain, or chain/token."""
+    return F.concat_ws("/", field(currency, "chainId", "string"), field(currency, "tokenAddress", "string"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Events (seq, ts_ms, type, id, other, name, address, amount, uuid) of lines (seq, value); a receipt of a
-    distribution is a row, with the distribution in ``name`` and the allocation in ``address``. Lines that don't parse,
-    other versions and unknown actions are errors."""
-    rows = lines.where("trim(value) <> ''").select("seq", F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("e")).select("seq", "e.*")
+    """Events (seq, ts_ms, type, id, other, name, address, amount, uuid, memo, ledger_ms, part, line) of lines (seq,
+    value). A receipt of a distribution is a row, with the distribution in ``name`` and the allocation in ``address``; an
+    identity's subtype and aliases are rows of type TYPE and ALIAS; a payout address has its currency in ``name``.
+    ``ts_ms`` is a distribution's own time, ``ledger_ms`` always the log's. ``part`` numbers the rows of a line, and the
+    first has the whole ``line``, so that nothing is lost. Lines that don't parse, that have wrong types or unknown
+    members, other versions and unknown actions are errors that name line and path."""
+    rows = shapes.parsed(lines, EVENT)
+    v, none = F.col("v"), F.lit(None).cast("string")
     known = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
-    kind = F.coalesce(F.try_element_at(known, F.col("action.type")), F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce("action.type", F.lit("none")))).cast("string"))
-    kind = F.when(F.col("version").eqNullSafe("1"), kind).otherwise(F.raise_error(F.lit("unknown version of the log")).cast("string"))
-    rows = rows.withColumn("type", kind)
-    none = F.lit(None).cast("string")
-    receipts = F.flatten(F.transform("action.distribution.allocations", lambda a: F.transform(a["receipts"], lambda r: F.struct(r["id"].alias("id"), a["id"].alias("allocation"), r["amount"].alias("amount")))))
-    one = F.array(F.struct(none.alias("id"), none.alias("allocation"), none.alias("amount")))
-    rows = rows.withColumn("r", F.explode(F.when(F.col("type") == "DISTRIBUTE", receipts).otherwise(one)))
-    a = lambda name: F.col(f"action.{name}")
-    is_ = lambda *k: F.col("type").isin(list(k))
-    id_ = F.when(is_("CREATE"), a("identity.id")).when(is_("MERGE"), a("base")).when(is_("TRANSFER"), a("from")).when(is_("DISTRIBUTE"), F.col("r.id")).otherwise(F.coalesce(a("identityId"), a("id")))
-    other = F.when(is_("MERGE"), a("target")).when(is_("TRANSFER"), a("to"))
-    name = F.when(is_("CREATE"), a("identity.name")).when(is_("RENAME"), a("newName")).when(is_("TYPE"), a("newType")).when(is_("DISTRIBUTE"), a("distribution.id"))
-    place = F.when(is_("ALIAS"), a("alias.address")).when(is_("CREATE"), a("identity.address")).when(is_("PAYOUT_ADDRESS"), a("payoutAddress")).when(is_("DISTRIBUTE"), F.col("r.allocation"))
-    place = place.when(is_("CURRENCY") & a("currency").isNotNull(), F.concat_ws("/", a("currency.chainId"), a("currency.tokenAddress")))
-    amount = F.coalesce(F.col("r.amount"), a("amount")).cast(AMOUNT)
-    ts = F.when(is_("DISTRIBUTE"), a("distribution.credTimestamp")).otherwise(F.col("ledgerTimestamp"))
-    return rows.select("seq", ts.alias("ts_ms"), "type", id_.alias("id"), other.alias("other"), name.alias("name"), place.alias("address"), amount.alias("amount"), "uuid")
+    a = field(v, "action")
+    rows = rows.select("seq", a.alias("a"), F.try_element_at(known, field(a, "type", "string")).alias("type"), field(v, "ledgerTimestamp", "bigint").alias("ledger_ms"), field(v, "uuid", "string").alias("uuid"), F.to_json("v").alias("line"))
+    a, t = F.col("a"), F.col("type")
+    at = lambda *path: F.try_variant_get(a, "$" + "".join(f"['{p}']" for p in path), "string")
 
+    def part(kind=t, id=none, other=none, name=none, address=none, amount=none, memo=none):  # noqa: A002
+        return F.struct(*(c.alias(n) for n, c in (("type", kind), ("id", id), ("other", other), ("name", name), ("address", address), ("amount", amount.cast(AMOUNT)), ("memo", memo))))
 
+    own, who = ("identity", "id"), at("identityId")
+    kind = F.when(at("identity", "subtype").isNull(), F.array()).otherwise(F.array(part(F.lit("TYPE"), at(*own), name=at("identity", "subtype"))))
+    aliases = F.coalesce(F.transform(elements(field(field(a, "identity"), "aliases")), lambda x: part(F.lit("ALIAS"), at(*own), address=field(x, "address", "string"), memo=field(x, "description", "string"))), F.array())
+    created = F.concat(F.array(part(id=at(*own), name=at("identity", "name"), address=at("identity", "address"))), kind, aliases)
+    grant = field(a, "distribution")
+    receipts = F.flatten(F.transform(elements(field(grant, "allocations")), lambda x: F.transform(elements(field(x, "receipts")), lambda r: part(id=field(r, "id", "string"), name=at("distribution", "id"), address=field(x, "id", "string"), amount=field(r, "amount", "string")))))
+    receipts = F.when(F.size(receipts) > 0, receipts).otherwise(F.array(part(name=at("distribution", "id"))))
+    parts = F.when(t == "CREATE", created).when(t == "DISTRIBUTE", receipts)
+    for k, one in {
+        "RENAME": part(id=who, name=at("newName")), "TYPE": part(id=who, name=at("newType")), "ALIAS": part(id=who, address=at("alias", "address"), memo=at("alias", "description")), "TOGGLE": part(id=who),
+        "MERGE": part(id=at("base"), other=at("target")), "TRANSFER": part(id=at("from"), other=at("to"), amount=at("amount"), memo=at("memo")), "EXECUTED": part(id=at("id")),
+        "PAYOUT_ADDRESS": part(id=at("id"), name=_key(field(a, "currency")), address=at("payoutAddress")),
+        "CURRENCY": part(address=F.when(field(a, "currency").isNotNull(), _key(field(a, "currency")))),
+    }.items():
+        parts = parts.when(t == k, F.array(one))
+    rows = rows.select("seq", "uuid", "ledger_ms", "line", "a", F.posexplode(parts.otherwise(F.array(part()))).alias("part", "p"))
+    ts = F.when(F.col("p.type") == "DISTRIBUTE", field(field(F.col("a"), "distribution"), "credTimestamp", "bigint")).otherwise(F.col("ledger_ms"))
+    return rows.select("seq", ts.alias("ts_ms"), *(F.col(f"p.{c}").alias(c) for c in ("type", "id", "other", "name", "address", "amount")), "uuid", "p.memo", "ledger_ms", "part", F.when(F.col("part") == 0, F.col("line")).alias("line"))
 
 
 def written_lines(events: DataFrame) -> DataFrame:
-    """(seq, value): a line for each event, its keys in order; receipts of one ``seq`` become one distribution again. The
-    last line feed is the file writer's."""
+    """(seq, value): a line for each event, its keys in order. Events that ``parsed`` has read are written as they were
+    (to change one, make its ``line`` null and drop its rows of other parts than 0); the lines of others are made of
+    their columns, and receipts of one ``seq`` become one distribution. The last line feed is the file writer's."""
+    if "line" in events.columns:
+        read = events.where("line IS NOT NULL").select("seq", F.col("line").alias("value"))
+        made = events.where("line IS NULL AND coalesce(part, 0) = 0")
+        return read.unionByName(written_lines(made.drop("line")))
     c, t = F.col, {v: k for k, v in ACTIONS.items() if k != "REMOVE_EXTERNAL_CURRENCY"}
     named = F.create_map(*(F.lit(x) for kv in t.items() for x in kv))[c("type")]
     action = F.when((c("type") == "CURRENCY") & c("address").isNull(), "REMOVE_EXTERNAL_CURRENCY").otherwise(named)
@@ -78,5 +111,5 @@ def written_lines(events: DataFrame) -> DataFrame:
 
 
 def read_log(spark, path: str) -> DataFrame:
-    """Events of a log, numbered in the order of its lines."""
+    """Events of a log, numbered in the order of its lines, from 0 in each part of the file that a task reads."""
     return parsed(spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value"))

@@ -16,7 +16,7 @@ from meritgraph.operators import builders, expressions, graph, intervals, ledger
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.graph import Graph
 from meritgraph.plans import domain, graph_queries, registry
-from meritgraph.sources import exports, ledger_log, tables
+from meritgraph.sources import contributions, exports, ledger_log, tables
 from meritgraph.streaming import weekly
 
 NODE = "address string, description string, timestamp_ms long"
@@ -409,6 +409,79 @@ def test_ledger_logs(spark, tmp_path):
             ledger_log.parsed(spark.createDataFrame([(1, bad)], "seq long, value string")).collect()
 
 
+def test_logs_lose_nothing(spark):
+    """Every action with every optional member: text in equals text out."""
+    currency = {"chainId": "1", "tokenAddress": "0x1", "type": "EVM"}
+    actions = [
+        {"type": "CREATE_IDENTITY", "identity": {"id": "a", "name": "ann", "address": "n1", "subtype": "BOT", "aliases": [{"address": "x1", "description": "d"}, {"address": "x2"}]}}, {"type": "RENAME_IDENTITY", "identityId": "a", "newName": "an"},
+        {"type": "CHANGE_IDENTITY_TYPE", "identityId": "a", "newType": "USER"}, {"type": "ADD_ALIAS", "identityId": "a", "alias": {"address": "x3", "description": "é"}}, {"type": "MERGE_IDENTITIES", "base": "a", "target": "b"}, {"type": "TOGGLE_ACTIVATION", "identityId": "a"},
+        {"type": "DISTRIBUTE_GRAIN", "distribution": {"id": "d", "credTimestamp": 3, "allocations": [{"id": "x", "policy": {"policyType": "RECENT", "budget": "9", "discount": 0.25}, "receipts": [{"id": "a", "amount": "5"}]}]}}, {"type": "DISTRIBUTE_GRAIN", "distribution": {"id": "e", "credTimestamp": 4, "allocations": []}},
+        {"type": "TRANSFER_GRAIN", "from": "a", "to": "b", "amount": "7", "memo": "thanks \"x\""}, {"type": "TRANSFER_GRAIN", "from": "a", "to": "b", "amount": "8", "memo": None}, {"type": "SET_PAYOUT_ADDRESS", "id": "a", "currency": currency, "payoutAddress": "0xa"},
+        {"type": "SET_PAYOUT_ADDRESS", "id": "a", "currency": {"chainId": "2"}, "payoutAddress": None}, {"type": "ENABLE_GRAIN_INTEGRATION"}, {"type": "DISABLE_GRAIN_INTEGRATION"}, {"type": "MARK_DISTRIBUTION_EXECUTED", "id": "d"}, {"type": "ENABLE_ACCOUNTING"}, {"type": "DISABLE_ACCOUNTING"},
+        {"type": "SET_EXTERNAL_CURRENCY", "currency": currency}, {"type": "REMOVE_EXTERNAL_CURRENCY"},
+    ]
+    assert {x["type"] for x in actions} == set(ledger_log.ACTIONS)
+    text = [json.dumps({"action": a, "ledgerTimestamp": 100 + i, "uuid": f"u{i}", "version": "1"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i, a in enumerate(actions)]
+    events = ledger_log.parsed(spark.createDataFrame(list(enumerate(text)), "seq long, value string")).cache()
+    assert [r.value for r in ledger_log.written_lines(events).orderBy("seq").collect()] == text
+    rows = events.orderBy("seq", "part").collect()
+    assert [(r.type, r.id, r.name, r.address, r.memo) for r in rows[:4]] == [("CREATE", "a", "ann", "n1", None), ("TYPE", "a", "BOT", None, None), ("ALIAS", "a", None, "x1", "d"), ("ALIAS", "a", None, "x2", None)]
+    assert {r.id: r.kind for r in ledger_state.kinds(events.where("seq = 0")).collect()} == {"a": "BOT"}
+    assert [(r.name, r.address) for r in rows if r.type == "PAYOUT_ADDRESS"] == [("1/0x1", "0xa"), ("2", None)] and [(r.ts_ms, r.ledger_ms) for r in rows if r.name == "d"] == [(3, 106)]
+    ledger.check_order(events)
+    # one event changed: its line is made of its columns, the others stay as they were
+    changed = events.withColumn("line", F.when(F.col("seq") != 1, F.col("line"))).withColumn("name", F.when(F.col("seq") == 1, F.lit("anna")).otherwise(F.col("name")))
+    assert [r.value for r in ledger_log.written_lines(changed.where("seq <> 1 OR part = 0")).orderBy("seq").collect()] == [x.replace('"an"', '"anna"') if i == 1 else x for i, x in enumerate(text)]
+
+
+@pytest.mark.parametrize("action,path", [
+    ('{"type": "TRANSFER_GRAIN", "from": "a", "to": "b", "amount": 5}', r"\$.action.amount: expected a string, got BIGINT"), ('{"type": "ENABLE_ACCOUNTING", "x": 1}', r"\$.action.x: unknown member"), ('{"type": "RENAME_IDENTITY", "identityId": "a"}', r"\$.action.newName: expected a string, got nothing"),
+    ('{"type": "DISTRIBUTE_GRAIN", "distribution": {"id": "d", "credTimestamp": 1, "allocations": [{"id": "x", "receipts": [{"id": "a", "amount": "1"}, {"id": "a", "amount": "1.5"}]}]}}', r"allocations\[0\].receipts\[1\].amount: expected an amount"),
+])
+def test_logs_name_the_place_of_an_error(spark, action, path):
+    lines = spark.createDataFrame([(4, '{"action": %s, "ledgerTimestamp": 1, "uuid": "u", "version": "1"}' % action)], "seq long, value string")
+    with pytest.raises(Exception, match=f"line 4, .*{path}"):
+        ledger_log.parsed(lines).collect()
+
+
+def slow_tree(contribution, e, path="0"):
+    """(contribution, path, operator) and (contribution, path, ord, key, subkey) of a tree, by recursion."""
+    nodes, weights = [(contribution, path, e["operator"])], [(contribution, path, k, w["key"], w.get("subkey")) for k, w in enumerate(e["weightOperands"])]
+    for k, child in enumerate(e["expressionOperands"]):
+        a, b = slow_tree(contribution, child, f"{path}.{k}")
+        nodes, weights = nodes + a, weights + b
+    return nodes, weights
+
+
+def test_contributions_of_any_depth(spark):
+    rng = random.Random(6)
+
+    def tree(depth):
+        w = [{"key": f"k{rng.randrange(3)}"} | ({"subkey": "s"} if rng.random() < 0.5 else {}) for _ in range(rng.randrange(3))]
+        return {"operator": rng.choice(["ADD", "MAX", "key:own"]), "description": "é", "weightOperands": w, "expressionOperands": [tree(depth - 1) for _ in range(rng.choice([0, 1, 1, 3]))] if depth else []}
+
+    deep = {"operator": "FIRST", "description": "", "weightOperands": [], "expressionOperands": []}
+    for _ in range(12):
+        deep = deep | {"expressionOperands": [deep]}
+    made = [{"id": f"c{i}", "plugin": "p", "type": "t", "timestampMs": i, "expression": tree(i % 4), "participants": [{"id": "u", "shares": [{"key": "a"}, {"key": "b", "subkey": "x"}]}] * (i % 3)} for i in range(15)]
+    made.append({"id": "deep", "plugin": "p", "type": "t", "timestampMs": 99, "expression": deep, "participants": []})
+    lines = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(made)] + [(99, "  ")], "seq long, value string").repartition(3)
+    got = contributions.opened(lines)
+    found = [slow_tree(c["id"], c["expression"]) for c in made]
+    assert sorted(tuple(r)[:3] for r in got.expressions.collect()) == sorted(x for a, _ in found for x in a)
+    assert sorted(map(str, (tuple(r) for r in got.operands.collect()))) == sorted(map(str, (x for _, b in found for x in b)))
+    assert got.shares.count() == sum(2 * len(c["participants"]) for c in made) and {r.contribution for r in got.contributions.collect()} == {c["id"] for c in made}
+    both = contributions.by_target(spark.createDataFrame([(1, json.dumps({"x": made[:2], "y": made[2:3]}))], "seq long, value string"))
+    assert sorted((r.target, json.loads(r.value)["id"]) for r in both.collect()) == [("x", "c0"), ("x", "c1"), ("y", "c2")]
+    for change, path in (({"operator": "POWER"}, "operator: expected one of ADD"), ({"more": 1}, "more: unknown member"), ({"weightOperands": [{"key": 1}]}, r"weightOperands\[0\].key: expected a string")):
+        wrong = made[-1] | {"expression": deep | {"expressionOperands": [deep["expressionOperands"][0], deep["expressionOperands"][0] | change]}}
+        with pytest.raises(Exception, match=rf"line 7, \$.expression.expressionOperands\[1\].{path}"):
+            contributions.opened(spark.createDataFrame([(7, json.dumps(wrong))], "seq long, value string"))
+    assert contributions.opened(spark.createDataFrame([], "seq long, value string")).expressions.count() == 0
+    lax = made[0] | {"more": 1}
+    assert contributions.opened(spark.createDataFrame([(1, json.dumps(lax))], "seq long, value string"), strict=False).contributions.count() == 1
+
+
 LOG = "seq long, type string, id string, other string, amount decimal(38,0)"
 
 
