@@ -6,11 +6,13 @@ intervals of the suffix array whose longest common prefix reaches the level's le
 drop out, so later levels hold only what is repeated that far, and the rounds end at the longest repeated run. An
 interval's first member by (doc_id, text hash, place) is the original; all others are later copies, and the lines that
 their prefix covers are deleted. A run's power-of-two prefixes cover the run, so this deletes exactly the lines of
-maximal repeated runs from their second occurrence on. A run counts from ``MIN_LINES`` lines on, a single line from
+maximal repeated runs from their second occurrence on, and the longest common prefixes themselves are not needed. A run counts from ``MIN_LINES`` lines on, a single line from
 ``MIN_CHARS`` code points on.
 
 Null texts stay null, and empty and blank ones as they are; blank lines are never deleted and don't break a run.
-Repeated rows are one text, which is not a copy of itself. Rows without an id come first in the order. ``deduplicate``
+Repeated rows are one text, which is not a copy of itself. Rows without an id come first in the order. Very long texts
+take as many rounds as their longest copied run doubles, and their work grows with their lines. An empty table gives no
+rows. ``deduplicate``
 keeps all other columns and refuses a frame that has one of its own names.
 """
 
@@ -81,6 +83,11 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     if clash := {n_lines.lower(), n_removed.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_chars)
+    # a text's runs without what earlier ones cover: disjoint, so a text has no more of them than lines
+    end = F.col("at") + F.col("length")
+    before = F.coalesce(F.max(end).over(Window.partitionBy("d", "th").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = F.greatest(F.col("at"), before)
+    runs = runs.select("d", "th", begin.alias("at"), (end - begin).alias("length")).where("length > 0")
     runs = checkpointed(runs.groupBy("d", "th").agg(F.collect_list(F.struct("at", "length")).alias("runs")).select(F.col("d").alias("rd"), F.col("th").alias("rth"), "runs"))
     d, th = _key(docs)
     # the caller's columns travel in one, where no name of theirs can meet one of ours
@@ -92,7 +99,7 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
         solid = F.filter(places, lambda i: _solid(F.get(lines, i)))
 
         def removed(s: Column) -> Column:
-            gone = F.when(F.col("runs").isNull(), none).otherwise(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice(s, r["at"] + 1, r["length"])))))
+            gone = F.when(F.col("runs").isNull(), none).otherwise(F.flatten(F.transform("runs", lambda r: F.slice(s, r["at"] + 1, r["length"]))))
             return F.struct(F.size(s).alias("n"), gone.alias("gone"))
 
         def rewritten(x: Column) -> Column:
