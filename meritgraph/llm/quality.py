@@ -1,11 +1,16 @@
 """Quality rules with thresholds that adapt to each language and source. DataFrame functions only.
 
+Shares of rare things (symbols, repeated lines and windows, echoes) are mostly zero, and quartiles of zeros say nothing.
+So a share of k in n is taken by its variance-stabilised angle, asin(sqrt((k + 3/8) / (n + 3/4))), which is never zero and
+whose standard error is 1 / (2 sqrt(n)) whatever the share; windows of words overlap, so they count by whole windows.
+Word length is a mean as it is.
+
 Each metric's values go into mergeable quantile sketches (KLL, rank error about 0.2% at ``SKETCH``, exact for up to
 ``SKETCH`` values), one for each language and source; sketches of a language, and of all documents, are merged from
-those. Quartiles of the sketches give fences, SPREAD interquartile ranges beyond them, and nothing else does: a group
-whose documents are all alike has a narrow fence. A document is rejected when it is beyond a fence by more than its own
-error, ERROR / sqrt(n) for a share or mean of n things (three standard errors of a share at most), so short documents
-have more room. Statistics are computed once and written with the columns that the caller keeps.
+those. Quartiles of the sketches give fences, SPREAD interquartile ranges beyond them: they follow the group's own
+values, and the lengths of its documents, which say how large a share of nothing may look. A document is rejected when it
+is beyond a fence by more than its own error, ERROR standard errors of its angle, or MEAN_ERROR / sqrt(n) for a mean of n
+words, so short documents have more room. Statistics are computed once and written with the columns that the caller keeps.
 
 Null or empty texts count as texts without words (they fail the base rule). Null languages and sources are groups of
 their own. Groups of under ``MIN_DOCS`` documents that pass the base rule take the fences of their language, and those
@@ -31,12 +36,12 @@ SPREAD = 3
 BROADCAST_ROWS = 50_000
 SALTS = 32
 SKETCH = 2_048
-ERROR = 1.5
-#: metric: (what is counted, out of what, whether values that are too low are rejected as well)
-METRICS = {
-    "symbols": ("n_symbols", "word_chars", False), "dup_lines": ("n_dup_lines", "n_lines", False), "repeats": ("n_repeat_words", "n_words", False),
-    "echoes": ("n_echoes", "n_words", False), "word_length": ("word_chars", "n_words", True),
-}
+#: Standard errors of a share's angle, and the error of a mean of n words times sqrt(n).
+ERROR, MEAN_ERROR = 1.0, 1.5
+#: metric: (what is counted, out of what, how many of those are one observation); means of words have no share
+SHARES = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", WINDOW), "echoes": ("n_echoes", "n_words", 1)}
+MEANS = {"word_length": ("word_chars", "n_words")}
+METRICS = [*SHARES, *MEANS]
 
 
 def _repeat_words(keys: Column) -> Column:
@@ -86,7 +91,13 @@ def _base_failed(s: Column) -> Column:
 
 
 def _values(s: Column) -> dict[str, Column]:
-    return {m: s[a].cast("double") / F.greatest(s[b], F.lit(1)) for m, (a, b, _) in METRICS.items()}
+    """Angles of shares, and means."""
+    angle = lambda k, n, u: F.asin(F.sqrt((s[k].cast("double") / u + 0.375) / (s[n].cast("double") / u + 0.75)))
+    return {m: angle(*x) for m, x in SHARES.items()} | {m: s[k].cast("double") / F.greatest(s[n], F.lit(1)) for m, (k, n) in MEANS.items()}
+
+
+def _errors(s: Column) -> dict[str, Column]:
+    return {m: ERROR * 0.5 / F.sqrt(s[n].cast("double") / u + 0.5) for m, (_, n, u) in SHARES.items()} | {m: MEAN_ERROR / F.sqrt(F.greatest(s[n], F.lit(1)).cast("double")) for m, (_, n) in MEANS.items()}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -111,7 +122,7 @@ def fences() -> Column:
         lowest = (lambda q: q[0] - reach(q)) if low else (lambda q: F.lit(None).cast("double"))
         return let(F.kll_sketch_get_quantile_double(F.col(metric), shares), lambda q: F.struct((q[1] + reach(q)).alias(f"{metric}_hi"), lowest(q).alias(f"{metric}_lo")))
 
-    return F.struct(*(limits(m, low).alias(m) for m, (_, _, low) in METRICS.items()))
+    return F.struct(*(limits(m, m in MEANS).alias(m) for m in METRICS))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None, stats: str = "stats", quality: str = "quality") -> DataFrame:
@@ -140,9 +151,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None, stats: str = "stats",
         salted = limits.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         met = measured.withColumn("own_salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
         met = met.join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
-    inside, failed = F.lit(True), _base_failed(F.col("s"))
+    inside, failed, errors = F.lit(True), _base_failed(F.col("s")), _errors(F.col("s"))
     for m, v in _values(F.col("s")).items():
-        error = F.lit(ERROR) / F.sqrt(F.greatest(F.col("s")[METRICS[m][1]], F.lit(1)).cast("double"))
+        error = errors[m]
         low, high = F.col("limit")[m][f"{m}_lo"], F.col("limit")[m][f"{m}_hi"]
         inside &= F.coalesce(v <= high + error, F.lit(True)) & F.coalesce(v >= low - error, F.lit(True))
     return met.select("row.*", F.col("s").alias(stats), F.struct(failed.alias("base_failed"), (~failed & inside).alias("kept")).alias(quality))
@@ -155,9 +166,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUARTILES = ", ".join(f"quantile_disc({m}, 0.25) AS {m}_1, quantile_disc({m}, 0.75) AS {m}_3" for m in METRICS)
+_VALUES = ", ".join([f"asin(sqrt(({k}::DOUBLE / {u} + 0.375) / ({n}::DOUBLE / {u} + 0.75))) AS {m}" for m, (k, n, u) in SHARES.items()] + [f"{k}::DOUBLE / greatest({n}, 1) AS {m}" for m, (k, n) in MEANS.items()])
 _INSIDE = " AND ".join(
-    f"{m} <= {m}_3 + {SPREAD} * ({m}_3 - {m}_1) + {ERROR} / sqrt(greatest({n}, 1)::DOUBLE)" + (f" AND {m} >= {m}_1 - {SPREAD} * ({m}_3 - {m}_1) - {ERROR} / sqrt(greatest({n}, 1)::DOUBLE)" if low else "")
-    for m, (_, n, low) in METRICS.items()
+    [f"{m} <= {m}_3 + {SPREAD} * ({m}_3 - {m}_1) + {ERROR * 0.5} / sqrt({n}::DOUBLE / {u} + 0.5)" for m, (_, n, u) in SHARES.items()]
+    + [f"{m} {op} {m}_{q} {sign} {SPREAD} * ({m}_3 - {m}_1) {sign} {MEAN_ERROR} / sqrt(greatest({n}, 1)::DOUBLE)" for m, (_, n) in MEANS.items() for op, q, sign in (("<=", 3, "+"), (">=", 1, "-"))]
 )
 OP4_SQL = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -173,7 +185,7 @@ r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM e),
 p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM r WHERE c > 1),
 n AS (SELECT doc_id, sum(coalesce(least(8, j - i), 8))::BIGINT AS n_repeat_words FROM p GROUP BY doc_id),
 a AS (SELECT s.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM s LEFT JOIN n USING (doc_id)),
-f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{c}::DOUBLE / greatest({n}, 1) AS {m}" for m, (c, n, _) in METRICS.items())} FROM a),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {_VALUES} FROM a),
 g AS (SELECT lang, source, count(*) AS n, {_QUARTILES} FROM f WHERE NOT base_failed GROUP BY lang, source),
 h AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM f WHERE NOT base_failed GROUP BY lang),
 o AS (SELECT {_QUARTILES} FROM f WHERE NOT base_failed),
