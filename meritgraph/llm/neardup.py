@@ -16,7 +16,7 @@ sets are compared by 64-bit hashes of their shingles.
 Null, empty and blank texts have no shingles, are linked with nothing and are kept; texts of fewer words than a
 shingle has are one shingle. Rows without an id are linked with nothing. Repeated rows get the same answer each; rows of
 one id with different texts are judged each by its own text. An empty table gives no rows. Only doc_id and text are
-read.
+read. Very long texts are hashed whole; of their sets, blocks hold a bounded number of shingles.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import checkpointed, table, written
+from meritgraph.llm.common import checkpointed, join_counted, table, written
 from meritgraph.llm.components import components
 
 SKETCH = 48
@@ -140,9 +140,11 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     share = percent / 100
     least = math.floor(SKETCH * share - 5 * math.sqrt(SKETCH * share * (1 - share)))
     entries = classes.select("rep", "n", "sig", F.explode("sketch").alias("value"))
-    counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = checkpointed(entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # values of one class never meet another, but count as the rarest that it has
-    shared = entries.join(counts, "value").groupBy("rep").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    met = join_counted(entries.withColumnRenamed("n", "held"), counts.withColumn("df", F.col("n")), ["value"], total).withColumnRenamed("held", "n")
+    shared = met.groupBy("rep").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     held = F.least("n", F.lit(SKETCH)).cast("int")
     needed = F.when(F.col("n") * 100 <= SKETCH * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(least), F.ceil(F.col("n") * percent / 100))).cast("int")
     places = held - needed + 1 - (held - F.size("shared"))
@@ -151,7 +153,9 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     own = shared.where(places > 0).select("rep", "n", "sig", hub.alias("hub"), F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(1)))).alias("x"))
     own = checkpointed(own.select("rep", "n", "sig", "hub", F.col("x.value").alias("value")))
     lists = own.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("hub", F.xxhash64("rep").alias("h"), "rep", "n", "sig")).alias("centre")).where("size > 1")
-    return checkpointed(own.join(lists, "value"))
+    lists = checkpointed(lists)
+    met = join_counted(own.withColumnRenamed("n", "held"), lists.withColumn("n", F.col("size")), ["value"], own.count())
+    return checkpointed(met.withColumnRenamed("held", "n"))
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
