@@ -3,7 +3,8 @@
 Words and bigrams are counted by Spark: tasks count what they read, shuffle sorted runs of (key, count) by key range,
 and each range is merged on its own and written as arrays sorted by key: hashes of words for the vocabulary, pairs of
 word numbers for the bigrams. The files lie in a new folder under the shared checkpoint folder, which has to be a
-mounted path, and workers map them into memory, so that a model of any size costs no heap and its pages are shared.
+mounted path, and workers map them into memory, MAPS of them at a time, so that a model of any size costs no heap, its
+pages are shared, and no worker runs out of open files.
 Contexts that are too frequent for one range are dealt by their second word, and there are as many ranges as the texts
 need at RANGE_CHARS characters each. Counts have 64 bits; two word numbers share a key of 64, so a vocabulary of 2^32
 words is an error.
@@ -16,14 +17,14 @@ p1, and words that were never seen share g1 / (V + 1). A text begins after a sta
 token. Words are told apart by 64-bit hashes of their bytes; A-Z count as a-z.
 
 Null and empty texts are one end token. Very long texts are scored whole. Repeated rows count and are scored each time. With nothing to learn from,
-every token has the probability 1 / (V + 1) with V = 0. Only the named columns are read.
+every token has the probability 1 / (V + 1) with V = 0. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -46,8 +47,8 @@ CACHE = 1 << 19
 BLOCK_TOKENS = 1 << 18
 COUNTS = "p int, keys binary, counts binary"
 RANGE_CHARS = 1 << 26
-#: The driver holds a row for each range.
-MAX_RANGES = 1 << 16
+#: Files that a worker keeps mapped at a time.
+MAPS = 64
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -106,6 +107,35 @@ def tokens(text: bytes | None) -> list[bytes]:
     return found
 
 
+class Maps:
+    """A model's files, mapped when they are asked for; those that were not for the longest time are closed."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        self.held: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def get(self, name: str, kind: str) -> np.ndarray:
+        if name in self.held:
+            self.held.move_to_end(name)
+        else:
+            if len(self.held) >= MAPS:
+                self.held.popitem(last=False)
+            self.held[name] = _map(f"{self.folder}/{name}", kind)
+        return self.held[name]
+
+
+@dataclass(frozen=True)
+class Files:
+    """The files of one array, by range."""
+
+    maps: Maps
+    name: str
+    kind: str
+
+    def __getitem__(self, p: int) -> np.ndarray:
+        return self.maps.get(f"{self.name}-{p}", self.kind)
+
+
 @dataclass(frozen=True)
 class Model:
     folder: str
@@ -132,11 +162,11 @@ class Model:
 
 
 class Reader:
-    """A model's files, mapped into this worker, and the words met so far (at most CACHE)."""
+    """A model's files, mapped into this worker as they are needed, and the words met so far (at most CACHE)."""
 
     def __init__(self, m: Model) -> None:
-        self.m = m
-        at = lambda name, kind: [_map(f"{m.folder}/{name}-{p}", kind) for p in range(1 << m.bits if name.startswith("word") else m.ranges)]
+        self.m, maps = m, Maps(m.folder)
+        at = lambda name, kind: Files(maps, name, kind)
         self.words, self.counts = at("word", "<u8"), at("wordcount", "<u8")
         self.pairs, self.paircounts = at("pair", "<u8"), at("paircount", "<u8")
         self.follow, self.gamma = at("follow", "<u8"), at("gamma", "<f4")
@@ -155,13 +185,14 @@ class Reader:
     def _words(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, dtype=np.int64)
         for p, own in _by(_file(hashes, self.m.bits)):
-            at = np.searchsorted(self.words[p], hashes[own])
-            hit = at < len(self.words[p])
-            hit[hit] = self.words[p][at[hit]] == hashes[own][hit]
+            words = self.words[p]
+            at = np.searchsorted(words, hashes[own])
+            hit = at < len(words)
+            hit[hit] = words[at[hit]] == hashes[own][hit]
             out[own[hit]] = at[hit] + self.m.starts[p]
         return out
 
-    def _dense(self, arrays: list[np.ndarray], p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _dense(self, arrays: Files, p: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), dtype=np.float64)
         for k, own in _by(p):
             out[own] = arrays[k][at[own]]
@@ -174,7 +205,7 @@ class Reader:
         out[known] = self._dense(self.counts, p[known], n[known] - np.array(self.m.starts)[p[known]])
         return out
 
-    def by_range(self, arrays: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    def by_range(self, arrays: Files, n: np.ndarray) -> np.ndarray:
         p = n * self.m.ranges // (self.m.size + 1)
         return self._dense(arrays, p, n - _low(p, self.m))
 
@@ -182,9 +213,10 @@ class Reader:
         keys = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         out = np.zeros(len(keys))
         for p, own in _by(self.m.range_of(first, second)):
-            at = np.searchsorted(self.pairs[p], keys[own])
-            hit = at < len(self.pairs[p])
-            hit[hit] = self.pairs[p][at[hit]] == keys[own][hit]
+            pairs = self.pairs[p]
+            at = np.searchsorted(pairs, keys[own])
+            hit = at < len(pairs)
+            hit[hit] = pairs[at[hit]] == keys[own][hit]
             out[own[hit]] = self.paircounts[p][at[hit]]
         return out
 
@@ -249,7 +281,7 @@ def train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     texts = texts.select("text")
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    folder, ranges = _shared_folder(spark), min(MAX_RANGES, max(1, shuffle_partitions(spark), -(-chars // RANGE_CHARS)))
+    folder, ranges = _shared_folder(spark), max(1, shuffle_partitions(spark), -(-chars // RANGE_CHARS))
     bits = max(0, (ranges - 1).bit_length())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,11 +309,13 @@ def train(texts: DataFrame) -> Model:
         return pa.table({"p": pa.array([p], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "at": [top.tolist()], "often": [counts[top].tolist()]})
 
     made = texts.mapInArrow(words, COUNTS).groupBy("p").applyInArrow(put_words, "p int, n long, total long, at array<bigint>, often array<bigint>")
-    made = {r.p: r for r in checkpointed(made.withColumn("at", F.slice("at", 1, 64)).withColumn("often", F.slice("often", 1, 64))).collect()}
-    sizes = [made[p].n if p in made else 0 for p in range(1 << bits)]
+    made = checkpointed(made.withColumn("at", F.slice("at", 1, 64)).withColumn("often", F.slice("often", 1, 64)))
+    held = {r.p: r for r in made.select("p", "n", "total").collect()}  # three numbers a range
+    sizes = [held[p].n if p in held else 0 for p in range(1 << bits)]
     starts = tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)])[:-1])
-    total = sum(r.total for r in made.values())
-    hot = tuple(starts[p] + a for p, r in sorted(made.items()) for a, c in zip(r.at, r.often, strict=True) if 4 * c * ranges > total)
+    total = sum(r.total for r in held.values())
+    often = made.select("p", F.inline(F.arrays_zip("at", "often"))).where(4 * F.col("often") * ranges > total)  # four a range at most
+    hot = tuple(sorted(starts[r.p] + r.at for r in often.collect()))
     if sum(sizes) >= 2**32 - 1:
         raise ValueError(f"{sum(sizes)} words are more than a key of word numbers can tell apart")
     n_texts = texts.count()
