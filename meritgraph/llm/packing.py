@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import checkpointed, table, words
+from meritgraph.llm.common import checkpointed, fresh, table, words
 
 BUCKETS = 12
 BUDGET = 16_384
@@ -67,7 +67,9 @@ def bucket_ends(histogram: list[tuple[int, int, int]], buckets: int) -> list[int
 def pack(docs: DataFrame, keep: list[str], length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, bucket, padded_to, batch (an id over all) and slot in the batch."""
     n = (F.size(words(F.col("text"))) if length is None else F.coalesce(length, F.lit(0))).cast("int")
-    sized = checkpointed(docs.select(*keep, n.alias("n_tokens")))
+    # rows that agree in what is kept (all without an id, say) are told apart by their text
+    dealt = F.xxhash64(*keep, *(["text"] if "text" in docs.columns else []))
+    sized = checkpointed(docs.select(*keep, n.alias("n_tokens"), dealt.alias(fresh("dealt", docs.columns))))
     bins = sized.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"))
     found = sorted((r.bin, r.longest, r.rows, r.tokens) for r in bins.collect())  # a few thousand at most
     ends = bucket_ends([x[1:] for x in found], buckets)
@@ -77,7 +79,7 @@ def pack(docs: DataFrame, keep: list[str], length: Column | None = None, buckets
     of = lambda values: F.get(F.array(*map(F.lit, values)) if values else F.array(F.lit(0)), F.col("bucket"))
     bounds = F.array(*map(F.lit, longest)).cast("array<int>") if longest else F.array().cast("array<int>")
     placed = sized.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("n_tokens")))).withColumn("padded_to", of(longest))
-    key = F.xxhash64(*keep)
+    key = F.col(sized.columns[-1])
     placed = placed.withColumn("section", F.pmod(key, of(sections)).cast("int"))
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_to"), F.lit(1)))).cast("int")
     place = F.row_number().over(Window.partitionBy("bucket", "section").orderBy(key, *keep)) - 1

@@ -418,6 +418,13 @@ def test_hot_lines(docs, monkeypatch, bound):
     assert got == want
 
 
+def test_copies_of_very_many_lines(docs):
+    """Two texts of 100,000 lines that differ in their first and middle lines: the work grows with the lines."""
+    text = lambda i: "\n".join(f"of {i} alone" if k in (0, 50_000) else f"line {k}" for k in range(100_000))
+    got = {r.doc_id: r for r in lines.deduplicate(docs([(1, text(1)), (2, text(2))])).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 99_998 and got[2].text == "of 2 alone\nof 2 alone"
+
+
 # 7
 
 
@@ -605,12 +612,28 @@ def test_model_of_long_texts_repeated_rows_and_many_ranges(docs, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK_TOKENS", 37)
     m = ngrams.train(d)
     got = ngrams.score(d, m).collect()
-    assert m.ranges > 100 and m.hot and len(got) == len(rows) and all(x.dtype == "<u8" for x in ngrams.Reader(m).paircounts)
+    assert m.ranges > 100 and m.hot and len(got) == len(rows) and all(ngrams.Reader(m).paircounts[p].dtype == "<u8" for p in range(m.ranges))
     for r in got:
         assert (r.n_known, r.base_score, r.score) == pytest.approx(want[r.doc_id, r.n_tokens], rel=1e-6)
     assert [r.score for r in got if r.doc_id == 91][0] == [r.score for r in got if r.doc_id == 91][1]
 
 
+def test_few_files_are_open_at_a_time(docs, monkeypatch):
+    import os
+
+    d = docs([(i, f"a b c{i} d{i % 3} e{i % 7}") for i in range(200)])
+    monkeypatch.setattr(ngrams, "RANGE_CHARS", 20)
+    m = ngrams.train(d)
+    want = [r.score for r in ngrams.score(d, m).orderBy("doc_id").collect()]
+    monkeypatch.setattr(ngrams, "MAPS", 6)
+    reader, before = ngrams.Reader(m), len(os.listdir("/proc/self/fd"))
+    assert m.ranges > 50
+    for i in range(200):
+        n = reader.numbers([ngrams.START, b"a", b"b", b"c%d" % i, b"d%d" % (i % 3), b"e%d" % (i % 7), ngrams.END])
+        assert reader.log10(n[:-1], n[1:]).sum() == pytest.approx(want[i], rel=1e-9)
+        assert len(os.listdir("/proc/self/fd")) <= before + 7
+
+
 # 10
 
 
