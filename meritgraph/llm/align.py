@@ -9,8 +9,8 @@ Links are counted by id pair over all texts, and each text is told how its links
 Every token has bytes, so no two tokens of one tokenizer end together and a cut has one link. Null and empty texts have no
 tokens, and neither have texts that B normalises (their joined bytes are not those of the text); their counts are zero
 and their digest is empty. Very long texts are encoded and aligned in parts, cut only before a space between two ASCII
-letters, where both tokenizers end a token (that no token of theirs goes on beyond such a place is checked when they are
-loaded), so the result is that of the whole text. Repeated rows are aligned alike and all count. An empty table gives no
+letters, where A's pattern ends a match and B has no token that goes on (checked when it is loaded), so the result is
+that of the whole text. Repeated rows are aligned alike and all count. An empty table gives no
 rows. ``align`` keeps all other columns of its input and refuses a frame that has one of its own names.
 """
 
@@ -20,6 +20,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField
 
-from meritgraph.llm.bpe import byte_table, pieces
+from meritgraph.llm.bpe import PIECE, byte_table, pieces
 from meritgraph.llm.common import appended, checkpointed, join_counted, quoted, table, written
 
-#: Texts whose parts are encoded in one call, by characters.
-CALL_CHARS = 1 << 20
+#: Fixed value: the pattern of byte-level BPE, whose matches are merged each by itself.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Id pairs are broadcast with their counts up to this many rows (under 16 MB); beyond it they are joined by shuffle.
 BROADCAST_PAIRS = 500_000
-ACROSS = re.compile(rb"[A-Za-z] ")
+ACROSS = re.compile(rb"[^ ] ")
 
 
 class Aligned(NamedTuple):
@@ -70,54 +71,68 @@ def rank(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - counts)[word] + np.bitwise_count(upto)
 
 
+def _old(c: str) -> bool:
+    """Whether a character has been of its class since Unicode 3.2, which any library's tables know."""
+    return unicodedata.ucd_3_2_0.category(c)[0] == unicodedata.category(c)[0] != "C" or c < "\x80"
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(a_path, encoding="utf-8") as f:
+            own = json.load(f)
+        before, vocabulary = own["pre_tokenizer"] or {}, own["model"]["vocab"]
+        if own["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+            raise ValueError(f"not a plain byte-level BPE: {a_path}")
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
-        with open(a_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
         byte_of = {c: i for i, c in enumerate(byte_table())}
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(map(byte_of.__getitem__, token))
+        special = {x["content"] for x in own["added_tokens"]}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in own["model"]["merges"]]
+        made = [vocabulary[x + y] for x, y in merges]
+        if made != list(range(256, 256 + len(made))):  # after the bytes
+            raise ValueError(f"ids are not the ranks of the merges: {a_path}")
+        ranks = {self.a_bytes[i]: i for token, i in vocabulary.items() if token not in special}
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.old: set[str] = set()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [b"" if self.b.is_control(i) else piece(i) for i in range(self.b.get_piece_size())]
+        if any(ACROSS.search(x) for x in self.b_bytes):
+            raise ValueError(f"tokens go on into the next word: {b_path}")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.cuttable = not any(ACROSS.search(x) for t in (self.a_bytes, self.b_bytes) for x in t)
         # an id in a group's text with what follows it: inside the group, and at the end of its side
-        self.a_text, self.b_text = (np.array([f"{i}{x}" for x in (",", end) for i in range(n)], dtype=object) for n, end in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")))
+        self.a_text, self.b_text = (np.array([f"{i}{x}" for x in (",", end) for i in range(n)], dtype=object) for n, end in ((len(self.a_sizes), "|"), (len(self.b_sizes), ";")))
 
-    def parts(self, text: str) -> list[str]:
-        """The text after a space, in parts that begin with a space."""
-        return list(pieces(" " + text)) if self.cuttable else [" " + text]
+    def a_ids(self, text: str) -> list[int]:
+        """By the faster library, which merges by the same ranks, unless a character is so new that the two may take it
+        for different classes, or the text is so long that it has hardly a place to cut."""
+        if new := set(text) - self.old:
+            self.old |= set(filter(_old, new))
+            if not new <= self.old:
+                return self.a.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text) if len(text) <= 2 * PIECE else self.a.encode(text, add_special_tokens=False).ids
 
     def aligned(self, texts: list[str | None]) -> Iterator[list[Aligned]]:
         """The parts of each text; none for texts without tokens."""
-        held: list[list[str]] = []
-        size = 0
         for text in texts:
-            held.append(self.parts(text) if text else [])
-            size += len(text or "")
-            if size > CALL_CHARS:
-                yield from self._encoded(held)
-                held, size = [], 0
-        yield from self._encoded(held)
-
-    def _encoded(self, held: list[list[str]]) -> Iterator[list[Aligned]]:
-        flat = [part for parts in held for part in parts]
-        a = iter(self.a.encode_batch_fast(flat, add_special_tokens=False))
-        b = iter(self.b.encode([part[1:] for part in flat], num_threads=1) if flat else ())
-        for parts in held:
-            found = [(part.encode(), next(a).ids, next(b)) for part in parts]
-            same = all(b"".join(map(self.a_bytes.__getitem__, x)) == data == b"".join(map(self.b_bytes.__getitem__, y)) for data, x, y in found)
-            yield [self._part(np.array(x), np.array(y), len(data)) for data, x, y in found] if same else []
+            parts = []
+            for part in pieces(" " + text) if text else ():
+                data, a, b = part.encode(), self.a_ids(part), self.b.encode(part[1:])
+                if not b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b)):
+                    parts = []
+                    break
+                parts.append(self._part(np.array(a), np.array(b), len(data)))
+            yield parts
 
     def _part(self, a: np.ndarray, b: np.ndarray, n: int) -> Aligned:
         own, other = bitset(np.cumsum(self.a_sizes[a]), n), bitset(np.cumsum(self.b_sizes[b]), n)
@@ -128,8 +143,8 @@ class Tokenizers:
         """`a1,a2|b1;a3|b2,b3;`: the ids of each group, in order."""
         a_sizes, b_sizes = np.diff(x.a_to, prepend=0), np.diff(x.b_to, prepend=0)
         a_last, b_last = np.zeros(len(x.a), dtype=np.int64), np.zeros(len(x.b), dtype=np.int64)
-        a_last[x.a_to - 1] = len(self.a_bytes)
-        b_last[x.b_to - 1] = len(self.b_bytes)
+        a_last[x.a_to - 1] = len(self.a_sizes)
+        b_last[x.b_to - 1] = len(self.b_sizes)
         out = np.empty(len(x.a) + len(x.b), dtype=object)
         out[np.arange(len(x.a)) + np.repeat(x.b_to - b_sizes, a_sizes)] = self.a_text[x.a + a_last]
         out[np.arange(len(x.b)) + np.repeat(x.a_to, b_sizes)] = self.b_text[x.b + b_last]

@@ -86,7 +86,6 @@ def test_long_texts_in_parts(slow, monkeypatch):
 
     text = "Some words, and 12 more of them; naïve ones.\nThe Tokenizers don't agree 漢字 on everything " * 6
     own = align.Tokenizers(A, B)
-    assert own.cuttable
     (whole,) = own.aligned([text])
     monkeypatch.setattr(bpe, "PIECE", 40)
     (parts,) = own.aligned([text])
@@ -103,6 +102,18 @@ def test_very_long_texts(spark):
         assert r.n_groups == r.n_links > 0 and r.n_a >= r.n_groups <= r.n_b
 
 
+def test_ids_are_those_of_the_tokenizer_file(slow):
+    """Characters of all kinds, old and new, spaces of all kinds, and texts that are too long for the fast way."""
+    rng, own = random.Random(8), align.Tokenizers(A, B)
+    pool = [*"ab zé漢😀\u0085\u00a0\u2003\u200b\u3000\n\t'0189-_.", "\u058b", "\u1c89", "\U00010d4e", "\U0001faea", "\u0378", "'s", "'S", "<|endoftext|>", "   ", "the ", "\ud55c", "\u0e33", "\u00b2", "\u2167", "\u0301"]
+    for n in (1, 2, 5, 40, 300):
+        for _ in range(60):
+            text = " " + "".join(rng.choice(pool) for _ in range(n))
+            assert list(own.a_ids(text)) == slow.a.encode(text, add_special_tokens=False).ids
+    text = "x" * 200_000
+    assert list(own.a_ids(text)) == slow.a.encode(text, add_special_tokens=False).ids
+
+
 def test_ranks_and_selections():
     rng = random.Random(4)
     for n in (0, 1, 63, 64, 65, 500):
