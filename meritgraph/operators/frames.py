@@ -28,17 +28,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_of(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key) of the hot keys among ``counts`` (key once, and its number of rows; materialised), which are MAX_HOT at most
+    whatever the size: each has a MAX_HOTth of all rows."""
+    bound = max(LEAST_HOT, (counts.agg(F.sum(n)).first()[0] or 0) // MAX_HOT)
+    return counts.where((F.col(n) > bound) & F.col(key).isNotNull()).select(key)
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key) of the hot keys of ``rows``, which are MAX_HOT at most whatever the size: each has a MAX_HOTth of all rows."""
+    """The hot keys of ``rows``."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    counts = checkpointed(counts.where(F.col("_n") > LEAST_HOT))
-    bound = max(LEAST_HOT, (counts.agg(F.sum("_n")).first()[0] or 0) // MAX_HOT)
-    return counts.where(F.col("_n") > bound).select(key)
+    return hot_of(checkpointed(counts.where(F.col("_n") > LEAST_HOT)), key, "_n")
 
 
 def join_skewed(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """``rows`` joined with ``side``, which has each ``key`` once: rows of ``hot`` keys meet a broadcast of theirs, the
-    others are shuffled."""
+    """``rows`` joined with ``side``, which has each ``key`` once: rows of ``hot`` keys (materialised) meet a broadcast of
+    theirs, the others are shuffled. ``rows`` are read twice if any key is hot."""
+    if hot.isEmpty():
+        return rows.join(side, key)
     few = F.broadcast(side.join(F.broadcast(hot), key, "left_semi"))
     cold = rows.join(F.broadcast(hot), key, "left_anti")
     return rows.join(F.broadcast(hot), key, "left_semi").join(few, key).unionByName(cold.join(side, key))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import address
 from meritgraph.functions.weeks import week_intervals, week_start
-from meritgraph.operators.frames import checkpointed, hot_keys, join_skewed
+from meritgraph.operators.frames import checkpointed, hot_keys, hot_of, join_skewed
 from meritgraph.operators.graph import Graph, solid
 from meritgraph.operators.order import with_index
 
@@ -38,9 +38,11 @@ def connections(g: Graph, edge_weights: DataFrame, loop: float = LOOP) -> DataFr
 
 def shares(rows: DataFrame, w: str) -> DataFrame:
     """``pr``: weight over the total of its ``src``. Totals are partial sums joined back, those of hot sources by
-    broadcast."""
-    totals = rows.groupBy("src").agg(F.sum(w).alias("_t"))
-    return join_skewed(rows, totals, "src", hot_keys(rows, "src")).withColumn("pr", F.col(w) / F.col("_t")).drop("_t", w)
+    broadcast. The rows are written once, and what is hot follows from the totals' own counts."""
+    rows = checkpointed(rows)
+    totals = checkpointed(rows.groupBy("src").agg(F.sum(w).alias("_t"), F.count(F.lit(1)).alias("_n")))
+    hot = hot_of(totals, "src", "_n")
+    return join_skewed(rows, totals.drop("_n"), "src", hot).withColumn("pr", F.col(w) / F.col("_t")).drop("_t", w)
 
 
 def chain(found: DataFrame) -> DataFrame:
@@ -81,25 +83,31 @@ class Moves:
     """Transitions laid out for many steps; ``close`` when done."""
 
     cold: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None  # of the sources that are hot, if any are
     sources: DataFrame
 
     @staticmethod
     def of(transitions: DataFrame) -> Moves:
+        transitions = checkpointed(transitions)
         sources = checkpointed(hot_keys(transitions, "src"))
+        if sources.isEmpty():
+            return Moves(transitions.repartition("src").persist(), None, sources)
         cold = transitions.join(F.broadcast(sources), "src", "left_anti").repartition("src").persist()
         return Moves(cold, transitions.join(F.broadcast(sources), "src", "left_semi").persist(), sources)
 
     def flow(self, pi: DataFrame) -> DataFrame:
         """(address, p) that flows in along each transition."""
         own = pi.withColumnRenamed("address", "src")
-        few = F.broadcast(own.join(F.broadcast(self.sources), "src", "left_semi"))
         pick = lambda x: x.select(F.col("dst").alias("address"), (F.col("p") * F.col("pr")).alias("p"))
+        if self.hot is None:
+            return pick(self.cold.join(own, "src"))
+        few = F.broadcast(own.join(F.broadcast(self.sources), "src", "left_semi"))
         return pick(self.cold.join(own, "src")).union(pick(self.hot.join(few, "src")))
 
     def close(self) -> None:
         self.cold.unpersist()
-        self.hot.unpersist()
+        if self.hot is not None:
+            self.hot.unpersist()
 
 
 def action(moves: Moves, pi: DataFrame, seed: DataFrame, alpha: float) -> DataFrame:
@@ -130,16 +138,19 @@ class Stationary:
 
 def stationary(transitions: DataFrame, pi: DataFrame, seed: DataFrame, alpha: float, threshold: float = THRESHOLD, most: int = 255) -> Stationary:
     """Acts until no node's change reaches the threshold; returns the distribution before the last action, and its
-    greatest change."""
+    greatest change. The distribution before travels through the action's own aggregation, so looking at the change
+    after every action costs no join."""
     own = Moves.of(transitions)
     try:
         for k in range(most + 1):
-            after = checkpointed(action(own, pi, seed, alpha))
-            moved = pi.withColumnRenamed("p", "q").join(after, "address", "full_outer")
-            delta = moved.agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0] or 0.0
+            none = F.lit(0.0)
+            flow = own.flow(pi).select("address", ((1 - alpha) * F.col("p")).alias("p"), none.alias("q"))
+            rows = flow.union(seed.select("address", alpha * F.col("p"), none)).union(pi.select("address", none, "p"))
+            both = checkpointed(rows.groupBy("address").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+            delta = both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] or 0.0
             if delta < threshold or k == most:
                 return Stationary(pi, delta, k + 1)
-            pi = after
+            pi = both.select("address", "p")
         raise AssertionError
     finally:
         own.close()
