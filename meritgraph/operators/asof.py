@@ -9,7 +9,6 @@ from meritgraph.operators.frames import checkpointed
 
 #: Up to so many periods one key's travel as one sorted array; ranges of time beyond that.
 MAX_PERIODS = 1_000
-RANGES = 256
 
 
 def asof_join(left: DataFrame, periods: DataFrame, ts: str, start: str, value: str, by: list[str] | None = None, strict: bool = False) -> DataFrame:
@@ -20,7 +19,7 @@ def asof_join(left: DataFrame, periods: DataFrame, ts: str, start: str, value: s
     neither sorted nor windowed and a hot key is split like any skewed join. Many periods meet the rows in windows over
     ranges of time, and what a range doesn't know it has from the ranges before it."""
     by = by or []
-    periods = periods.select(*by, F.col(start).alias("s"), F.col(value).alias("v"))
+    periods = periods.select(*by, F.col(start).alias("s"), F.col(value).alias("v")).dropna(subset=[*by, "s"])
     if periods.limit(MAX_PERIODS + 1).count() <= MAX_PERIODS:
         packed = periods.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("s", "v"))).alias("_p"))
         met = left.join(F.broadcast(packed), by, "left") if by else left.join(F.broadcast(packed), F.lit(True), "left")
@@ -30,14 +29,13 @@ def asof_join(left: DataFrame, periods: DataFrame, ts: str, start: str, value: s
 
 
 def _by_ranges(left: DataFrame, periods: DataFrame, ts: str, value: str, by: list[str], strict: bool) -> DataFrame:
-    bounds = periods.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
-    bounds = F.array(*map(F.lit, sorted(set(bounds or [])))).cast(f"array<{periods.schema['s'].dataType.simpleString()}>")
-    range_of = lambda t: F.size(F.filter(bounds, lambda b: b < t))
-    own = periods.withColumn("r", range_of(F.col("s")))
-    # the last value of each range that has any, as one array of at most RANGES for each key
-    last = own.groupBy(*by, "r").agg(F.max(F.struct("s", "v")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("r", F.col("x.v").alias("v")))).alias("_c"))
-    rows = left.select(*by, F.struct(*left.columns).alias("row"), F.col(ts).alias("s"), F.lit(None).cast(periods.schema["v"].dataType).alias("v")).withColumn("r", range_of(F.col("s"))).withColumn("kind", F.lit(1))
-    both = rows.unionByName(own.withColumn("kind", F.lit(2 if strict else 0)), allowMissingColumns=True)
+    """Rows and periods are dealt together to as many ranges of time as a shuffle has partitions, which Spark chooses by a
+    sample of both, so no range is large however the times lie; rows of one time are dealt by their hash beyond that."""
+    rows = left.select(*by, F.struct(*left.columns).alias("row"), F.col(ts).alias("s"), F.lit(None).cast(periods.schema["v"].dataType).alias("v"), F.lit(1).alias("kind"))
+    both = rows.unionByName(periods.withColumn("kind", F.lit(2 if strict else 0)), allowMissingColumns=True)
+    both = checkpointed(both.repartitionByRange("s", "kind", "v", F.xxhash64("row")).withColumn("r", F.spark_partition_id()))
+    # the last value of each range that has any, as one array of at most a row a range for each key
+    last = both.where("kind <> 1").groupBy(*by, "r").agg(F.max(F.struct("s", "v")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("r", F.col("x.v").alias("v")))).alias("_c"))
     order = Window.partitionBy(*by, "r").orderBy("s", "kind", "v").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("kind") != 1, F.struct("v")), ignorenulls=True).over(order)
     met = both.withColumn("seen", seen).where("kind = 1").select(*by, "row", "r", "seen")
