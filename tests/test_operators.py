@@ -778,3 +778,38 @@ def test_changes_need_the_same_people(spark):
     assert views.changes(make(("a", 1.0)), make(("a", 3.0))).first() == ("a", 1.0, 3.0, 2.0)
     with pytest.raises(Exception):
         views.changes(make(("a", 1.0)), make(("b", 3.0))).collect()
+
+
+def mirrored(spark, objects=(), primitives=(), links=(), entries=()):
+    from meritgraph.operators import mirror
+
+    kinds = ("id string, typename string, seq int", "id string, field string, value string, seq int", "id string, field string, child string, seq int", "id string, field string, ord long, child string, seq int")
+    return mirror.Store(*(spark.createDataFrame(list(x), k) for x, k in zip((objects, primitives, links, entries), kinds, strict=True)))
+
+
+def test_mirrored_objects(spark):
+    from meritgraph.operators import forge, mirror
+
+    objects = [("r", "Repository", 1), ("i", None, 1), ("i", "Issue", 2), ("p", "PullRequest", 2), ("p", "PullRequest", 3), ("c", "Commit", 2), ("u", "User", 2), ("k", "IssueComment", 2), ("v", None, 1)]
+    primitives = [("r", "key", '"o/r"', 1), ("i", "key", '"1"', 2), ("i", "title", '"old"', 2), ("i", "title", '"new"', 3), ("p", "key", '"2"', 2), ("p", "createdAt", "7", 2), ("c", "key", '"h"', 2), ("c", "oid", '"h"', 2), ("u", "login", '"ann"', 2), ("k", "key", '"3"', 2)]
+    links = [("i", "author", "u", 2), ("p", "author", "gone", 2), ("p", "mergeCommit", "c", 2), ("k", "author", "u", 1), ("k", "author", None, 2), ("u", "self", "u", 1)]
+    entries = [("r", "issues", 1, "i", 2), ("r", "pullRequests", 1, "p", 2), ("i", "comments", 2, "k", 2), ("i", "comments", 1, "v", 2), ("i", "comments", 0, "k", 1), ("i", "comments", 0, None, 3)]
+    s = mirror.folded(mirrored(spark, objects, primitives, links, entries), spark.createDataFrame([("gone",)], "id string"))
+    assert {r.id: r.typename for r in s.objects.collect()} == {"r": "Repository", "i": "Issue", "p": "PullRequest", "c": "Commit", "u": "User", "k": "IssueComment", "v": None}
+    assert [r.id for r in mirror.unknown(s).collect()] == ["v"] and {r.id for r in mirror.reached(s, spark.createDataFrame([("i",)], "id string")).collect()} == {"i", "u", "k", "v"}
+    (issue,) = mirror.assemble(s, {"title": "string", "nothing": "bigint", "author": mirror.Node({"login": "string", "self": mirror.Node({})}), "comments": mirror.Many({"key": "string", "author": mirror.Node({})})}, "Issue").collect()
+    assert (issue.title, issue.nothing, issue.author.login, issue.author.self.id) == ("new", None, "ann", "u") and [(x.id, x.typename, x.key, x.author) for x in issue.comments] == [("k", "IssueComment", "3", None)]
+    found = {(r.kind, r.key): (r.parent, r.author, r.description, r.ms, r.merged_as, r.hash) for r in mirror.forge_entities(s).collect()}
+    assert found == {
+        ("repo", "o/r"): (None, None, None, None, None, None), ("issue", "1"): ("repository/repo/o/r/", "ann", "new", None, None, None), ("pull", "2"): ("repository/repo/o/r/", None, None, 7, "repository/commit/h/", None),
+        ("commit", "h"): (None, None, None, None, None, "h"), ("comment", "3"): ("repository/issue/1/", None, None, None, None, None),
+    }
+    none = spark.createDataFrame([], "target string, kind string, author string, ms long"), spark.createDataFrame([], "src string, dst string, ms long")
+    kinds = sorted(r.address.split("/")[1] for r in forge.graph(mirror.forge_entities(s), *none)[0].edges.collect())
+    assert kinds == ["authors", "correspondsToCommit", "hasParent", "hasParent", "hasParent", "mergedAs"]
+    with pytest.raises(ValueError, match="two types"):
+        mirror.folded(mirrored(spark, [("a", "X", 1), ("a", None, 2), ("a", "Y", 3)]))
+    with pytest.raises(Exception):
+        mirror.assemble(mirror.folded(mirrored(spark, [("a", "X", 1)], [("a", "n", '"text"', 1)])), {"n": "bigint"}, "X").collect()
+    empty = mirror.folded(mirrored(spark))
+    assert mirror.assemble(empty, {"x": "string", "m": mirror.Many({})}).count() == 0 == mirror.forge_entities(empty).count()
