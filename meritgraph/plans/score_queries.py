@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meritgraph.functions.addresses import address
 from meritgraph.functions.money import AMOUNT, grouped
 from meritgraph.functions.weeks import WEEK, millis
-from meritgraph.operators import builders, expressions, ledger, ledger_state, payouts, views
+from meritgraph.operators import builders, expressions, ledger, ledger_state, names, payouts, views
 from meritgraph.plans.domain import WEEK_SQL
 from meritgraph.sources import contributions, exports, ledger_log, tables
 
@@ -420,3 +420,17 @@ def ledger_log_events(spark, sf):
     line = lambda df, base, action: df.select((F.lit(base) + F.col("k")).cast("long").alias("seq"), F.to_json(F.struct(action.alias("action"), F.col("k").alias("ledgerTimestamp"), F.concat(F.lit("u"), of("k")).alias("uuid"), F.lit("1").alias("version"))).alias("value"))
     lines = line(s, 0, F.struct(F.lit("CREATE_IDENTITY").alias("type"), identity.alias("identity"))).union(line(o.where("k % 4 = 0"), 10_000_000, transfer)).union(line(o.where("k % 4 <> 0"), 10_000_000, grant))
     return ledger_log.parsed(lines).select("seq", "type", "id", "other", "name", "address", F.col("amount").cast("string").alias("amount"), "memo", "part")
+
+
+_PROPOSED = """p AS (SELECT o_orderkey AS ord, 'u' || (o_orderkey // 200) AS name, lower(left(o_orderpriority, 1)) || '-x' AS plugin, o_orderkey // 200 AS g FROM orders),
+b AS (SELECT *, g % 7 <> 0 AND row_number() OVER (PARTITION BY name ORDER BY ord) = 1 AS first FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, plugin, first ORDER BY ord) AS k FROM b)"""
+
+
+@query(f"""WITH {_PROPOSED} SELECT ord, 'a/' || ord AS address, CASE WHEN first THEN name WHEN k = 1 THEN name || '-' || plugin ELSE name || '-' || plugin || '-' || (k - 1) END AS name FROM r""")
+def ledger_new_names(spark, sf):
+    """Orders as proposals of new identities, up to 200 of one name from five plugins; every seventh name is taken."""
+    g = F.floor(F.col("o_orderkey") / 200)
+    o = tables.table(spark, sf, "orders").withColumn("name", F.concat(F.lit("u"), g.cast("string")))
+    proposals = o.select(F.col("o_orderkey").alias("ord"), "name", F.concat(F.lower(F.substring("o_orderpriority", 1, 1)), F.lit("-x")).alias("plugin"), F.concat(F.lit("a/"), F.col("o_orderkey").cast("string")).alias("address"))
+    return names.new_names(proposals, o.where(g % 7 == 0).select(F.upper("name").alias("name")))

@@ -813,3 +813,42 @@ def test_mirrored_objects(spark):
         mirror.assemble(mirror.folded(mirrored(spark, [("a", "X", 1)], [("a", "n", '"text"', 1)])), {"n": "bigint"}, "X").collect()
     empty = mirror.folded(mirrored(spark))
     assert mirror.assemble(empty, {"x": "string", "m": mirror.Many({})}).count() == 0 == mirror.forge_entities(empty).count()
+
+
+def slow_names(proposals, taken, known):
+    used, seen, out = {t.lower() for t in taken}, set(known), {}
+    for k, name, plugin, place in sorted(proposals):
+        if place in seen:
+            continue
+        seen.add(place)
+        for x in [name, f"{name}-{plugin}", *(f"{name}-{plugin}-{i}" for i in range(1, 100))]:
+            if x.lower() not in used:
+                used.add(x.lower())
+                out[k] = x
+                break
+    return out
+
+
+@pytest.mark.parametrize("n,pool", [(2_000, 60), (200, 3)])
+def test_names_are_those_of_a_loop(spark, n, pool):
+    """Names that clash with each other, with other proposals' forms and in case; addresses that come again."""
+    from meritgraph.operators import names
+
+    rng = random.Random(n)
+    stem = lambda: rng.choice(["ann", "Ann", "bo", "b", "cy"]) + rng.choice(["", *(f"-{x}" for x in ("a", "b", "a-1", "b-2", "1"))]) + (f"-{rng.randrange(pool)}" if rng.random() < 0.9 else "")
+    rows = [(k, stem(), rng.choice("abAB"), f"n{k if rng.random() < 0.9 else rng.randrange(n)}") for k in range(n)]
+    taken, known = [stem().upper() for _ in range(20)], [f"n{k}" for k in range(0, n, 50)]
+    frame = spark.createDataFrame(rows, "ord long, name string, plugin string, address string").repartition(3)
+    got = names.new_names(frame, spark.createDataFrame([(x,) for x in taken], "name string"), spark.createDataFrame([(x,) for x in known], "address string"))
+    assert {r.ord: r.name for r in got.collect()} == slow_names(rows, taken, known)
+
+
+def test_names_that_cannot_be(spark):
+    from meritgraph.operators import names
+
+    none = spark.createDataFrame([], "name string")
+    made = lambda rows: spark.createDataFrame([(k, a, b, f"n{k}") for k, (a, b) in enumerate(rows)], "ord long, name string, plugin string, address string")
+    assert names.new_names(made([]), none).count() == 0 and names.new_names(made([("x", "p")] * 101), none).count() == 101
+    for wrong in ([("x", "p")] * 102, [("x y", "p")], [(None, "p")], [("x" * 40, "plugin")] * 2, [("x" * 43, "p")]):
+        with pytest.raises(Exception, match="not names|more proposals|no name is left"):
+            names.new_names(made(wrong), none)
