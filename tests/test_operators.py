@@ -852,3 +852,24 @@ def test_names_that_cannot_be(spark):
     for wrong in ([("x", "p")] * 102, [("x y", "p")], [(None, "p")], [("x" * 40, "plugin")] * 2, [("x" * 43, "p")]):
         with pytest.raises(Exception, match="not names|more proposals|no name is left"):
             names.new_names(made(wrong), none)
+
+
+def test_channels_and_mentions(spark):
+    from meritgraph.operators import chat
+
+    channels = spark.createDataFrame([("a", None, "GUILD_TEXT", False), ("b", "p", "GUILD_TEXT", False), ("c", None, "GUILD_VOICE", False), ("d", None, "GUILD_TEXT", True), ("e", "p", "GUILD_TEXT", False)], "channel string, parent string, type string, nsfw boolean")
+    weights = chat.Weights(channels={"p": 0.0, "e": 2.0})
+    assert [sorted(r.channel for r in chat.loadable(channels, weights, nsfw).collect()) for nsfw in (False, True)] == [["a", "e"], ["a", "d", "e"]]
+    texts = spark.createDataFrame([(1, "hi <@12> and <@!12>, <@3> <@x>"), (2, None), (3, "")], "k int, t string")
+    assert sorted(map(tuple, chat.mention_counts(texts, "k", "t").collect())) == [(1, "12", 2), (1, "3", 1)]
+
+
+def test_payable_views_and_neighbors(spark):
+    view = lambda *s: spark.createDataFrame([(float(x),) for x in s], "score double")
+    accounts = lambda *a: spark.createDataFrame([(x,) for x in a], "active boolean")
+    ledger_state.check_payable_view(view(0.5, 0.5), accounts(False, True))
+    for wrong in ((view(0.5), accounts(True)), (view(3), accounts(False)), (view(), accounts(True)), (view(3), accounts())):
+        with pytest.raises(ValueError):
+            ledger_state.check_payable_view(*wrong)
+    moves = markov.chain_from_matrix(spark, [[0.5, 0.5], [0, 1]])
+    assert sorted((r.src, r.pr) for r in markov.in_neighbors(moves, "1").collect()) == [("0", 0.5), ("1", 1.0)]
