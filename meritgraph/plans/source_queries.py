@@ -9,7 +9,9 @@ from meritgraph.functions.weeks import millis
 from meritgraph.functions.addresses import address
 from meritgraph.operators import chat, expressions, forge, forum, initiatives, mirror, views
 from meritgraph.operators.asof import asof_join
-from meritgraph.sources import tables
+from meritgraph.operators.order import with_index
+from meritgraph.plans.domain import GRAPH_SQL, event_graph
+from meritgraph.sources import documents, tables
 
 QUERIES, SQL = {}, {}
 
@@ -318,3 +320,30 @@ def mirror_parents(spark, sf):
     old = mirror.stale(state.where("state <> 'N'"), updates, 100).select("id", F.lit(None).cast("int").alias("fresh"))
     met = mirror.parents(s, "reviews").join(state.where("state <> 'N'").select("id"), "id").join(old.withColumn("old", F.lit(True)), "id", "left")
     return met.select("id", "parent", F.when(F.col("old").isNull(), 0).alias("fresh"))
+
+
+_AT = "row_number() OVER (ORDER BY {0}) - 1"
+_PARTS = "string_split({0}, '/')[:-2]"
+
+
+@query(f"""WITH {GRAPH_SQL}, x AS (SELECT address, {_AT.format(_PARTS.format('address'))} AS i FROM (SELECT address FROM nodes UNION SELECT src FROM edges UNION SELECT dst FROM edges)),
+e AS (SELECT {_AT.format(_PARTS.format('e.address'))} AS "at", json_object('address', {_PARTS.format('e.address')}, 'dstIndex', d.i, 'srcIndex', s.i, 'timestampMs', timestamp_ms)::VARCHAR AS value FROM edges e JOIN x s ON src = s.address JOIN x d ON dst = d.address),
+n AS (SELECT {_AT.format('i')} AS "at", json_object('description', description, 'index', i, 'timestampMs', timestamp_ms)::VARCHAR AS value FROM nodes JOIN x USING (address)),
+a AS (SELECT 3 AS section, "at", value FROM e UNION ALL SELECT 5, "at", value FROM n UNION ALL SELECT 7, i, to_json({_PARTS.format('address')})::VARCHAR FROM x)
+SELECT section, "at", CASE WHEN "at" > 0 THEN ',' ELSE '' END || value AS value FROM a
+UNION ALL SELECT * FROM (VALUES (0, 0, '[{{"type":"events/graph","version":"0.8.0"}},'), (2, 0, '{{"edges":['), (4, 0, '],"nodes":['), (6, 0, '],"sortedNodeAddresses":['), (8, 0, ']}}'), (10, 0, ']'))""")
+def graph_document(spark, sf):
+    """The lines of the events' graph as a JSON document."""
+    return documents.graph_lines(event_graph(spark, sf), "events")
+
+
+@query("""WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey::VARCHAR) - 1 AS j FROM customer), w AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS e FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders)),
+z AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(*) FROM customer) AS p)
+SELECT 'part/' || p_partkey || '/' AS address, row_number() OVER (ORDER BY ['part', p_partkey::VARCHAR]) - 1 AS index FROM part UNION ALL SELECT 'seed/', n FROM z
+UNION ALL SELECT 'sum/' || y || '/', n + 1 + e * (p + 1) FROM w, z UNION ALL SELECT 'epoch/' || y || '/' || c_custkey || '/', n + 1 + e * (p + 1) + 1 + j FROM w, c, z""")
+def process_order(spark, sf):
+    """Positions of a process whose nodes are parts, whose participants are customers and whose epochs are years."""
+    own = tables.table(spark, sf, "part").select(address("part", F.col("p_partkey")).alias("address")).withColumn("_k", documents.to_parts(F.col("address")))
+    people = tables.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    years = tables.table(spark, sf, "orders").select(F.year("o_orderdate").alias("start_ms")).distinct()
+    return documents.node_order(with_index(own, "_k"), with_index(people, "id"), years)
