@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meritgraph.functions.weeks import millis
 from meritgraph.functions.addresses import address
-from meritgraph.operators import chat, expressions, forge, forum, initiatives, mirror, views
+from meritgraph.operators import chat, expressions, forge, forum, initiatives, markdown, mirror, views
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.order import with_index
 from meritgraph.plans.domain import GRAPH_SQL, event_graph
@@ -347,3 +347,27 @@ def process_order(spark, sf):
     people = tables.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))
     years = tables.table(spark, sf, "orders").select(F.year("o_orderdate").alias("start_ms")).distinct()
     return documents.node_order(with_index(own, "_k"), with_index(people, "id"), years)
+
+
+@query()
+def markdown_references(spark, sf):
+    """What the documents refer to, whole texts read as Markdown, and the documents that numbers name."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    found = markdown.references(docs, "doc_id", "text")
+    named = docs.select(F.concat(F.lit("#"), F.col("doc_id").cast("string")).alias("ref"), address("document", F.col("doc_id")).alias("address"))
+    return found.join(markdown.dictionary([named]), "ref", "left").select("doc_id", "ref", "ref_type", "n", "address")
+
+
+@query("""SELECT o_orderkey AS id, '#' || (o_orderkey % 50) AS ref, 'BASIC' AS ref_type, 1::BIGINT AS n, 'order/' || (o_orderkey % 50) || '/' AS address FROM orders
+UNION ALL SELECT o_orderkey, '@u' || o_custkey, k, 1, 'customer/' || o_custkey || '/' FROM orders, (VALUES ('BASIC'), ('PAIRED_WITH')) v(k)
+UNION ALL SELECT o_orderkey, 'o/r#' || (o_orderkey % 7), 'BASIC', 1, NULL FROM orders""")
+def markdown_order_references(spark, sf):
+    """References in a comment in Markdown for each order."""
+    o = tables.table(spark, sf, "orders")
+    k, w = F.col("o_orderkey").cast("string"), F.concat(F.lit("u"), F.col("o_custkey").cast("string"))
+    number = lambda n: (F.col("o_orderkey") % n).cast("string")
+    body = F.concat(k, F.lit(" see **#"), number(50), F.lit("** and `#"), k, F.lit("`\npaired with @"), w, F.lit(", @"), w, F.lit("\n\n    #1\n\n> o/r#"), number(7))
+    found = markdown.references(o.select(F.col("o_orderkey").alias("id"), body.alias("body")), "id", "body")
+    orders = spark.range(50).select(F.concat(F.lit("#"), F.col("id").cast("string")).alias("ref"), address("order", F.col("id")).alias("address"))
+    people = o.select(F.concat(F.lit("@u"), F.col("o_custkey").cast("string")).alias("ref"), address("customer", F.col("o_custkey")).alias("address"))
+    return found.join(markdown.dictionary([orders, people]), "ref", "left").select("id", "ref", "ref_type", "n", "address")
