@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritgraph.functions.addresses import address
+from meritgraph.operators import builders
 from meritgraph.operators.builders import TRUST
+from meritgraph.operators.graph import Graph
 
 #: Kinds of links of a forum, in the order in which they are tried: the first that fits a path names its kind.
 LINKS = (("post", r"^/t/[^/]+/(\d+)/(\d+)(?:[?#].*)?$"), ("topic", r"^/t/[^/]+/(\d+)/?(?:[?#].*)?$"), ("user", r"^/u/([^/?#]+)/?(?:[?#].*)?$"))
@@ -72,3 +74,20 @@ def existing(found: DataFrame, posts: DataFrame, users: DataFrame) -> DataFrame:
     met = found.join(p, (F.col("kind") == "post") & (F.col("a") == F.col("pt")) & (F.col("b") == F.col("pi")), "left")
     met = met.join(t, (F.col("kind") == "topic") & (F.col("a") == F.col("tt")), "left").join(u, (F.col("kind") == "user") & (F.lower("a") == F.col("un")), "left")
     return met.withColumn("address", F.coalesce("pa", "ta", "ua")).select(*found.columns, "address")
+
+
+def graph(posts: DataFrame, likes: DataFrame, users: DataFrame, topics: DataFrame, tags: DataFrame, categories: dict[str, float], tag_weights: dict[str, float], found: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+    """(graph, weights (address, weight)) of a forum: topics and posts with ms besides, topics with author and title.
+    Replies name their parents, topics lead to their liked posts at the posts' times, and posts to what they refer to
+    (``found``: post, address, as ``existing`` gives them; null and repeated addresses count once or not at all). Weights
+    are those of likes, as nodes, and of the edges to liked posts."""
+    answered = posts.join(replies(posts), "post", "left").select(F.col("post").alias("post_id"), F.col("topic").alias("topic_id"), "author", F.col("parent").alias("reply_to"), "ms")
+    base = builders.forum(topics.withColumnRenamed("topic", "topic_id"), answered, likes.withColumnRenamed("post", "post_id"))
+    weighed = like_weights(likes, users, posts, topics.select("topic", "category"), tags, categories, tag_weights)
+    liked, times = liked_posts(weighed), posts.select(address("forum", "post", F.col("post")).alias("p"), F.col("ms").cast("long").alias("timestamp_ms"))
+    edges = base.edges.unionByName(liked.join(times, F.col("dst") == F.col("p")).select("address", "src", "dst", "timestamp_ms"))
+    if found is not None:
+        own = found.where("address IS NOT NULL").select(address("forum", "post", F.col("post")).alias("p"), F.col("address").alias("dst")).distinct().join(times, "p")
+        edges = edges.unionByName(own.select(F.concat(F.lit("forum/references/"), "p", "dst").alias("address"), F.col("p").alias("src"), "dst", "timestamp_ms"))
+    of_likes = weighed.select(address("forum", "like", F.col("author"), F.col("post")).alias("address"), "weight")
+    return Graph(base.nodes, edges), of_likes.unionByName(liked.select("address", "weight"))

@@ -371,3 +371,24 @@ def markdown_order_references(spark, sf):
     orders = spark.range(50).select(F.concat(F.lit("#"), F.col("id").cast("string")).alias("ref"), address("order", F.col("id")).alias("address"))
     people = o.select(F.concat(F.lit("@u"), F.col("o_custkey").cast("string")).alias("ref"), address("customer", F.col("o_custkey")).alias("address"))
     return found.join(markdown.dictionary([orders, people]), "ref", "left").select("id", "ref", "ref_type", "n", "address")
+
+
+_T, _P, _U = "'forum/topic/' || topic || '/'", "'forum/post/' || post || '/'", "'forum/user/' || author || '/'"
+_L = "'forum/like/' || author || '/' || post || '/'"
+
+
+@query(f"""WITH {_FORUM}, t AS (SELECT o_orderkey AS topic, o_custkey AS author, o_orderkey * 10 AS ms FROM orders), k AS (SELECT * FROM f WHERE k % 2 = 0),
+w AS (SELECT * FROM k WHERE author % 6 BETWEEN 1 AND 4)
+SELECT 'forum/authorsTopic/' || {_T} AS address, {_U} AS src, {_T} AS dst, ms AS timestamp_ms FROM t
+UNION ALL SELECT 'forum/authorsPost/' || {_P}, {_U}, {_P}, k + 1 FROM f UNION ALL SELECT 'forum/topicContainsPost/' || {_P}, {_T}, {_P}, k + 1 FROM f
+UNION ALL SELECT 'forum/replyTo/forum/post/' || a.post || '/', 'forum/post/' || a.post || '/', 'forum/post/' || b.post || '/', a.k + 1 FROM f a JOIN f b ON a.topic = b.topic AND b.i = CASE WHEN a.k % 3 = 0 THEN a.k % 4 + 1 WHEN a.i > 1 THEN 1 END
+UNION ALL SELECT 'forum/createsLike/' || {_L}, {_U}, {_L}, k FROM k UNION ALL SELECT 'forum/likes/' || {_L}, {_L}, {_P}, k FROM k
+UNION ALL SELECT 'forum/topicHasLikedPost/' || {_T} || {_P}, {_T}, {_P}, k + 1 FROM w
+UNION ALL SELECT 'forum/references/' || {_P} || {_T}, {_P}, {_T}, k + 1 FROM f WHERE i = 2""")
+def forum_edges(spark, sf):
+    """The whole graph of the forum; second posts refer to their topics."""
+    likes, users, posts, topics, tags = _forum(spark, sf)
+    when = tables.table(spark, sf, "lineitem").groupBy(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("post")).agg((F.min("l_partkey") + 1).alias("ms"))
+    more = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("topic"), F.col("o_custkey").alias("author"), F.lit("order").alias("title"), (F.col("o_orderkey") * 10).alias("ms"))
+    refs = posts.where("index = 2").select("post", address("forum", "topic", F.col("topic")).alias("address"))
+    return forum.graph(posts.join(when, "post"), likes, users, topics.join(more, "topic"), tags, {"1-URGENT": 3.0}, {"F": 0.5, "extra": 2.0}, refs)[0].edges
