@@ -10,7 +10,8 @@ beginning is as long as the number of fingerprints asks for; beginnings with mor
 of close fingerprints) are lengthened, step by step to the whole 64 bits, where one variant's owners are 2,081 at most.
 The owners of a variant are each linked with the one nearest to it, which loses no component: for an even radius all
 owners of a variant are within the radius of each other, for an odd one all are within it of an owner in the inner half.
-Links are deduplicated, verified by counting bits, and drawn together to components.
+The task that meets them verifies them by counting bits and returns only what draws its fingerprints together, one row
+for each but the least of those that hang together, so a family of close fingerprints is no row for each of its pairs.
 
 Null, empty and blank texts have no shingles and the fingerprint zero, which is linked like any other; texts of fewer
 words than a shingle has are one shingle. Very long texts are read in pieces of about PIECE bytes cut at white space.
@@ -142,8 +143,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 to n - 1 that each reaches over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _met(part: pa.Table, radius: int) -> pa.Table:
-    """(a, b): owners of the same variant, of one beginning's bundles."""
+    """(a, b): owners of the same variant, of one beginning's bundles, each with the least that their links reach."""
     half, bits = radius - radius // 2, part.column("bits")[0].as_py()
     part = part.sort_by("fp")  # so that the same few fingerprints are the nearest ones again and again
     fps, used = part.column("fp").to_numpy().view(np.uint64), part.column("used").to_numpy()
@@ -174,14 +187,16 @@ def _met(part: pa.Table, radius: int) -> pa.Table:
     begins = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     nearest = np.repeat(begins, np.diff(np.append(begins, len(run))))
     linked = np.concatenate(inner)[hit][nearest] & (owner != owner[nearest])
-    pairs = np.unique(np.stack([owner[nearest][linked], owner[linked]]).astype(np.int64), axis=1)
-    a, b = fps.view(np.int64)[pairs[0]], fps.view(np.int64)[pairs[1]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    a, b = owner[nearest][linked], owner[linked]
+    within = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    root = _roots(len(fps), a[within], b[within])
+    other = np.flatnonzero(root != np.arange(len(fps)))
+    return pa.table({"a": fps.view(np.int64)[root[other]], "b": fps.view(np.int64)[other]})
 
 
 def links(found: DataFrame, radius: int = 4) -> DataFrame:
-    """Verified pairs (a, b) of the distinct fingerprints ``found`` (fp, materialised): enough of those within the
-    radius that their components are those of all."""
+    """Pairs (a, b) of the distinct fingerprints ``found`` (fp, materialised) that verified links draw together, maybe
+    over others: their components are those of all pairs within the radius."""
     if not 0 <= radius <= 64:
         raise ValueError(f"a radius of {radius} bits")
 
@@ -189,7 +204,7 @@ def links(found: DataFrame, radius: int = 4) -> DataFrame:
         return _met(part, radius)
 
     near = _bundles(found, radius).groupBy("bits", "start").applyInArrow(compare, "a long, b long")
-    return checkpointed(near.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    return checkpointed(near.distinct())
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -66,6 +66,16 @@ def test_links_lose_no_component(spark, monkeypatch, radius, most):
     assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
 
 
+def test_a_family_is_not_linked_in_pairs(spark):
+    """All 2,016 fingerprints with two bits set are within four bits of each other."""
+    family = [(1 << i | 1 << j) for i in range(64) for j in range(i)]
+    found = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in family], "fp long")
+    linked = simhash.links(found)
+    assert linked.count() < 10 * len(family)
+    drawn = components(linked)
+    assert (drawn.count(), drawn.select("component").distinct().count()) == (len(family), 1)
+
+
 def test_radius_is_checked(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "fp long"), 65)
