@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meritgraph.functions.addresses import is_address, prefixes
 from meritgraph.functions.money import plain, split_budget
 from meritgraph.functions.weeks import WEEK, week_intervals, week_start
-from meritgraph.operators import builders, expressions, graph, intervals, ledger, ledger_state, markov, order, payouts, references, timeline, views, weights
+from meritgraph.operators import builders, expressions, frames, graph, intervals, ledger, ledger_state, markov, order, payouts, references, timeline, views, weights
 from meritgraph.operators.asof import asof_join
 from meritgraph.operators.graph import Graph
 from meritgraph.plans import domain, graph_queries, registry
@@ -113,6 +113,26 @@ def test_converged_timeline_is_each_weeks_own_rank(spark):
     assert {r.kind for r in both[0].flows().select("kind").distinct().collect()} == {"edge", "loop", "seed"}
 
 
+def test_steps_leave_no_more_on_disk(spark):
+    """Checkpoints of earlier steps are deleted, and none holds a node once a week."""
+    g = domain.kept_graph(spark, SF)
+    nodes, edges = domain.node_weights(spark, g), domain.edge_weights(spark, g)
+    weeks = markov.checkpointed(week_intervals(g.nodes, "timestamp_ms"))
+    moves = markov.checkpointed(markov.chain(markov.connections(g, edges)))
+    seed = markov.checkpointed(markov.weighted(nodes, "weight"))
+    held = lambda: len(spark.sparkContext._jvm.java.io.File(frames.shared_folder(spark).removeprefix("file:")).list())
+
+    def left(work):
+        before = held()
+        work()
+        return held() - before
+
+    assert left(lambda: timeline.timeline(g, nodes, edges, weeks, n_steps=10)) <= left(lambda: timeline.timeline(g, nodes, edges, weeks, n_steps=2))
+    assert left(lambda: markov.steps(moves, seed, seed, 0.15, 15)) <= left(lambda: markov.steps(moves, seed, seed, 0.15, 2))
+    few, many = (left(lambda: markov.stationary(moves, seed, seed, 0.15, 0.0, n)) for n in (2, 8))
+    assert many <= few
+
+
 def test_converged_ranks_are_stationary(spark):
     g = domain.event_graph(spark, SF)
     nodes, moves = markov.compile_process(g, domain.node_weights(spark, g), domain.edge_weights(spark, g), domain.participants(g), graph_queries._P)
