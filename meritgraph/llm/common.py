@@ -39,6 +39,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: So many rows of a few numbers are one task's work.
+TASK_ROWS = 20_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (materialised, of ``rows`` narrow rows) in no more partitions than TASK_ROWS asks for or the session works
+    on at once: a few rows in many partitions would cost a task for each whenever they are read. Not to be put on top of
+    a shuffle, whose partitions' hash tables one task would hold together."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed and gathered by its number of rows."""
+    found = checkpointed(df)
+    return gathered(found, found.count())
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, of which later steps read only the columns they need."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritgraph.llm.common import checkpointed, join_counted, table, written
+from meritgraph.llm.common import checkpointed, gathered, join_counted, packed, table, written
 from meritgraph.llm.components import components
 
 SKETCH = 48
@@ -116,7 +116,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
     inter = F.size(F.array_intersect("sa", "sb"))
     likely = F.when(whole, 100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).otherwise(common >= least)
-    met = checkpointed(met.where(likely).select("a", "b", "na", "nb"))
+    met = packed(met.where(likely).select("a", "b", "na", "nb"))
     ids = checkpointed(met.select(F.col("a").alias("id")).union(met.select("b")).distinct())
     sets = checkpointed(_sets(docs, ids, size))
     full = met.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "fa"), "a").join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "fb"), "b")
@@ -154,8 +154,10 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     own = checkpointed(own.select("rep", "n", "sig", "hub", F.col("x.value").alias("value")))
     lists = own.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("hub", F.xxhash64("rep").alias("h"), "rep", "n", "sig")).alias("centre")).where("size > 1")
     lists = checkpointed(lists)
-    met = join_counted(own.withColumnRenamed("n", "held"), lists.withColumn("n", F.col("size")), ["value"], own.count())
-    return checkpointed(met.withColumnRenamed("held", "n"))
+    total = own.count()
+    own, lists = gathered(own, total), gathered(lists, total)
+    met = checkpointed(join_counted(own.withColumnRenamed("n", "held"), lists.withColumn("n", F.col("size")), ["value"], total).withColumnRenamed("held", "n"))
+    return gathered(met, total)
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -174,7 +176,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     inside = lists.where(F.col("size") > LIST).join(names, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     centres = names.select(F.col("rep").alias("c"), F.col("component").alias("cc"))
     inside = inside.join(centres, F.col("centre.rep") == F.col("c"), "left").withColumn("cc", F.coalesce("cc", "centre.rep"))
-    inside = checkpointed(inside.select("value", "rep", "n", "sig", "component", "cc"))
+    inside = packed(inside.select("value", "rep", "n", "sig", "component", "cc"))
     apart = inside.where("component <> cc")
     if apart.isEmpty():
         return drawn
@@ -183,7 +185,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     few, many = _dealt(apart, blocks, 0), _dealt(inside, blocks, 1)
     same = (F.col("l.value") == F.col("r.value")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
     met = same & (F.col("l.component") != F.col("r.component")) & _near(of("l"), of("r"), percent)
-    some = lambda x, y: checkpointed(x.join(y, met, "left_semi").select("value", "rep", "component", "n").distinct())
+    some = lambda x, y: packed(x.join(y, met, "left_semi").select("value", "rep", "component", "n").distinct())
     more = _across(docs, some(few.alias("l"), many.alias("r")), some(many.alias("r"), few.alias("l")), size, percent)
     if more.isEmpty():
         return drawn
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         was = split.select(F.col("doc_id").alias("own"), "was", F.xxhash64("text").alias("own_hash")).distinct()
         docs, sketched = split, checkpointed(sketches(split, size))
     some = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
+    classes = packed(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     drawn = links(docs, classes.select("rep", "n", "sig", "sketch"), size, percent)
     of = classes.select("digest", "rep").join(drawn.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from meritgraph.llm import boilerplate, bpe, fingerprints, language, lines, neardup, ngrams, packing, quality, registry, urls
 from meritgraph.llm.components import components
+from meritgraph.operators.frames import settings
 
 
 
@@ -196,6 +197,13 @@ def test_components_of_a_long_path(spark):
     assert {r.node: r.component for r in components(edges).collect()} == {i: 0 for i in range(n + 1)} | {300: 300, 301: 300}
 
 
+def test_components_of_a_few_links_do_not_fill_all_partitions(spark):
+    with settings(spark, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        drawn = components(spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long"))
+        assert drawn.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {r.node: r.component for r in drawn.collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+
+
 # 3
 
 
