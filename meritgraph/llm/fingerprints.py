@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from meritgraph.llm.common import let, shuffle_partitions, table, words
 
-SAMPLES, GROUP = 48, 16
+SAMPLES, GROUP = 48, 12
 LEAST = -(2**63)
 EMPTY = "00000000"
 SECTION_CHARS = 1 << 26
