@@ -120,3 +120,11 @@ def test_ids_in_links(spark):
     u = "https://github.com/o/r/"
     rows = spark.createDataFrame([(u + x,) for x in ("pull/1#pullrequestreview-22", "issues/1#issuecomment-3", "pull/1#issuecomment-4", "pull/1#discussion_r5", "pull/1")], "url string")
     assert [r.x and tuple(r.x) for r in rows.select(markdown.url_id(F.col("url")).alias("x")).collect()] == [("review", "22"), ("issue_comment", "3"), ("pull_comment", "4"), ("review_comment", "5"), None]
+
+
+def test_texts_are_scanned_in_slices_of_arrow_batches(spark):
+    texts = [None if i % 7 == 0 else f"a *b{i}*\n\n`c`" for i in range(2 * markdown.SLICE + 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    found = markdown.with_spans(rows, "text")
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # a pandas function holds a whole batch's spans
+    assert {r.id: (r.text, r.spans) for r in found.collect()} == {i: (t, markdown.spans(t)) for i, t in enumerate(texts)}
