@@ -29,7 +29,7 @@ def user(login: str, bots: list[str]) -> Column:
 
 def graph(entities: DataFrame, reactions: DataFrame, references: DataFrame, bots: list[str] | None = None) -> tuple[Graph, DataFrame]:
     """(graph, node weights (prefix, weight)): pulls that were never merged weigh nothing. Only positive reactions
-    become edges; equal edges are one."""
+    become edges; equal edges are one, of the first time."""
     bots = bots or []
     own = entities.withColumn("a", entity(F.col("kind"), "key"))
     authored = own.where("author IS NOT NULL")
@@ -40,15 +40,19 @@ def graph(entities: DataFrame, reactions: DataFrame, references: DataFrame, bots
     who = user("author", bots)
 
     def edge(rows: DataFrame, kind: Column, src: Column, dst: Column) -> DataFrame:
-        return rows.select(F.concat(F.lit("repository/"), kind, F.lit("/"), src, dst).alias("address"), src.alias("src"), dst.alias("dst"), F.col("ms").cast("long").alias("timestamp_ms"))
+        return rows.select(kind.alias("k"), src.alias("src"), dst.alias("dst"), F.col("ms").cast("long").alias("timestamp_ms"))
 
     a, of = F.col("a"), F.lit
-    edges = edge(authored, of("authors"), who, a)
-    edges = edges.union(edge(own.where("kind IN ('issue', 'pull', 'review', 'comment') AND parent IS NOT NULL"), of("hasParent"), a, F.col("parent")))
-    edges = edges.union(edge(own.where("kind = 'pull' AND merged_as IS NOT NULL"), of("mergedAs"), a, F.col("merged_as")))
-    edges = edges.union(edge(own.where("kind = 'commit' AND hash IS NOT NULL"), of("correspondsToCommit"), a, address("git", "commit", F.col("hash"))))
-    edges = edges.union(edge(references, of("references"), F.col("src"), F.col("dst")))
-    edges = edges.union(edge(liked, F.col("k"), who, F.col("target"))).dropDuplicates(["address"])
+    found = edge(authored, of("authors"), who, a)
+    found = found.union(edge(own.where("kind IN ('issue', 'pull', 'review', 'comment') AND parent IS NOT NULL"), of("hasParent"), a, F.col("parent")))
+    found = found.union(edge(own.where("kind = 'pull' AND merged_as IS NOT NULL"), of("mergedAs"), a, F.col("merged_as")))
+    found = found.union(edge(own.where("kind = 'commit' AND hash IS NOT NULL"), of("correspondsToCommit"), a, address("git", "commit", F.col("hash"))))
+    found = found.union(edge(references, of("references"), F.col("src"), F.col("dst")))
+    found = found.union(edge(liked, F.col("k"), who, F.col("target")))
+    # few are equal, so they meet before any are summed, in a fixed number of parts: no task keeps the edges of a whole split
+    dealt_out = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "dst")
+    edges = dealt_out.groupBy("k", "src", "dst").agg(F.min("timestamp_ms").alias("timestamp_ms"))
+    edges = edges.select(F.concat(F.lit("repository/"), "k", F.lit("/"), "src", "dst").alias("address"), "src", "dst", "timestamp_ms")
     unmerged = own.where("kind = 'pull' AND merged_as IS NULL").select(F.col("a").alias("prefix"), F.lit(0.0).alias("weight"))
     return Graph(nodes, edges), unmerged
 
