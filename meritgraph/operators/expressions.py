@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meritgraph.operators.frames import checkpointed
+
 OPERATORS = ("ADD", "MULTIPLY", "MAX", "FIRST", "AVERAGE")
 
 
@@ -28,7 +30,7 @@ def weigh(operands: DataFrame, configs: DataFrame) -> DataFrame:
     A key that the configuration doesn't have is an error when rows are read."""
     own = configs.where("subkey IS NOT NULL").select(F.col("start_ms").alias("config_ms"), "key", "subkey", F.col("weight").alias("_own"))
     rest = configs.where("subkey IS NULL").select(F.col("start_ms").alias("config_ms"), "key", F.col("weight").alias("_default"))
-    met = operands.join(own, ["config_ms", "key", "subkey"], "left").join(rest, ["config_ms", "key"], "left")
+    met = operands.join(F.broadcast(own), ["config_ms", "key", "subkey"], "left").join(F.broadcast(rest), ["config_ms", "key"], "left")  # configurations are few
     missing = F.raise_error(F.concat(F.lit("no weights for key "), "key")).cast("double")
     return met.withColumn("weight", F.coalesce("_own", "_default", missing)).withColumn("explicit", F.col("_own").isNotNull()).drop("_own", "_default")
 
@@ -44,32 +46,54 @@ def with_operators(expressions: DataFrame, configured: DataFrame) -> DataFrame:
     return met.withColumn("operator", F.when(found.isin(list(OPERATORS)), found).otherwise(wrong)).drop("_set")
 
 
-def _score(op: Column) -> Column:
-    """Of grouped operands: e, whether it is an expression; x, its score; explicit; ord, weights before expressions."""
-    e, x, explicit, order = F.col("e"), F.col("x"), F.col("explicit"), F.col("ord")
-    first = lambda keep: F.min_by(x, F.when(keep, order))
-    first_weight = F.min_by(x, F.when(~e, order))
-    highest = F.coalesce(F.max(F.when(e | explicit, x)), first_weight)
-    return (
-        F.when(op == "ADD", F.sum(x)).when(op == "MULTIPLY", F.product(x)).when(op == "AVERAGE", F.avg(x)).when(op == "MAX", highest)
-        .when(op == "FIRST", F.coalesce(first(e), first(~e & explicit), first_weight)).otherwise(F.raise_error(F.concat(F.lit("unknown operator "), op)).cast("double"))
+def _operator(name: Column) -> Column:
+    """Its position among OPERATORS: a number, so that sums are kept by hash and not by sorted rows."""
+    return F.coalesce(*(F.when(name == op, F.lit(i)) for i, op in enumerate(OPERATORS)), F.raise_error(F.concat(F.lit("unknown operator "), name)).cast("int"))
+
+
+def _score() -> Column:
+    """Of what ``_gathered`` has of an expression. FIRST takes expressions before weights, and explicit ones before others."""
+    first = F.coalesce("first_below", "first_explicit", "first_weight")
+    by = (F.col("total"), F.col("product"), F.coalesce(F.greatest("most_below", "most_explicit"), "first_weight"), first, F.col("total") / F.col("n"))
+    found = F.coalesce(*(F.when(F.col("operator") == i, x) for i, x in enumerate(by)))
+    return F.when(F.col("n") == 0, 0.0).otherwise(F.coalesce(found, F.lit(0.0)))
+
+
+def _gathered(expressions: DataFrame, operands: DataFrame) -> DataFrame:
+    """A row for each expression, with all that its score takes of its own weights."""
+    own = expressions.select("contribution", "path", _operator(F.col("operator")).alias("operator"), F.lit(None).cast("double").alias("x"), F.lit(False).alias("explicit"), F.lit(None).cast("int").alias("ord"))
+    rows = own.union(operands.select("contribution", "path", F.lit(None).cast("int"), F.col("weight"), "explicit", F.col("ord").cast("int")))
+    # dealt to a fixed number of parts, so that no task's sums grow with how well the rows compress
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "contribution", "path")
+    x, order, explicit = F.col("x"), F.col("ord"), F.col("explicit")
+    found = rows.groupBy("contribution", "path").agg(
+        F.max("operator").alias("operator"), F.count("x").alias("n"), F.sum("x").alias("total"), F.product("x").alias("product"), F.min_by("x", "ord").alias("first_weight"),
+        F.max(F.when(explicit, x)).alias("most_explicit"), F.min_by(x, F.when(explicit, order)).alias("first_explicit"),
     )
+    return found.where("operator IS NOT NULL")
 
 
 def score_trees(expressions: DataFrame, operands: DataFrame, depth: int) -> DataFrame:
     """(contribution, path, score) of every expression, for trees of at most ``depth`` levels. operands carry weight
-    and explicit. An expression without operands scores 0."""
+    and explicit. An expression without operands scores 0. Weights are gathered once, and written; each level then adds
+    the scores of the one below it."""
+    held = checkpointed(_gathered(expressions, operands))
     level = F.size(F.split("path", r"\."))
-    leaves = operands.select("contribution", "path", F.lit(False).alias("e"), F.col("weight").alias("x"), "explicit", "ord")
     below, out = None, None
     for k in range(depth, 0, -1):
-        own = expressions.where(level == k)
-        items = leaves.where(level == k)
-        if below is not None:
-            up = below.select("contribution", F.regexp_replace("path", r"\.[^.]*$", "").alias("path"), F.lit(True).alias("e"), F.col("score").alias("x"), F.lit(False).alias("explicit"), F.element_at(F.split("path", r"\."), -1).cast("int").alias("ord"))
-            items = items.unionByName(up)
-        met = own.join(items, ["contribution", "path"], "left").groupBy("contribution", "path", "operator")
-        scored = met.agg(F.when(F.count("x") == 0, 0.0).otherwise(_score(F.col("operator"))).alias("score")).select("contribution", "path", F.coalesce("score", F.lit(0.0)).alias("score"))
+        own = held.where(level == k)
+        if below is None:
+            own = own.withColumns({c: F.lit(None).cast("double") for c in ("first_below", "most_below")})
+        else:
+            up = below.groupBy("contribution", F.regexp_replace("path", r"\.[^.]*$", "").alias("path")).agg(
+                F.count("score").alias("_n"), F.sum("score").alias("_total"), F.product("score").alias("_product"), F.max("score").alias("most_below"),
+                F.min_by("score", F.element_at(F.split("path", r"\."), -1).cast("int")).alias("first_below"),
+            )
+            own = own.join(up, ["contribution", "path"], "left").withColumns({
+                "n": F.col("n") + F.coalesce("_n", F.lit(0)), "total": F.coalesce("total", F.lit(0.0)) + F.coalesce("_total", F.lit(0.0)),
+                "product": F.coalesce("product", F.lit(1.0)) * F.coalesce("_product", F.lit(1.0)),
+            })
+        scored = own.select("contribution", "path", _score().alias("score"))
         below, out = scored, scored if out is None else out.unionByName(scored)
     return out
 

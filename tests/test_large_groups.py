@@ -1,6 +1,23 @@
 """Steps whose memory or time grew faster than their input."""
 
-from meritgraph.operators import forge
+from pyspark.sql import functions as F
+
+from meritgraph.operators import expressions, forge
+
+
+def test_scoring_reads_weights_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(w):
+        read.add(1)
+        return w
+
+    trees = spark.createDataFrame([(1, "0", "ADD"), (1, "0.0", "MULTIPLY"), (1, "0.1", "FIRST"), (1, "0.0.0", "MAX"), (2, "0", "AVERAGE")], "contribution long, path string, operator string")
+    rows = [(1, "0.0", 0, 2.0, False), (1, "0.0", 1, 3.0, False), (1, "0.0.0", 0, 9.0, False), (1, "0.0.0", 1, 5.0, True), (1, "0.1", 0, 4.0, False), (1, "0.1", 1, 7.0, True), (2, "0", 0, 1.0, False), (2, "0", 1, 4.0, False)]
+    operands = spark.createDataFrame(rows, "contribution long, path string, ord int, weight double, explicit boolean").withColumn("weight", F.udf(seen, "double").asNondeterministic()("weight"))
+    found = {(r.contribution, r.path): r.score for r in expressions.score_trees(trees, operands, 3).collect()}
+    assert found == {(1, "0"): 37.0, (1, "0.0"): 30.0, (1, "0.1"): 7.0, (1, "0.0.0"): 5.0, (2, "0"): 2.5}
+    assert read.value == len(rows)
 
 
 def test_equal_edges_meet_without_a_sort_of_all(spark):
