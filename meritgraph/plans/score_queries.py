@@ -363,7 +363,8 @@ _DEPTH = 4
 
 def _contribution_lines(spark, sf):
     """Events as contributions in JSON: MULTIPLY(base, subtree, leaf), as deep as the event's id says, above ADD(kind)."""
-    e = tables.table(spark, sf, "events")
+    # parsing is heavy beside the rows that it is made of, and a small file is one split
+    e = tables.table(spark, sf, "events").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
     quote = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
     leaf = F.concat(F.lit('{"operator":"ADD","description":"leaf","weightOperands":[{"key":"kind","subkey":'), quote(F.col("event_type")), F.lit('}],"expressionOperands":[]}'))
     tree = leaf

@@ -51,15 +51,18 @@ def opened(lines: DataFrame, strict: bool = True) -> Contributions:
     v = F.col("v")
     own = rows.select("seq", field(v, "id", "string").alias("contribution"), field(v, "plugin", "string").alias("plugin"), field(v, "type", "string").alias("type"), field(v, "timestampMs", "bigint").alias("timestamp_ms"), "v")
     roots = own.select("seq", "contribution", F.lit("$.expression").alias("at"), field(v, "expression").alias("node"))
-    nodes = shapes.levels(roots, "node", "expressionOperands", _expression(strict))
-    node = F.col("node")
-    weights = nodes.select("contribution", "path", F.posexplode(elements(field(node, "weightOperands"))).alias("ord", "w"))
+    text = lambda v, name: F.try_element_at(v, F.lit(name)).cast("string")
+    weight = lambda w: F.struct(field(w, "key", "string").alias("key"), field(w, "subkey", "string").alias("subkey"))
+    of_node = F.col("_own")
+    keep = {"operator": text(of_node, "operator"), "description": text(of_node, "description"), "weights": F.transform(elements(F.try_element_at(of_node, F.lit("weightOperands"))), weight)}
+    nodes = shapes.levels(roots, "node", "expressionOperands", _expression(strict), keep)
+    weights = nodes.select("contribution", "path", F.posexplode("weights").alias("ord", "w")).select("contribution", "path", "ord", "w.key", "w.subkey")
     people = own.select("contribution", F.posexplode(elements(field(v, "participants"))).alias("ord", "p"))
     shares = people.select("contribution", field(F.col("p"), "id", "string").alias("participant"), "ord", F.posexplode(elements(field(F.col("p"), "shares"))).alias("place", "w"))
     of = lambda df, *c: df.select(*c, field(F.col("w"), "key", "string").alias("key"), field(F.col("w"), "subkey", "string").alias("subkey"))
     return Contributions(
-        own.drop("seq", "v"), nodes.select("contribution", "path", field(node, "operator", "string").alias("operator"), field(node, "description", "string").alias("description")),
-        of(weights, "contribution", "path", "ord"), of(shares, "contribution", "participant", "ord", "place"),
+        own.drop("seq", "v"), nodes.select("contribution", "path", "operator", "description"), weights,
+        of(shares, "contribution", "participant", "ord", "place"),
     )
 
 

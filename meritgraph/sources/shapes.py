@@ -36,6 +36,11 @@ def elements(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def members(v: Column) -> Column:
+    """The members of an object, as map<string,variant>; null where the value is none."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, which is evaluated once however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -45,7 +50,13 @@ def _problem(path: Column, text: str | Column) -> Column:
     return F.array(F.concat(path, F.lit(": "), F.lit(text) if isinstance(text, str) else text))
 
 
+def _not(what: str, v: Column, path: Column) -> Column:
+    return _problem(path, F.concat(F.lit(f"expected {what}, got "), F.coalesce(kind(v), F.lit("nothing"))))
+
+
 def _of(what: str, *kinds: str) -> Shape:
+    """By its kind, of which there is one for all inside: objects and arrays are told by ``members`` and ``elements``."""
+
     def check(v: Column, path: Column) -> Column:
         wrong = lambda got: F.when(got.isin(list(kinds)), _fine()).otherwise(_problem(path, F.concat(F.lit(f"expected {what}, got "), got)))
         return _once(F.coalesce(kind(v), F.lit("nothing")), wrong)
@@ -88,12 +99,10 @@ def either(*shapes: Shape) -> Shape:
 
 
 def array_of(shape: Shape) -> Shape:
-    whole = _of("an array", "ARRAY")
-
     def check(v: Column, path: Column) -> Column:
         each = lambda x, i: _once(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), lambda at: shape(x, at))
-        inside = F.coalesce(F.flatten(F.transform(elements(v), each)), _fine())
-        return _once(whole(v, path), lambda x: F.when(F.size(x) > 0, x).otherwise(inside))
+        inside = lambda own: _fine() if shape is anything else F.flatten(F.transform(own, each))
+        return _once(elements(v), lambda own: F.when(own.isNull(), _not("an array", v, path)).otherwise(inside(own)))
 
     return check
 
@@ -101,21 +110,21 @@ def array_of(shape: Shape) -> Shape:
 def record(required: dict[str, Shape], optional: dict[str, Shape] | None = None, strict: bool = True) -> Shape:
     """An object; ``strict`` refuses members that the shape doesn't name."""
     optional = optional or {}
-    whole = _of("an object", "OBJECT")
 
-    def members(v: Column, path: Column) -> Column:
+    def inside(own: Column, path: Column) -> Column:
         at = lambda name: F.concat(path, F.lit(f".{name}"))
+        of = lambda name: F.try_element_at(own, F.lit(name))
         one = lambda shape, name: lambda x: shape(x, at(name))
-        found = [_once(field(v, name), one(shape, name)) for name, shape in required.items()]
+        found = [_once(of(name), one(shape, name)) for name, shape in required.items()]
         known = lambda shape, name: lambda x: F.when(x.isNull(), _fine()).otherwise(shape(x, at(name)))
-        found += [_once(field(v, name), known(shape, name)) for name, shape in optional.items()]
+        found += [_once(of(name), known(shape, name)) for name, shape in optional.items()]
         if strict:
-            more = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array(*map(F.lit, [*required, *optional])))
+            more = F.array_except(F.map_keys(own), F.array(*map(F.lit, [*required, *optional])))
             found.append(F.transform(more, lambda k: F.concat(path, F.lit("."), k, F.lit(": unknown member"))))
         return F.flatten(F.array(*found)) if found else _fine()
 
     def check(v: Column, path: Column) -> Column:
-        return _once(whole(v, path), lambda x: F.when(F.size(x) > 0, x).otherwise(members(v, path)))
+        return _once(members(v), lambda own: F.when(own.isNull(), _not("an object", v, path)).otherwise(inside(own, path)))
 
     return check
 
@@ -147,20 +156,23 @@ def refused(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn(value, F.when(F.col("_wrong").isNull(), F.col(value)).otherwise(stop.cast("variant"))).drop("_wrong")
 
 
-def levels(roots: DataFrame, node: str, children: str, shape: Shape) -> DataFrame:
+def levels(roots: DataFrame, node: str, children: str, shape: Shape, keep: dict[str, Column]) -> DataFrame:
     """All nodes of the trees whose roots are the column ``node`` of ``roots`` (with ``seq`` and ``at``, the roots' path
-    in their line): a row for each, with ``path`` (0, 0.1, 0.1.0 and so on) beside the other columns of ``roots``. A node
-    has its children in the array ``children``; ``shape`` checks a node without going into them.
+    in their line): a row for each, with ``path`` (0, 0.1, 0.1.0 and so on) and what ``keep`` makes of the column
+    ``_own``, the node's members, beside the other columns of ``roots``. A node has its children in the array
+    ``children``; ``shape`` checks a node without going into them.
 
     The trees are opened level by level, one step for each level of the deepest, and no step holds a tree whole."""
     level = roots.withColumn("path", F.lit("0"))
-    names, out = level.columns, None
+    names, out = [c for c in level.columns if c != node], None
     while True:
         wrong = F.get(shape(F.col(node), F.col("at")), F.lit(0))
-        level = checkpointed(refused(level.withColumn("_wrong", wrong), node))
+        checked = refused(level.withColumn("_wrong", wrong), node).select(*names, members(F.col(node)).alias("_own"))
+        below = elements(F.try_element_at("_own", F.lit(children)))
+        level = checkpointed(checked.select(*names, *(x.alias(c) for c, x in keep.items()), below.alias("_below")))
         if level.isEmpty():
-            return level if out is None else out
-        out = level if out is None else out.unionByName(level)
-        below = level.select(*names, F.posexplode(elements(field(F.col(node), children))).alias("_i", "_child"))
+            return level.drop("_below") if out is None else out
+        out = level.drop("_below") if out is None else out.unionByName(level.drop("_below"))
+        below = level.select(*names, F.posexplode("_below").alias("_i", node))
         i = F.col("_i").cast("string")
-        level = below.withColumns({node: F.col("_child"), "path": F.concat("path", F.lit("."), i), "at": F.concat("at", F.lit(f".{children}["), i, F.lit("]"))}).select(*names)
+        level = below.withColumns({"path": F.concat("path", F.lit("."), i), "at": F.concat("at", F.lit(f".{children}["), i, F.lit("]"))}).select(*names, node)

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from meritgraph.operators import expressions, forge
+from meritgraph.plans import score_queries
+from oracle import SF
 
 
 def test_scoring_reads_weights_once(spark):
@@ -20,6 +22,11 @@ def test_scoring_reads_weights_once(spark):
     assert read.value == len(rows)
 
 
+def test_events_of_one_split_are_parsed_by_many_tasks(spark):
+    lines = score_queries._contribution_lines(spark, SF)
+    assert lines.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_equal_edges_meet_without_a_sort_of_all(spark):
     entities = spark.createDataFrame([("repo", "o/r", None, None, "r", None, None, None), ("pull", "o/r/1", "repository/repo/o/r/", "a", "p", 5, None, None)], "kind string, key string, parent string, author string, description string, ms long, merged_as string, hash string")
     reactions = spark.createDataFrame([("repository/pull/o/r/1/", "HEART", "b", ms) for ms in (9, 7, 8)], "target string, kind string, author string, ms long")
