@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from meritgraph.operators import expressions, forge
-from meritgraph.plans import score_queries
+from meritgraph.operators import expressions, forge, markov, weights
+from meritgraph.operators.frames import AS_PLANNED, settings
+from meritgraph.plans import domain, score_queries
 from oracle import SF
 
 
@@ -35,3 +36,30 @@ def test_equal_edges_meet_without_a_sort_of_all(spark):
         ("repository/authors/repository/user/a/repository/pull/o/r/1/", 5), ("repository/hasParent/repository/pull/o/r/1/repository/repo/o/r/", 5), ("repository/heart/repository/user/b/repository/pull/o/r/1/", 7),
     ]
     assert "SortAggregate" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_weights_are_tested_without_lists_of_prefixes(spark):
+    rows = spark.createDataFrame([("a/b/c/",), ("a/bc/",), ("b/",), ("",)], "address string")
+    few = spark.createDataFrame([("", 3.0), ("a/", 0.5), ("a/b/", 7.0), ("a/b/c", 100.0)], "prefix string, weight double")
+    found = weights.with_products(rows, few, ["weight"])
+    assert {r.address: r.weight for r in found.collect()} == {"a/b/c/": 10.5, "a/bc/": 1.5, "b/": 3.0, "": 3.0}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_of_one_split_become_a_graph_by_many_tasks(spark):
+    g = domain.kept_graph(spark, SF)
+    assert min(x.rdd.getNumPartitions() for x in (g.nodes, g.edges)) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_an_action_shuffles_only_what_flows_from_sources_that_are_not_hot(spark):
+    pairs = [("seed", f"n{i:05}", 1 / 3_000) for i in range(3_000)] + [(f"n{i:05}", "seed", 1.0) for i in range(3_000)]
+    transitions = spark.createDataFrame(pairs, "src string, dst string, pr double")
+    own = markov.Moves.of(transitions)
+    assert own.sources.count() == 1
+    with settings(spark, AS_PLANNED):
+        pi = markov._begun(transitions.select(F.col("src").alias("address")).distinct().withColumn("p", F.lit(1 / 3_001)), transitions.selectExpr("src AS address").distinct())
+        both = own.acted(pi, pi, 0.0)
+        assert {r.address: round(r.p, 9) for r in both.collect()} == {"seed": round(3_000 / 3_001, 9)} | {f"n{i:05}": round(1 / 3_000 / 3_001, 9) for i in range(3_000)}
+        shuffles = [x for x in both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning" in x and "ENSURE_REQUIREMENTS" in x]
+    assert len(shuffles) == 1, shuffles
+    own.close()
