@@ -46,9 +46,10 @@ class Many:
     typename: str | None = None
 
 
-def folded(updates: Store, blocked: DataFrame | None = None) -> Store:
+def folded(updates: Store, blocked: DataFrame | None = None, kept: bool = True) -> Store:
     """What holds after all updates: one row for each fact. A typename that was unknown is taken from a later (or an
-    earlier) update that knows it; two different ones are an error. Children that are ``blocked`` (id) become null."""
+    earlier) update that knows it; two different ones are an error. Children that are ``blocked`` (id) become null. Facts are
+    written once if they are ``kept``; else, for plans that name each kind once, only what these ask for is folded."""
     seen = checkpointed(updates.objects.groupBy("id").agg(F.min("typename").alias("typename"), F.max("typename").alias("other"), F.max("seq").alias("seq")))
     wrong = seen.where("typename <> other").limit(5).collect()
     if wrong:
@@ -65,7 +66,7 @@ def folded(updates: Store, blocked: DataFrame | None = None) -> Store:
         return met.withColumn("child", F.when(F.col("_b").isNull(), F.col("child"))).drop("_b")
 
     found = Store(seen.drop("other"), last(updates.primitives, ["id", "field"], "value"), without(last(updates.links, ["id", "field"], "child")), without(last(updates.entries, ["id", "field", "ord"], "child")))
-    return Store(found.objects, *(checkpointed(x) for x in (found.primitives, found.links, found.entries)))
+    return Store(found.objects, *(checkpointed(x) for x in (found.primitives, found.links, found.entries))) if kept else found
 
 
 def unknown(store: Store) -> DataFrame:

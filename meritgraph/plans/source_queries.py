@@ -9,6 +9,7 @@ from meritgraph.functions.weeks import millis
 from meritgraph.functions.addresses import address
 from meritgraph.operators import chat, expressions, forge, forum, initiatives, markdown, mirror, views
 from meritgraph.operators.asof import asof_join
+from meritgraph.operators.frames import checkpointed
 from meritgraph.operators.order import with_index
 from meritgraph.plans.domain import GRAPH_SQL, event_graph
 from meritgraph.sources import documents, tables
@@ -284,13 +285,14 @@ def view_changes(spark, sf):
     return found.select("id", *(F.round(c, 4).alias(c) for c in ("before", "after", "change")))
 
 
-def _mirrored(spark, sf):
+def _mirrored(spark, sf, kept=True):
     """Orders as pulls with their lines as reviews and customers as authors, learned in two updates: the first has old
     titles, knows no review's type and has authors that are blocked or change."""
     o = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     li = tables.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
     c = tables.table(spark, sf, "customer").select("c_custkey", "c_name")
     pull, review, person = (lambda *x, p=p: F.concat_ws("-", F.lit(p), *(F.col(i).cast("string") for i in x)) for p in ("P", "R", "U"))
+    li = checkpointed(li)  # each kind of facts has its lines
     rows = lambda df, *cols: df.select(*(x if isinstance(x, Column) else F.lit(x) for x in cols))
     json_ = lambda x: F.to_json(F.parse_json(F.concat(F.lit('"'), x, F.lit('"'))))
     objects = rows(o, pull("o_orderkey").alias("id"), F.lit("Pull").alias("typename"), F.lit(1).alias("seq")).union(rows(li, review("l_orderkey", "l_linenumber"), F.lit(None).cast("string"), 1)).union(rows(li, review("l_orderkey", "l_linenumber"), "Review", 2)).union(rows(c, person("c_custkey"), "User", 1))
@@ -299,7 +301,7 @@ def _mirrored(spark, sf):
     links = rows(o, pull("o_orderkey").alias("id"), F.lit("author").alias("field"), person("o_custkey").alias("child"), F.lit(2).alias("seq")).union(rows(o.where("o_orderkey % 3 = 0"), pull("o_orderkey"), "author", F.lit("U-1"), 1))
     entries = rows(li, pull("l_orderkey").alias("id"), F.lit("reviews").alias("field"), (10 - F.col("l_linenumber")).cast("long").alias("ord"), review("l_orderkey", "l_linenumber").alias("child"), F.lit(2).alias("seq"))
     blocked = c.where("c_custkey % 10 = 0").select(person("c_custkey").alias("id"))
-    return mirror.folded(mirror.Store(objects, primitives, links, entries), blocked)
+    return mirror.folded(mirror.Store(objects, primitives, links, entries), blocked, kept)
 
 
 @query("""SELECT 'P-' || o_orderkey AS id, 'pull ' || o_orderstatus AS title, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CASE WHEN o_custkey % 10 <> 0 THEN c_name END AS author, coalesce(states, '') AS states, coalesce(n, 0)::BIGINT AS n_reviews
@@ -314,10 +316,11 @@ def mirror_pulls(spark, sf):
 @query("""SELECT 'R-' || l_orderkey || '-' || l_linenumber AS id, 'P-' || l_orderkey AS parent, CASE WHEN l_returnflag = 'R' THEN 0 END AS fresh FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) WHERE l_returnflag <> 'N'""")
 def mirror_parents(spark, sf):
     """Reviews with the pull in whose connection they are, and whether they were updated since."""
-    s = _mirrored(spark, sf)
+    s = _mirrored(spark, sf, False)
     state = mirror.values(s, s.objects.where("typename = 'Review'").select("id", "typename"), {"state": "string"})
     updates = state.where("state <> 'A'").select("id", F.when(F.col("state") == "R", 200).otherwise(50).cast("long").alias("ms"))
     old = mirror.stale(state.where("state <> 'N'"), updates, 100).select("id", F.lit(None).cast("int").alias("fresh"))
+    state = checkpointed(state)
     met = mirror.parents(s, "reviews").join(state.where("state <> 'N'").select("id"), "id").join(old.withColumn("old", F.lit(True)), "id", "left")
     return met.select("id", "parent", F.when(F.col("old").isNull(), 0).alias("fresh"))
 

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from meritgraph.operators import expressions, forge, markov, weights
+from meritgraph.operators import expressions, forge, markov, mirror, weights
 from meritgraph.operators.frames import AS_PLANNED, settings
-from meritgraph.plans import domain, score_queries
+from meritgraph.plans import domain, registry, score_queries
 from oracle import SF
 
 
@@ -63,3 +63,22 @@ def test_an_action_shuffles_only_what_flows_from_sources_that_are_not_hot(spark)
         shuffles = [x for x in both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning" in x and "ENSURE_REQUIREMENTS" in x]
     assert len(shuffles) == 1, shuffles
     own.close()
+
+
+def test_a_mirror_folds_only_the_facts_that_are_asked_for(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    of = spark.createDataFrame
+    links = of([("a", "author", "u", 1)], "id string, field string, child string, seq int").withColumn("child", F.udf(seen, "string").asNondeterministic()("child"))
+    facts = of([("a", "X", 1), ("u", "U", 1)], "id string, typename string, seq int"), of([("u", "login", '"me"', 1)], "id string, field string, value string, seq int"), links, of([("a", "all", 0, "u", 1)], "id string, field string, ord long, child string, seq int")
+    s = mirror.folded(mirror.Store(*facts), of([("x",)], "id string"), False)
+    assert [tuple(r) for r in mirror.parents(s, "all").collect()] == [("u", "a")] and read.value == 0
+    assert [r.child for r in s.links.collect()] == ["u"] and read.value == 1
+
+
+def test_a_forums_lines_are_put_together_once(spark):
+    assert not [x for x in registry.QUERIES["forum_edges"](spark, SF).inputFiles() if "lineitem" in x]
