@@ -17,10 +17,14 @@ from meritgraph.operators.graph import Graph
 LINKS = (("post", r"^/t/[^/]+/(\d+)/(\d+)(?:[?#].*)?$"), ("topic", r"^/t/[^/]+/(\d+)/?(?:[?#].*)?$"), ("user", r"^/u/([^/?#]+)/?(?:[?#].*)?$"))
 
 
+def _answered() -> Column:
+    """The index that a post answers, or null."""
+    return F.coalesce("reply_to_index", F.when(F.col("index") > 1, F.lit(1)))
+
+
 def replies(posts: DataFrame) -> DataFrame:
     """(post, parent): the post of the topic that it answers; posts after the first that name none answer the first."""
-    parent = F.coalesce("reply_to_index", F.when(F.col("index") > 1, F.lit(1)))
-    own = posts.select("post", F.col("topic").alias("t"), parent.alias("i")).where("i IS NOT NULL")
+    own = posts.select("post", F.col("topic").alias("t"), _answered().alias("i")).where("i IS NOT NULL")
     at = posts.select(F.col("post").alias("parent"), "topic", "index")
     return own.join(at, (F.col("t") == F.col("topic")) & (F.col("i") == F.col("index"))).select("post", "parent")
 
@@ -36,22 +40,22 @@ def _known(weights: dict[str, float], name: Column) -> Column:
     return F.coalesce(found, F.lit(1.0))
 
 
-def like_weights(likes: DataFrame, users: DataFrame, posts: DataFrame, topics: DataFrame, tags: DataFrame, categories: dict[str, float], tag_weights: dict[str, float]) -> DataFrame:
-    """``likes`` with topic and weight: by the trust of who gives it (0 where unknown), times the weight of the topic's
+def like_weights(likes: DataFrame, users: DataFrame, posts: DataFrame, topics: DataFrame, tags: DataFrame, categories: dict[str, float], tag_weights: dict[str, float], beside: tuple[str, ...] = ()) -> DataFrame:
+    """``likes`` with topic, weight and the posts' columns ``beside``: by the trust of who gives it (0 where unknown), times the weight of the topic's
     category and of each of its tags (1 where not set)."""
     trust = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TRUST.items() for x in kv)), F.col("trust").cast("int")), F.lit(0.0))
     of = F.aggregate("tags", F.lit(1.0), lambda a, t: a * _known(tag_weights, t))
-    met = likes.join(users.select("author", "trust"), "author", "left").join(posts.select("post", "topic"), "post").join(with_tags(topics, tags), "topic", "left")
+    met = likes.join(users.select("author", "trust"), "author", "left").join(posts.select("post", "topic", *beside), "post").join(with_tags(topics, tags), "topic", "left")
     weight = trust * _known(categories, F.col("category").cast("string")) * F.coalesce(of, F.lit(1.0))
-    return met.select(*likes.columns, "topic", weight.alias("weight"))
+    return met.select(*likes.columns, "topic", *beside, weight.alias("weight"))
 
 
-def liked_posts(weighed: DataFrame) -> DataFrame:
-    """Edges (address, src, dst, weight) from topics to their liked posts, by the summed weight of the likes; posts whose
-    likes weigh nothing have none."""
-    sums = weighed.groupBy("topic", "post").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+def liked_posts(weighed: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (address, src, dst, weight, and the posts' columns ``beside``) from topics to their liked posts, by the summed
+    weight of the likes; posts whose likes weigh nothing have none."""
+    sums = weighed.groupBy("topic", "post").agg(F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in beside)).where("weight <> 0")
     t, p = address("forum", "topic", F.col("topic")), address("forum", "post", F.col("post"))
-    return sums.select(F.concat(F.lit("forum/topicHasLikedPost/"), t, p).alias("address"), t.alias("src"), p.alias("dst"), "weight")
+    return sums.select(F.concat(F.lit("forum/topicHasLikedPost/"), t, p).alias("address"), t.alias("src"), p.alias("dst"), "weight", *beside)
 
 
 def links(texts: DataFrame, key: str, html: str, server: str) -> DataFrame:
@@ -81,13 +85,16 @@ def graph(posts: DataFrame, likes: DataFrame, users: DataFrame, topics: DataFram
     Replies name their parents, topics lead to their liked posts at the posts' times, and posts to what they refer to
     (``found``: post, address, as ``existing`` gives them; null and repeated addresses count once or not at all). Weights
     are those of likes, as nodes, and of the edges to liked posts."""
-    answered = posts.join(replies(posts), "post", "left").select(F.col("post").alias("post_id"), F.col("topic").alias("topic_id"), "author", F.col("parent").alias("reply_to"), "ms")
+    at = posts.select(F.col("post").alias("parent"), F.col("topic").alias("t"), F.col("index").alias("i"))
+    answered = posts.join(at, (F.col("topic") == F.col("t")) & (_answered() == F.col("i")), "left").select(F.col("post").alias("post_id"), F.col("topic").alias("topic_id"), "author", F.col("parent").alias("reply_to"), "ms")
     base = builders.forum(topics.withColumnRenamed("topic", "topic_id"), answered, likes.withColumnRenamed("post", "post_id"))
-    weighed = like_weights(likes, users, posts, topics.select("topic", "category"), tags, categories, tag_weights)
-    liked, times = liked_posts(weighed), posts.select(address("forum", "post", F.col("post")).alias("p"), F.col("ms").cast("long").alias("timestamp_ms"))
-    edges = base.edges.unionByName(liked.join(times, F.col("dst") == F.col("p")).select("address", "src", "dst", "timestamp_ms"))
+    times = posts.select("post", "topic", F.col("ms").cast("long").alias("timestamp_ms"))
+    weighed = like_weights(likes, users, times, topics.select("topic", "category"), tags, categories, tag_weights, ("timestamp_ms",))
+    liked = liked_posts(weighed, ("timestamp_ms",))
+    edges = base.edges.unionByName(liked.select("address", "src", "dst", "timestamp_ms"))
     if found is not None:
-        own = found.where("address IS NOT NULL").select(address("forum", "post", F.col("post")).alias("p"), F.col("address").alias("dst")).distinct().join(times, "p")
-        edges = edges.unionByName(own.select(F.concat(F.lit("forum/references/"), "p", "dst").alias("address"), F.col("p").alias("src"), "dst", "timestamp_ms"))
+        own = found.where("address IS NOT NULL").select("post", F.col("address").alias("dst")).join(times.drop("topic"), "post").distinct()
+        p = address("forum", "post", F.col("post"))
+        edges = edges.unionByName(own.select(F.concat(F.lit("forum/references/"), p, "dst").alias("address"), p.alias("src"), "dst", "timestamp_ms"))
     of_likes = weighed.select(address("forum", "like", F.col("author"), F.col("post")).alias("address"), "weight")
     return Graph(base.nodes, edges), of_likes.unionByName(liked.select("address", "weight"))

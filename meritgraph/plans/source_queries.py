@@ -245,11 +245,13 @@ def chat_scores(spark, sf):
     return scored.where("path = '0'").select("contribution", F.round("score", 9).alias("score"))
 
 
-def _forum(spark, sf):
-    """Orders are topics, their lines posts; suppliers like them."""
+def _forum(spark, sf, kept=False):
+    """Orders are topics, their lines posts; suppliers like them. The lines are put together once if they are ``kept``."""
     l = tables.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    if kept:
+        l = checkpointed(l)
     post = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    posts = l.select(post.alias("post"), F.col("l_orderkey").alias("topic"), F.col("l_linenumber").alias("index"), F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 4 + 1).cast("int")).alias("reply_to_index"), F.col("l_suppkey").alias("author"))
+    posts = l.select(post.alias("post"), F.col("l_orderkey").alias("topic"), F.col("l_linenumber").alias("index"), F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 4 + 1).cast("int")).alias("reply_to_index"), F.col("l_suppkey").alias("author"), (F.col("l_partkey") + 1).alias("ms"))
     likes = l.where("l_partkey % 2 = 0").select(post.alias("post"), F.col("l_suppkey").alias("author"), F.col("l_partkey").alias("ms"))
     users = tables.table(spark, sf, "supplier").where("s_suppkey % 6 < 5").select(F.col("s_suppkey").alias("author"), (F.col("s_suppkey") % 6).alias("trust"))
     o = tables.table(spark, sf, "orders")
@@ -290,9 +292,9 @@ def _mirrored(spark, sf, kept=True):
     titles, knows no review's type and has authors that are blocked or change."""
     o = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     li = tables.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    li = checkpointed(li)  # each kind of facts has its lines
     c = tables.table(spark, sf, "customer").select("c_custkey", "c_name")
     pull, review, person = (lambda *x, p=p: F.concat_ws("-", F.lit(p), *(F.col(i).cast("string") for i in x)) for p in ("P", "R", "U"))
-    li = checkpointed(li)  # each kind of facts has its lines
     rows = lambda df, *cols: df.select(*(x if isinstance(x, Column) else F.lit(x) for x in cols))
     json_ = lambda x: F.to_json(F.parse_json(F.concat(F.lit('"'), x, F.lit('"'))))
     objects = rows(o, pull("o_orderkey").alias("id"), F.lit("Pull").alias("typename"), F.lit(1).alias("seq")).union(rows(li, review("l_orderkey", "l_linenumber"), F.lit(None).cast("string"), 1)).union(rows(li, review("l_orderkey", "l_linenumber"), "Review", 2)).union(rows(c, person("c_custkey"), "User", 1))
@@ -318,9 +320,9 @@ def mirror_parents(spark, sf):
     """Reviews with the pull in whose connection they are, and whether they were updated since."""
     s = _mirrored(spark, sf, False)
     state = mirror.values(s, s.objects.where("typename = 'Review'").select("id", "typename"), {"state": "string"})
+    state = checkpointed(state)
     updates = state.where("state <> 'A'").select("id", F.when(F.col("state") == "R", 200).otherwise(50).cast("long").alias("ms"))
     old = mirror.stale(state.where("state <> 'N'"), updates, 100).select("id", F.lit(None).cast("int").alias("fresh"))
-    state = checkpointed(state)
     met = mirror.parents(s, "reviews").join(state.where("state <> 'N'").select("id"), "id").join(old.withColumn("old", F.lit(True)), "id", "left")
     return met.select("id", "parent", F.when(F.col("old").isNull(), 0).alias("fresh"))
 
@@ -390,8 +392,7 @@ UNION ALL SELECT 'forum/topicHasLikedPost/' || {_T} || {_P}, {_T}, {_P}, k + 1 F
 UNION ALL SELECT 'forum/references/' || {_P} || {_T}, {_P}, {_T}, k + 1 FROM f WHERE i = 2""")
 def forum_edges(spark, sf):
     """The whole graph of the forum; second posts refer to their topics."""
-    likes, users, posts, topics, tags = _forum(spark, sf)
-    when = tables.table(spark, sf, "lineitem").groupBy(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("post")).agg((F.min("l_partkey") + 1).alias("ms"))
+    likes, users, posts, topics, tags = _forum(spark, sf, True)
     more = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("topic"), F.col("o_custkey").alias("author"), F.lit("order").alias("title"), (F.col("o_orderkey") * 10).alias("ms"))
     refs = posts.where("index = 2").select("post", address("forum", "topic", F.col("topic")).alias("address"))
-    return forum.graph(posts.join(when, "post"), likes, users, topics.join(more, "topic"), tags, {"1-URGENT": 3.0}, {"F": 0.5, "extra": 2.0}, refs)[0].edges
+    return forum.graph(posts, likes, users, topics.join(more, "topic"), tags, {"1-URGENT": 3.0}, {"F": 0.5, "extra": 2.0}, refs)[0].edges
