@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from meritgraph.operators import expressions, forge, markov, mirror, weights
+from meritgraph.functions.weeks import week_intervals
+from meritgraph.operators import expressions, forge, frames, markov, mirror, timeline, weights
 from meritgraph.operators.frames import AS_PLANNED, settings
 from meritgraph.plans import domain, registry, score_queries
 from oracle import SF
@@ -65,6 +66,25 @@ def test_an_action_shuffles_only_what_flows_from_sources_that_are_not_hot(spark)
     own.close()
 
 
+def test_a_timelines_action_has_no_more_tasks_than_its_rows_ask_for(spark, monkeypatch):
+    g = domain.kept_graph(spark, SF)
+    own, along = domain.node_weights(spark, g), domain.edge_weights(spark, g)
+    weeks = markov.checkpointed(week_intervals(g.nodes, "timestamp_ms"))
+    begun = lambda: spark.sparkContext._jsc.sc().taskScheduler().nextTaskId()
+
+    def ranked(n):
+        before = begun()
+        found = timeline.timeline(g, own, along, weeks, n_steps=n).ranks
+        return begun() - before, {(r.start_ms, r.address): r.p for r in found.collect()}
+
+    with settings(spark, {"spark.sql.shuffle.partitions": "64"}):
+        (few, _), (many, ranks) = ranked(2), ranked(6)
+        assert many - few <= 4 * 16
+        monkeypatch.setattr(frames, "LEAST_HOT", 5)  # what hot nodes bring is added apart
+        hot = ranked(6)[1]
+    assert hot.keys() == ranks.keys() and all(abs(hot[k] - ranks[k]) < 1e-12 for k in hot)
+
+
 def test_a_mirror_folds_only_the_facts_that_are_asked_for(spark):
     read = spark.sparkContext.accumulator(0)
 
