@@ -1,10 +1,12 @@
 """Steps whose memory or time grew faster than their input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from meritgraph.functions.weeks import week_intervals
 from meritgraph.operators import expressions, forge, frames, markov, mirror, timeline, weights
 from meritgraph.operators.frames import AS_PLANNED, settings
+from meritgraph.operators.graph import Graph
 from meritgraph.plans import domain, registry, score_queries
 from oracle import SF
 
@@ -85,6 +87,22 @@ def test_a_timelines_action_has_no_more_tasks_than_its_rows_ask_for(spark, monke
     assert hot.keys() == ranks.keys() and all(abs(hot[k] - ranks[k]) < 1e-12 for k in hot)
 
 
+def test_a_timelines_swing_between_two_sides_ends_early(spark):
+    week, at = 1_642_896_000_000, {"c/1/": 0, "c/2/": 1, "p/1/": 2, "p/2/": 3}
+    weighted = spark.createDataFrame([("c/1/", week, 1.0), ("c/2/", week, 2.0), ("p/1/", None, 0.0), ("p/2/", None, 0.0)], "address string, timestamp_ms long, weight double")
+    rows = [("e/1/", "c/1/", "p/1/", week, 1.0, 0.5), ("e/2/", "c/2/", "p/2/", week, 2.0, 1.0), ("e/3/", "p/2/", "c/1/", week, 0.5, 0.25)]
+    along = spark.createDataFrame(rows, "address string, src string, dst string, timestamp_ms long, forwards double, backwards double")
+    found = timeline.timeline(Graph(weighted, along), weighted, along, spark.createDataFrame([(week,)], "start_ms long"), most=30).ranks.collect()
+    m = markov.LOOP * np.eye(4)
+    for _, a, b, _, f, g in rows:
+        m[at[a], at[b]] += f
+        m[at[b], at[a]] += g
+    seed = np.array([1 / 3, 2 / 3, 0, 0])
+    want = np.linalg.solve(np.eye(4) - 0.8 * (m / m.sum(1, keepdims=True)).T, 0.2 * seed)
+    assert len(found) == 4 and all(abs(r.p - want[at[r.address]]) < 5e-7 for r in found)
+    assert abs(sum(r.p for r in found) - 1) < 1e-12
+
+
 def test_a_mirror_folds_only_the_facts_that_are_asked_for(spark):
     read = spark.sparkContext.accumulator(0)
 
